@@ -258,3 +258,124 @@ SELECT COUNT(*) AS TOTAL_INVOICES,
   {_r2('CAST(SUM(CAST(CASE WHEN BANK_AMT > 0 THEN BANK_AMT ELSE 0.0 END AS DECIMAL(18,2))) AS DOUBLE)')} AS BANK_AMOUNT,
   {_r2('CAST(SUM(CAST(PO_AMT AS DECIMAL(18,2))) AS DOUBLE)')} AS TOTAL_PO_VALUE
 FROM match"""
+
+
+# -------------------------------------------------------------- hygiene --
+def _numtext(x: str) -> str:
+    return (f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) "
+            f"ELSE CAST({x} AS VARCHAR) END")
+
+
+def _rate_list(list_expr: str) -> str:
+    return f"array_to_string(list_transform(list_sort({list_expr}), lambda x: {_numtext('x')}), ', ')"
+
+
+SQL["multi_tax"] = "WITH " + _enriched(False) + f"""
+SELECT PROD_CODE,
+  {_rate_list(f"list(DISTINCT {_r2('GST_RATE')})")} AS GST_RATE,
+  array_to_string(list_sort(list(DISTINCT TAX_DESC) FILTER (WHERE TAX_DESC <> '')), ', ') AS TAX_DESC,
+  COUNT(*) AS "COUNT"
+FROM enriched GROUP BY PROD_CODE
+HAVING COUNT(DISTINCT {_r2('GST_RATE')}) > 1 OR COUNT(DISTINCT TAX_DESC) FILTER (WHERE TAX_DESC <> '') > 1"""
+
+SQL["dup_customers"] = "WITH " + _enriched(False) + """
+SELECT COMP_NM AS CUST_NM,
+  array_to_string(list_slice(list_sort(list(DISTINCT store_code) FILTER (WHERE store_code <> '')), 1, 3), ', ') AS CUST_CD,
+  COUNT(*) AS "COUNT"
+FROM enriched GROUP BY COMP_NM
+HAVING COUNT(DISTINCT store_code) FILTER (WHERE store_code <> '') > 1"""
+
+SQL["prod_name_issues"] = "WITH " + _enriched(False) + """
+SELECT PROD_NM,
+  array_to_string(list_slice(list_sort(list(DISTINCT PROD_CODE) FILTER (WHERE PROD_CODE <> '')), 1, 3), ', ') AS PROD_CODE,
+  COUNT(*) AS "COUNT"
+FROM enriched GROUP BY PROD_NM
+HAVING COUNT(DISTINCT PROD_CODE) FILTER (WHERE PROD_CODE <> '') > 1"""
+
+SQL["prod_gst_issues"] = "WITH " + _enriched(False) + f"""
+SELECT PROD_NM, {_rate_list(f"list(DISTINCT {_r2('GST_RATE')})")} AS GST_RATE, COUNT(*) AS "COUNT"
+FROM enriched GROUP BY PROD_NM
+HAVING COUNT(DISTINCT {_r2('GST_RATE')}) > 1"""
+
+SQL["prod_code_check"] = "WITH " + _enriched(False) + """
+SELECT CASE WHEN PROD_CODE = '' THEN 'Unknown' ELSE PROD_CODE END AS PROD_CODE,
+  CASE WHEN PROD_CODE = '' THEN 'Missing code' ELSE 'Multiple products' END AS STATUS
+FROM enriched GROUP BY PROD_CODE
+HAVING PROD_CODE = '' OR COUNT(DISTINCT PROD_NM) FILTER (WHERE PROD_NM <> '') > 1"""
+
+_REMARK_LOG = """
+log AS (
+  SELECT 'dup_cust:' || CASE WHEN user_id % 40 < 5
+           THEN ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][(user_id % 40) + 1]
+           ELSE 'U' || CAST(user_id % 40 AS VARCHAR) END AS issue_id,
+    'c' || CAST(event_id % 3 AS VARCHAR) AS category,
+    'E' || CAST(user_id % 40 AS VARCHAR) || '-' || CAST(event_id % 5 AS VARCHAR) AS entity_key,
+    event_type AS remark,
+    CASE WHEN event_type = 'error' AND value > 200 THEN 'delete' ELSE 'save' END AS action,
+    CAST(ts AS TIMESTAMP) AS ts, event_id AS seq
+  FROM events
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY ts, seq) AS rn FROM log),
+marked AS (
+  SELECT *, max(CASE WHEN action = 'delete' THEN rn END) OVER (PARTITION BY issue_id) AS last_del FROM ranked
+),
+remarks AS (
+  SELECT issue_id, arg_min(category, rn) AS category, arg_min(entity_key, rn) AS entity_key,
+    arg_max(remark, rn) AS remark, max(ts) AS updated_at
+  FROM marked WHERE action = 'save' AND rn > coalesce(last_del, 0)
+  GROUP BY issue_id
+)"""
+
+SQL["remarks"] = "WITH " + _REMARK_LOG + """
+SELECT issue_id, category, entity_key, remark, strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at
+FROM remarks"""
+
+
+def _hygiene(body: str) -> str:
+    """A filtered-hygiene CTE ``issues`` joined to remarks."""
+    return "WITH " + _purchases() + "," + _REMARK_LOG + f""",
+issues AS ({body})
+SELECT i.*, coalesce(r.remark, '') AS REMARK FROM issues i LEFT JOIN remarks r ON r.issue_id = i.ISSUE_ID"""
+
+
+_RATE_TXT = f"CASE WHEN GST_RATE = 0 THEN '' ELSE {_numtext('GST_RATE')} END"
+
+SQL["hygiene_multi_tax"] = _hygiene(f"""
+  SELECT 'multi_tax:' || PROD_CODE AS ISSUE_ID, 'multi_tax' AS CATEGORY, PROD_CODE AS ENTITY_KEY,
+    {_rate_list("list(DISTINCT GST_RATE) FILTER (WHERE GST_RATE <> 0)")} AS GST_RATE,
+    array_to_string(list_sort(list(DISTINCT TAX_DESC) FILTER (WHERE TAX_DESC <> '')), ', ') AS TAX_DESC,
+    COUNT(*) AS "COUNT"
+  FROM purchases GROUP BY PROD_CODE
+  HAVING COUNT(DISTINCT GST_RATE) FILTER (WHERE GST_RATE <> 0) > 1
+      OR COUNT(DISTINCT TAX_DESC) FILTER (WHERE TAX_DESC <> '') > 1""")
+
+SQL["hygiene_prod_gst"] = _hygiene(f"""
+  SELECT 'prod_gst:' || PROD_NM AS ISSUE_ID, 'prod_gst' AS CATEGORY, PROD_NM AS ENTITY_KEY, PROD_NM,
+    {_rate_list("list(DISTINCT GST_RATE) FILTER (WHERE GST_RATE <> 0)")} AS GST_RATE,
+    COUNT(*) AS "COUNT"
+  FROM purchases GROUP BY PROD_NM
+  HAVING COUNT(DISTINCT {_RATE_TXT}) > 1""")
+
+SQL["hygiene_prod_name"] = _hygiene("""
+  SELECT 'prod_name:' || PROD_NM AS ISSUE_ID, 'prod_name' AS CATEGORY, PROD_NM AS ENTITY_KEY, PROD_NM,
+    array_to_string(list_sort(list(DISTINCT PROD_CODE)), ', ') AS PROD_CODE, COUNT(*) AS "COUNT"
+  FROM purchases GROUP BY PROD_NM
+  HAVING COUNT(DISTINCT PROD_CODE) > 1""")
+
+SQL["hygiene_prod_code"] = _hygiene("""
+  SELECT 'prod_code:' || PROD_CODE AS ISSUE_ID, 'prod_code' AS CATEGORY, PROD_CODE AS ENTITY_KEY, PROD_CODE,
+    CASE WHEN PROD_CODE = 'Unknown' THEN 'Missing code' ELSE 'Multiple products' END AS STATUS
+  FROM purchases GROUP BY PROD_CODE
+  HAVING PROD_CODE = 'Unknown' OR COUNT(DISTINCT PROD_NM) > 1""")
+
+SQL["hygiene_dup_cust"] = _hygiene("""
+  SELECT 'dup_cust:' || CUST_NM AS ISSUE_ID, 'dup_cust' AS CATEGORY, CUST_NM AS ENTITY_KEY, CUST_NM,
+    array_to_string(list_sort(list(DISTINCT CUST_STATE)), ', ') AS CUST_CD, COUNT(*) AS "COUNT"
+  FROM purchases GROUP BY CUST_NM
+  HAVING COUNT(DISTINCT CUST_STATE) > 1""")
+
+SQL["hygiene_dup_cust_filtered_by_company"] = "WITH " + _purchases() + """
+SELECT 'dup_cust:' || CUST_NM AS ISSUE_ID, 'dup_cust' AS CATEGORY, CUST_NM AS ENTITY_KEY, CUST_NM,
+  array_to_string(list_sort(list(DISTINCT CUST_STATE)), ', ') AS CUST_CD, COUNT(*) AS "COUNT"
+FROM purchases WHERE COMP_NM IN ('NATION_1', 'NATION_7', 'NATION_19')
+GROUP BY CUST_NM HAVING COUNT(DISTINCT CUST_STATE) > 1"""

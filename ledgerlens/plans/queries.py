@@ -140,3 +140,64 @@ def q_pay_summary(spark, sf):
 @query("po_kpis")
 def q_po_kpis(spark, sf):
     return R.po_kpis(R.three_way_match(*I.recon(spark, sf), limit=None))
+
+
+# -------------------------------------------------------------- hygiene --
+from ledgerlens.operators import hygiene as H  # noqa: E402
+from ledgerlens.operators import remarks as K  # noqa: E402
+from ledgerlens.sources import testdata as T  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def _ts_text(df: DataFrame, col: str) -> DataFrame:
+    """Timestamps leave the registry as ISO text so every client reads the same value."""
+    return df.withColumn(col, F.date_format(F.col(col), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query("multi_tax")
+def q_multi_tax(spark, sf):
+    return H.multi_tax(I.enriched(spark, sf))
+
+
+@query("dup_customers")
+def q_dup_customers(spark, sf):
+    return H.dup_customers(I.enriched(spark, sf))
+
+
+@query("prod_name_issues")
+def q_prod_name_issues(spark, sf):
+    return H.prod_name_issues(I.enriched(spark, sf))
+
+
+@query("prod_gst_issues")
+def q_prod_gst_issues(spark, sf):
+    return H.prod_gst_issues(I.enriched(spark, sf))
+
+
+@query("prod_code_check")
+def q_prod_code_check(spark, sf):
+    return H.prod_code_check(I.enriched(spark, sf))
+
+
+@query("remarks")
+def q_remarks(spark, sf):
+    return _ts_text(K.remarks_merge(T.remark_log_source(spark, sf)), "updated_at")
+
+
+def _filtered(category: str):
+    def run(spark, sf):
+        rows = I.purchases(spark, sf)
+        remarks = K.remarks_merge(T.remark_log_source(spark, sf))
+        return H.with_remarks(H.FILTERED_CHECKS[category](rows), remarks)
+    return run
+
+
+for _cat in H.FILTERED_CHECKS:
+    QUERIES[f"hygiene_{_cat}"] = _filtered(_cat)
+
+
+@query("hygiene_dup_cust_filtered_by_company")
+def q_hygiene_dup_cust_company(spark, sf):
+    """W2 + H5: the duplicate-customer check restricted to three companies."""
+    rows = P.filter_dims(I.purchases(spark, sf), {"company": ["NATION_1", "NATION_7", "NATION_19"]})
+    return H.dup_customers_filtered(rows)

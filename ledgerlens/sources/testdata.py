@@ -31,6 +31,8 @@ LOAN_LOCATIONS = ["Bangalore", "Mumbai", "Delhi", "Chennai", "Pune"]
 # Employee master attributes of the HR view.
 DEPARTMENTS = ["Finance", "HR", "IT", "Operations", "Sales"]
 LOCATIONS = ["Bangalore", "Mumbai", "Delhi", "Chennai", "Pune", "Hyderabad", "Kolkata"]
+# The customer market segments of the test data.
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -227,8 +229,11 @@ def remark_log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5: remark save/delete requests as an append-only change log."""
     e = table(spark, sf_dir, "events")
     uid = F.col("user_id") % 40
+    # The first five keys are real duplicate-customer issues (market
+    # segments); the rest are issues no longer raised by the data.
+    key = F.when(uid < 5, _pick(SEGMENTS, uid)).otherwise(F.concat(F.lit("U"), uid.cast("string")))
     return e.select(
-        F.concat(F.lit("dup_cust:"), uid.cast("string")).alias("issue_id"),
+        F.concat(F.lit("dup_cust:"), key).alias("issue_id"),
         F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")).alias("category"),
         F.concat(F.lit("E"), uid.cast("string"), F.lit("-"), (F.col("event_id") % 5).cast("string")).alias("entity_key"),
         F.col("event_type").alias("remark"),
