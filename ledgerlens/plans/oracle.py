@@ -379,3 +379,173 @@ SELECT 'dup_cust:' || CUST_NM AS ISSUE_ID, 'dup_cust' AS CATEGORY, CUST_NM AS EN
   array_to_string(list_sort(list(DISTINCT CUST_STATE)), ', ') AS CUST_CD, COUNT(*) AS "COUNT"
 FROM purchases WHERE COMP_NM IN ('NATION_1', 'NATION_7', 'NATION_19')
 GROUP BY CUST_NM HAVING COUNT(DISTINCT CUST_STATE) > 1"""
+
+
+# ------------------------------------------------------------ dashboard --
+_MS = "round_even(CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) * 100, 0) / 100"
+
+SQL["monthly_purchase"] = "WITH " + _rollup() + f""",
+months AS (SELECT unnest(['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August',
+                          'September', 'October', 'November', 'December']) AS "MONTH",
+                  CAST(unnest(range(1, 13)) AS INTEGER) AS MONTH_NO),
+sums AS (SELECT "MONTH", {_MS.format(c='INVOICE_AMT')} AS PURCHASE FROM rollup GROUP BY "MONTH")
+SELECT m."MONTH", m.MONTH_NO, coalesce(s.PURCHASE, 0.0) AS PURCHASE
+FROM months m LEFT JOIN sums s ON s."MONTH" = m."MONTH" """
+
+
+def _pie(dim: str) -> str:
+    return "WITH " + _rollup() + f""",
+top AS (
+  SELECT CASE WHEN {dim} IS NULL OR {dim} = '' THEN 'Unknown' ELSE {dim} END AS LABEL,
+    {_MS.format(c='INVOICE_AMT')} AS AMOUNT, COUNT(*) AS "ROWS"
+  FROM rollup GROUP BY 1 ORDER BY AMOUNT DESC, LABEL LIMIT 8
+)
+SELECT LABEL, AMOUNT, "ROWS",
+  floor(AMOUNT / CAST(SUM(CAST(AMOUNT AS DECIMAL(18,2))) OVER () AS DOUBLE) * 1000 + 0.5) / 10 AS SHARE_PCT
+FROM top"""
+
+
+SQL["pie_top8_company"] = _pie("COMP_NM")
+SQL["pie_top8_product"] = _pie("PROD_NM")
+
+SQL["month_trend"] = "WITH " + _rollup() + f"""
+SELECT "MONTH",
+  CAST(list_position(['April', 'May', 'June', 'July', 'August', 'September', 'October', 'November',
+                      'December', 'January', 'February', 'March'], "MONTH") AS INTEGER) AS FISCAL_NO,
+  {_MS.format(c='INVOICE_AMT')} AS AMOUNT, {_MS.format(c='GST_AMT')} AS GST, COUNT(*) AS "ROWS"
+FROM rollup
+WHERE "MONTH" IN ('April', 'May', 'June', 'July', 'August', 'September', 'October', 'November',
+                  'December', 'January', 'February', 'March')
+GROUP BY "MONTH" """
+
+SQL["company_bar"] = "WITH " + _rollup() + f"""
+SELECT COMP_NM, {_MS.format(c='INVOICE_AMT')} AS AMOUNT, COUNT(*) AS "ROWS", {_MS.format(c='GST_AMT')} AS GST,
+  {_r2('CAST(SUM(CAST(INVOICE_AMT AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*)')} AS AVG_AMOUNT
+FROM rollup GROUP BY COMP_NM"""
+
+
+def _kpis(where: str = "") -> str:
+    return "WITH " + _rollup() + f"""
+SELECT {_r2('CAST(coalesce(SUM(CAST(INVOICE_AMT AS DECIMAL(18,2))), 0) AS DOUBLE)')} AS TOTAL_AMOUNT,
+  coalesce({_MS.format(c='GST_AMT')}, 0.0) AS TOTAL_GST,
+  COUNT(DISTINCT COMP_NM) AS COMPANIES, COUNT(*) AS "ROWS",
+  {_r2('CAST(coalesce(SUM(CAST(INVOICE_AMT AS DECIMAL(18,2))), 0) AS DOUBLE) / CASE WHEN COUNT(*) = 0 THEN 1 ELSE COUNT(*) END')} AS AVG_PER_ROW
+FROM rollup {where}"""
+
+
+SQL["ai_kpis"] = _kpis()
+SQL["ai_kpis_filtered"] = _kpis("WHERE COMP_NM IN ('ASIA', 'EUROPE') AND \"MONTH\" IN ('January', 'February', 'March')")
+
+SQL["purchase_register"] = "WITH " + _rollup() + """
+SELECT INVOICE_NO, COMP_NM, PROD_NM, "YEAR", "MONTH", concat_ws(' ', "MONTH", CAST("YEAR" AS VARCHAR)) AS PERIOD,
+  CUST_NM, INVOICE_AMT, GST_AMT, TOTAL_AMT
+FROM rollup
+ORDER BY COMP_NM NULLS FIRST, COMP_STATE NULLS FIRST, PROD_NM NULLS FIRST, CUST_NM NULLS FIRST,
+  CUST_STATE NULLS FIRST, "MONTH" NULLS FIRST, "YEAR" NULLS FIRST
+LIMIT 100"""
+
+
+# ---------------------------------------------------------- audit trail --
+_AUDIT = """
+src AS (
+  SELECT
+    CAST(o_custkey AS VARCHAR) AS vendor_no,
+    ['hdfc bank limited', 'axis bank', 'QATAR BANK', 'o''neil supplies'][(o_custkey % 4) + 1] AS vendor_name,
+    ['BANKL', 'Financial Services Outsourcing', 'PAN Number', 'Services', 'Address'][(o_orderkey % 5) + 1] AS field_changed,
+    CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'Desc ' || CAST(o_orderkey % 6 AS VARCHAR) END AS field_description,
+    CASE o_orderstatus WHEN 'F' THEN 'Deleted' WHEN 'O' THEN 'Inserted' ELSE 'Updated' END AS indicator,
+    CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS old_value,
+    CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) + (o_orderkey % 100) AS DECIMAL(18,2)) AS VARCHAR) AS new_value,
+    'user' || CAST(o_custkey % 9 AS VARCHAR) AS changed_by,
+    CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderpriority = '1-URGENT' THEN 'High' ELSE 'Low' END AS risk,
+    CASE WHEN month(o_orderdate) >= 4
+         THEN CAST(year(o_orderdate) AS VARCHAR) || '-' || lpad(CAST((year(o_orderdate) + 1) % 100 AS VARCHAR), 2, '0')
+         ELSE CAST(year(o_orderdate) - 1 AS VARCHAR) || '-' || lpad(CAST(year(o_orderdate) % 100 AS VARCHAR), 2, '0')
+    END AS yr,
+    CAST(o_orderkey % 10 + 1 AS VARCHAR) AS qty,
+    strftime(o_orderdate, '%B') AS month_name,
+    o_orderkey AS row_idx
+  FROM orders
+),
+audit AS (
+  SELECT
+    coalesce(nullif(vendor_name, ''), nullif(vendor_no, ''), 'Unspecified') AS Process,
+    coalesce(nullif(field_changed, ''), nullif(field_description, ''), 'Unspecified') AS Control,
+    coalesce(nullif(indicator, ''), 'Unspecified') AS Status,
+    coalesce(nullif(changed_by, ''), 'Unspecified') AS Owner,
+    coalesce(nullif(risk, ''), 'Unspecified') AS Department,
+    old_value || ' -> ' || new_value AS Remarks,
+    coalesce(nullif(vendor_no, ''), 'Unspecified') AS VendorNo,
+    CASE WHEN lower(vendor_name) = 'axis bank' THEN 'Axis Bank'
+         WHEN lower(vendor_name) = 'qatar bank' THEN 'Qatar Bank'
+         WHEN lower(vendor_name) = 'hdfc bank limited' THEN 'HDFC Bank Limited'
+         WHEN vendor_name = '' OR vendor_name = 'Unspecified' THEN 'Unspecified'
+         ELSE array_to_string(list_transform(regexp_extract_all(lower(vendor_name), '(\\p{L}+|[^\\p{L}]+)'),
+                                             lambda w: upper(w[1]) || w[2:]), '')
+    END AS VendorName,
+    coalesce(nullif(field_changed, ''), 'Unspecified') AS FieldChanged,
+    coalesce(nullif(field_description, ''), 'Unspecified') AS FieldDescription,
+    coalesce(nullif(indicator, ''), 'Unspecified') AS Indicator,
+    coalesce(nullif(old_value, ''), 'Unspecified') AS OldValue,
+    coalesce(nullif(new_value, ''), 'Unspecified') AS NewValue,
+    coalesce(nullif(changed_by, ''), 'Unspecified') AS ChangedBy,
+    coalesce(nullif(risk, ''), 'Unspecified') AS Risk,
+    coalesce(nullif(yr, ''), 'Unspecified') AS "Year",
+    coalesce(nullif(qty, ''), 'Unspecified') AS Quantity,
+    coalesce(nullif(month_name, ''), 'Unspecified') AS MonthName,
+    row_idx
+  FROM src
+)"""
+
+_FC = "lower(trim(FieldChanged))"
+_FOUR = f"""count(*) FILTER (WHERE {_FC} = 'bankl') AS banklCount,
+    count(*) FILTER (WHERE {_FC} = 'financial services outsourcing') AS financialServicesOutsourcingCount,
+    count(*) FILTER (WHERE {_FC} = 'pan number') AS panNumberCount,
+    count(*) FILTER (WHERE {_FC} = 'services') AS servicesCount"""
+
+SQL["audit_trail"] = "WITH " + _AUDIT + "\nSELECT * FROM audit"
+
+SQL["audit_vendor_buckets"] = "WITH " + _AUDIT + f""",
+b AS (
+  SELECT CASE WHEN lower(trim(VendorName)) LIKE '%hdfc%' THEN 'HDFC'
+              WHEN lower(trim(VendorName)) LIKE '%axis%' THEN 'Axis'
+              WHEN lower(trim(VendorName)) LIKE '%qatar%' THEN 'Qatar' ELSE 'Other' END AS vendorName,
+    {_FOUR}
+  FROM audit GROUP BY 1
+)
+SELECT vendorName, banklCount, financialServicesOutsourcingCount, panNumberCount, servicesCount,
+  banklCount + financialServicesOutsourcingCount + panNumberCount + servicesCount AS grandTotal,
+  CAST(CASE vendorName WHEN 'HDFC' THEN 1 WHEN 'Axis' THEN 2 ELSE 3 END AS INTEGER) AS BUCKET_NO
+FROM b WHERE vendorName IN ('HDFC', 'Axis', 'Qatar')"""
+
+
+def _vendor_summary(where: str = "") -> str:
+    return "WITH " + _AUDIT + f"""
+SELECT trim(VendorName) AS vendorName, {_FOUR}, COUNT(*) AS grandTotal
+FROM audit WHERE trim(VendorName) <> '' {where}
+GROUP BY 1"""
+
+
+SQL["audit_vendor_summary"] = _vendor_summary()
+SQL["audit_vendor_summary_filtered"] = _vendor_summary("AND \"Year\" = '1996-97' AND MonthName = 'March'")
+
+SQL["audit_field_risk"] = "WITH " + _AUDIT + """
+SELECT CASE WHEN trim(FieldDescription) = '' OR trim(FieldDescription) = 'Unspecified'
+            THEN coalesce(nullif(trim(FieldChanged), ''), 'Unspecified') ELSE trim(FieldDescription) END AS fieldDescription,
+  count(*) FILTER (WHERE lower(trim(Risk)) = 'high') AS highRiskCount,
+  count(*) FILTER (WHERE lower(trim(Risk)) <> 'high') AS lowRiskCount,
+  COUNT(*) AS grandTotal
+FROM audit GROUP BY 1"""
+
+SQL["audit_status_count"] = "WITH " + _AUDIT + "\nSELECT Status AS \"VALUE\", COUNT(*) AS \"ROWS\" FROM audit GROUP BY 1"
+SQL["audit_owner_count"] = "WITH " + _AUDIT + "\nSELECT Owner AS \"VALUE\", COUNT(*) AS \"ROWS\" FROM audit GROUP BY 1"
+SQL["audit_total_rows"] = "WITH " + _AUDIT + "\nSELECT COUNT(*) AS total_rows FROM audit"
+SQL["audit_facets"] = "WITH " + _AUDIT + """
+SELECT DISTINCT * FROM (
+  SELECT 'Year' AS FACET, "Year" AS "VALUE" FROM audit
+  UNION ALL SELECT 'Quantity', Quantity FROM audit
+  UNION ALL SELECT 'MonthName', MonthName FROM audit
+) t WHERE "VALUE" IS NOT NULL AND "VALUE" <> ''"""
+SQL["audit_match_counts"] = "WITH " + _AUDIT + """
+SELECT count(*) FILTER (WHERE "Year" = '1996-97' AND MonthName = 'March') AS matching_rows, COUNT(*) AS all_rows
+FROM audit"""

@@ -201,3 +201,110 @@ def q_hygiene_dup_cust_company(spark, sf):
     """W2 + H5: the duplicate-customer check restricted to three companies."""
     rows = P.filter_dims(I.purchases(spark, sf), {"company": ["NATION_1", "NATION_7", "NATION_19"]})
     return H.dup_customers_filtered(rows)
+
+
+# ------------------------------------------------------------ dashboard --
+from ledgerlens.operators import dashboard as D  # noqa: E402
+
+
+@query("monthly_purchase")
+def q_monthly_purchase(spark, sf):
+    return D.monthly_purchase(I.rollup(spark, sf))
+
+
+@query("pie_top8_company")
+def q_pie_company(spark, sf):
+    return D.pie_top(I.rollup(spark, sf), "COMP_NM", 8)
+
+
+@query("pie_top8_product")
+def q_pie_product(spark, sf):
+    return D.pie_top(I.rollup(spark, sf), "PROD_NM", 8)
+
+
+@query("month_trend")
+def q_month_trend(spark, sf):
+    return D.month_trend(I.rollup(spark, sf))
+
+
+@query("company_bar")
+def q_company_bar(spark, sf):
+    return D.company_bar(I.rollup(spark, sf))
+
+
+@query("ai_kpis")
+def q_ai_kpis(spark, sf):
+    return D.ai_kpis(I.rollup(spark, sf))
+
+
+@query("ai_kpis_filtered")
+def q_ai_kpis_filtered(spark, sf):
+    """W1 + A24: KPIs over the rollup filtered to two regions and a quarter."""
+    f = {"company": ["ASIA", "EUROPE"], "month": ["January", "February", "March"]}
+    return D.ai_kpis(P.filter_dims(I.rollup(spark, sf), f))
+
+
+@query("purchase_register")
+def q_purchase_register(spark, sf):
+    return D.purchase_register(I.rollup(spark, sf), 100)
+
+
+# ---------------------------------------------------------- audit trail --
+from ledgerlens.operators import audit_trail as A  # noqa: E402
+
+
+def _audit(spark, sf):
+    return A.audit_trail_normalize(T.audit_trail_source(spark, sf))
+
+
+_AUDIT_FILTER = {"Year": "1996-97", "MonthName": "March"}
+
+
+@query("audit_trail")
+def q_audit_trail(spark, sf):
+    return _audit(spark, sf)
+
+
+@query("audit_vendor_buckets")
+def q_audit_vendor_buckets(spark, sf):
+    return A.audit_vendor_buckets(_audit(spark, sf))
+
+
+@query("audit_vendor_summary")
+def q_audit_vendor_summary(spark, sf):
+    return A.audit_vendor_summary(_audit(spark, sf))
+
+
+@query("audit_vendor_summary_filtered")
+def q_audit_vendor_summary_filtered(spark, sf):
+    return A.audit_vendor_summary(A.filter_audit_trail(_audit(spark, sf), _AUDIT_FILTER))
+
+
+@query("audit_field_risk")
+def q_audit_field_risk(spark, sf):
+    return A.audit_field_risk(_audit(spark, sf))
+
+
+@query("audit_status_count")
+def q_audit_status_count(spark, sf):
+    return A.audit_counts(_audit(spark, sf), "Status")
+
+
+@query("audit_owner_count")
+def q_audit_owner_count(spark, sf):
+    return A.audit_counts(_audit(spark, sf), "Owner")
+
+
+@query("audit_total_rows")
+def q_audit_total_rows(spark, sf):
+    return A.audit_total_rows(_audit(spark, sf))
+
+
+@query("audit_facets")
+def q_audit_facets(spark, sf):
+    return A.audit_facets(_audit(spark, sf))
+
+
+@query("audit_match_counts")
+def q_audit_match_counts(spark, sf):
+    return A.audit_match_counts(_audit(spark, sf), _AUDIT_FILTER)
