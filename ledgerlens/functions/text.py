@@ -21,15 +21,24 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# The same set as literal characters, for ``btrim`` (no regex per row).
+PY_WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(col: Column | str) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col).cast("string"), _EDGE_WS, "")
+    return F.btrim(_c(col).cast("string"), F.lit(PY_WHITESPACE_CHARS))
 
 
 def safe_value(col: Column | str) -> Column:
     """null -> '', else stripped text; the word 'nan' (any case) -> ''."""
-    s = F.coalesce(strip(col), F.lit(""))
-    return F.when(F.lower(s) == "nan", F.lit("")).otherwise(s)
+    # One reference to the input keeps expression trees linear when these
+    # are nested (a when/otherwise would copy the input twice per level).
+    return F.regexp_replace(F.coalesce(strip(col), F.lit("")), "^(?i:nan)$", "")
 
 
 def safe_text(col: Column | str, default: str = "") -> Column:

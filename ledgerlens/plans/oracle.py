@@ -549,3 +549,279 @@ SELECT DISTINCT * FROM (
 SQL["audit_match_counts"] = "WITH " + _AUDIT + """
 SELECT count(*) FILTER (WHERE "Year" = '1996-97' AND MonthName = 'March') AS matching_rows, COUNT(*) AS all_rows
 FROM audit"""
+
+
+# --------------------------------------------------------- observations --
+_OBS_FIELDS = [
+    "category", "table_name", "entity_key", "ObservationTitle",
+    "ObservationSubProcess", "RepeatObservation", "ObservationType",
+    "RiskType", "Department", "SBU", "FollowUpFrequency", "ShareWith",
+    "ObservationDescription", "ShortObservation", "RootCause",
+    "ImpactConcern", "FinancialImplication", "Auditee", "OtherAuditee",
+    "Escalator1", "Escalator2", "Escalator3", "Recommendation",
+    "CorrectiveActionPlan", "PreventiveActionPlan", "ShortActionPlan",
+    "TargetDateNotApplicable", "TargetDate", "RevisedTargetDate",
+    "PercentageCompletedAuditee", "PercentageCompletedAuditor",
+    "ClosureDate", "ClosureReason", "FromDate", "ToDate",
+]
+_OBS_CATS = ("['multi_tax', 'prod_gst', 'dup_cust', 'prod_name', 'prod_code', 'itc_access_lwd', "
+             "'itc_inactive_90', 'itc_pwd_stale', 'itc_after_hours', 'itc_failed_login', 'itc_above_limit', "
+             "'hr_dup_bank', 'hr_dup_pan_aadhaar', 'hr_missing_ids', 'hr_missing_master', 'hr_same_pan']")
+_OBS_VALUES = {
+    "category": f"CASE WHEN k % 18 = 16 THEN 'bogus' WHEN k % 18 = 17 THEN '' ELSE {_OBS_CATS}[(k % 18) + 1] END",
+    "table_name": "'Table ' || CAST(k % 18 AS VARCHAR)",
+    "entity_key": "CASE WHEN k % 3 = 0 THEN '' ELSE 'EK-' || CAST(k AS VARCHAR) END",
+    "ObservationTitle": "CASE WHEN k % 7 = 0 THEN '' ELSE 'Observation #' || CAST(k AS VARCHAR) || ' / ' || o_orderpriority END",
+    "RiskType": "CASE o_orderpriority WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'High' ELSE 'Low' END",
+    "Department": "['Finance', 'HR', 'IT', 'Operations', 'Sales'][(k % 5) + 1]",
+    "RepeatObservation": "CASE WHEN k % 2 = 0 THEN 'Yes' ELSE 'No' END",
+    "TargetDate": "strftime(o_orderdate, '%Y-%m-%d')",
+    "PercentageCompletedAuditee": "CAST(k % 101 AS VARCHAR)",
+    "Auditee": "'Auditee ' || CAST(o_custkey % 13 AS VARCHAR)",
+}
+
+
+def _obs_value(f: str) -> str:
+    v = _OBS_VALUES.get(f, f"'{f[:4]}-' || CAST(k % 9 AS VARCHAR)")
+    return f"CASE WHEN k % 50 = 0 THEN NULL ELSE {v} END AS {f}"
+
+
+def _clean(f: str) -> str:
+    return f"CASE WHEN lower(trim(coalesce({f}, ''))) = 'nan' THEN '' ELSE trim(coalesce({f}, '')) END AS {f}"
+
+
+def _slug(x: str) -> str:
+    return f"lower(regexp_replace(regexp_replace({x}, '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'))"
+
+
+_ROWN = "'row-' || CAST(row_idx + 2 AS VARCHAR)"
+_EKEY = (f"CASE WHEN entity_key <> '' THEN entity_key "
+         f"WHEN {_slug(f'coalesce(nullif(ObservationTitle, {chr(39)}{chr(39)}), nullif(table_name, {chr(39)}{chr(39)}), {_ROWN})')} = '' "
+         f"THEN {_ROWN} "
+         f"ELSE {_slug(f'coalesce(nullif(ObservationTitle, {chr(39)}{chr(39)}), nullif(table_name, {chr(39)}{chr(39)}), {_ROWN})')} END")
+
+
+def _obs(valid: str = _OBS_CATS) -> str:
+    fields = ", ".join(_OBS_FIELDS)
+    loaded_cols = ", ".join(_EKEY + " AS entity_key" if f == "entity_key" else f for f in _OBS_FIELDS)
+    return f"""
+obs_src AS (
+  SELECT {', '.join(_obs_value(f) for f in _OBS_FIELDS)}, k AS row_idx
+  FROM (SELECT *, o_orderkey AS k FROM orders) o
+),
+obs_clean AS (SELECT {', '.join(_clean(f) for f in _OBS_FIELDS)}, row_idx FROM obs_src),
+obs_class AS (
+  SELECT *, CASE WHEN concat({fields}) = '' THEN 'blank'
+                 WHEN list_contains({valid}, category) THEN 'inserted' ELSE 'skipped' END AS outcome
+  FROM obs_clean
+),
+loaded AS (SELECT {loaded_cols}, row_idx FROM obs_class WHERE outcome = 'inserted'),
+snapshot AS (SELECT {fields}, row_number() OVER (ORDER BY row_idx) AS id FROM loaded)"""
+
+
+_SEED = "['multi_tax', 'prod_gst', 'dup_cust', 'prod_name', 'prod_code']"
+
+SQL["observations_loaded"] = "WITH " + _obs() + "\nSELECT * FROM loaded"
+SQL["observations_seed"] = "WITH " + _obs(_SEED) + "\nSELECT * FROM loaded"
+SQL["upload_accounting"] = "WITH " + _obs() + """
+SELECT count(*) FILTER (WHERE outcome = 'inserted') AS inserted,
+  count(*) FILTER (WHERE outcome = 'skipped') AS skipped,
+  count(*) FILTER (WHERE outcome = 'blank') AS ignored_blank, COUNT(*) AS total
+FROM obs_class"""
+SQL["observations_list_dup_cust"] = "WITH " + _obs() + "\nSELECT * FROM snapshot WHERE category = 'dup_cust'"
+SQL["observation_category_titles"] = "WITH " + _obs() + """,
+titles(category, category_title) AS (VALUES
+  ('multi_tax', 'Multiple Tax Code'), ('prod_gst', 'Same Product Multiple GST Rate'),
+  ('dup_cust', 'Duplicate Customer Name'), ('prod_name', 'Product Name Check'),
+  ('prod_code', 'Product Code Check'), ('itc_access_lwd', 'Access After Last Working Day'),
+  ('itc_inactive_90', 'Users Not Logged In for 90+ Days'), ('itc_pwd_stale', 'Password Not Changed'),
+  ('itc_after_hours', 'Login Outside Business Hours'), ('itc_failed_login', 'Multiple Failed Login Attempts'),
+  ('itc_above_limit', 'Approved Above Authorized Limit'),
+  ('hr_dup_bank', 'Multiple employees using same bank account'),
+  ('hr_dup_pan_aadhaar', 'Duplicate PAN/Aadhaar/Bank Account'),
+  ('hr_missing_ids', 'Missing PAN/Aadhaar/Bank Account'),
+  ('hr_missing_master', 'Missing Department/Location/Grade'), ('hr_same_pan', 'Multiple employees with same PAN'))
+SELECT s.category, coalesce(t.category_title, s.category) AS category_title, COUNT(*) AS "ROWS"
+FROM snapshot s LEFT JOIN titles t ON t.category = s.category
+GROUP BY 1, 2"""
+
+_CHANGE_COLS = ", ".join(
+    ("'Revised #' || CAST(row_idx AS VARCHAR) AS ObservationTitle" if f == "ObservationTitle"
+     else "'Critical' AS RiskType" if f == "RiskType" else f)
+    for f in _OBS_FIELDS
+)
+SQL["observations_upsert"] = "WITH " + _obs() + f""",
+changes AS (
+  SELECT CASE WHEN row_idx % 19 = 0 THEN row_idx // 2 END AS id, row_idx AS seq, {_CHANGE_COLS}
+  FROM obs_src WHERE row_idx % 19 = 0 OR row_idx % 23 = 0
+),
+changes_clean AS (
+  SELECT id, seq, {', '.join(f"coalesce(trim({f}), '') AS {f}" for f in _OBS_FIELDS)} FROM changes
+),
+last_update AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn
+                 FROM changes_clean WHERE id IS NOT NULL) t WHERE rn = 1
+),
+updated AS (
+  SELECT {', '.join(f"coalesce(u.{f}, s.{f}) AS {f}" for f in _OBS_FIELDS)}, s.id
+  FROM snapshot s LEFT JOIN last_update u ON u.id = s.id
+),
+inserted AS (
+  SELECT {', '.join(_OBS_FIELDS)},
+    (SELECT coalesce(max(id), 0) FROM snapshot) + row_number() OVER (ORDER BY seq) AS id
+  FROM changes_clean WHERE id IS NULL
+)
+SELECT * FROM updated UNION ALL SELECT * FROM inserted"""
+
+SQL["observations_delete"] = "WITH " + _obs() + """
+SELECT * FROM snapshot WHERE id NOT IN (SELECT o_orderkey // 3 FROM orders WHERE o_orderkey % 17 = 0)"""
+
+
+# ----------------------------------------------------------------- loans --
+_LOANS = """
+li_g AS (
+  SELECT l_orderkey, l_linenumber,
+    SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS opening,
+    SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2))) AS interest,
+    SUM(CAST(l_quantity AS DECIMAL(18,2))) AS principal,
+    MAX(CAST(l_tax AS DECIMAL(4,2))) AS rate,
+    MIN(l_suppkey) AS min_supp
+  FROM lineitem GROUP BY l_orderkey, l_linenumber
+),
+calc AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS person, l_linenumber AS "month", opening, interest, principal,
+    interest + principal AS emi, opening - principal AS closing, rate,
+    CASE WHEN min_supp % 50 = 0 THEN 400 END AS other_charge
+  FROM li_g
+),
+bank AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS person, l_linenumber AS "month", opening,
+    interest + CASE WHEN min_supp % 50 = 0 THEN 10 ELSE 0 END AS interest, principal,
+    interest + CASE WHEN min_supp % 50 = 0 THEN 10 ELSE 0 END + principal AS emi,
+    opening - principal AS closing, rate
+  FROM li_g
+),
+diff AS (
+  SELECT coalesce(c.person, b.person) AS person, coalesce(c."month", b."month") AS "month",
+    CAST(c.opening AS DOUBLE) AS calc_opening, CAST(c.interest AS DOUBLE) AS calc_interest,
+    CAST(c.principal AS DOUBLE) AS calc_principal, CAST(c.emi AS DOUBLE) AS calc_emi,
+    CAST(c.closing AS DOUBLE) AS calc_closing, CAST(c.rate AS DOUBLE) AS calc_rate,
+    CAST(c.other_charge AS DOUBLE) AS other_charge,
+    CAST(b.opening AS DOUBLE) AS bank_opening, CAST(b.interest AS DOUBLE) AS bank_interest,
+    CAST(b.principal AS DOUBLE) AS bank_principal, CAST(b.emi AS DOUBLE) AS bank_emi,
+    CAST(b.closing AS DOUBLE) AS bank_closing, CAST(b.rate AS DOUBLE) AS bank_rate,
+    CAST(coalesce(b.opening - c.opening, 0) AS DOUBLE) AS diff_opening,
+    CAST(coalesce(b.interest - c.interest, 0) AS DOUBLE) AS diff_interest,
+    CAST(coalesce(b.principal - c.principal, 0) AS DOUBLE) AS diff_principal,
+    CAST(coalesce(b.emi - c.emi, 0) AS DOUBLE) AS diff_emi,
+    CAST(coalesce(b.closing - c.closing, 0) AS DOUBLE) AS diff_closing,
+    CAST(coalesce(b.rate - c.rate, 0) AS DOUBLE) AS diff_rate
+  FROM calc c FULL OUTER JOIN bank b ON b.person = c.person AND b."month" = c."month"
+),
+diff2 AS (
+  SELECT *, (diff_opening <> 0 OR diff_interest <> 0 OR diff_principal <> 0 OR diff_emi <> 0
+             OR diff_closing <> 0 OR diff_rate <> 0) AS DIFF_HIT
+  FROM diff
+),
+meta AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS person,
+    ['Home Loan', 'Vehicle Loan', 'Personal Loan', 'Business Loan', 'Education Loan'][(l_orderkey % 5) + 1] AS loan_type,
+    ['Bangalore', 'Mumbai', 'Delhi', 'Chennai', 'Pune'][(l_orderkey % 6) + 1] AS location
+  FROM (SELECT DISTINCT l_orderkey FROM lineitem) t WHERE l_orderkey % 6 <> 5
+)"""
+
+SQL["loan_diff"] = "WITH " + _LOANS + "\nSELECT * FROM diff2"
+SQL["loan_diff_hits"] = "WITH " + _LOANS + """
+SELECT person, "month", diff_opening, diff_interest, diff_principal, diff_emi, diff_closing, diff_rate, other_charge
+FROM diff2 WHERE DIFF_HIT"""
+SQL["loan_filtered"] = "WITH " + _LOANS + """
+SELECT d.person, d."month", m.loan_type, m.location, d.diff_interest, d.DIFF_HIT
+FROM diff2 d JOIN meta m ON m.person = d.person
+WHERE m.loan_type = 'Home Loan' AND m.location = 'Mumbai'"""
+
+
+# -------------------------------------------------------------- controls --
+def _shared_id(x: str, digits: str) -> str:
+    return f"CAST(CASE WHEN c_custkey % 10 IN {digits} THEN c_custkey - c_custkey % 10 ELSE c_custkey END AS VARCHAR)"
+
+
+_EMP = f"""
+emp AS (
+  SELECT c_custkey AS emp_id, c_name AS name,
+    CASE WHEN c_custkey % 31 = 0 THEN NULL ELSE '5010' || lpad({_shared_id('c_custkey', '(0, 3)')}, 10, '0') END AS bank_acct,
+    CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 'PAN' || lpad({_shared_id('c_custkey', '(1, 4)')}, 7, '0') END AS pan,
+    CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE lpad({_shared_id('c_custkey', '(2, 7)')}, 12, '0') END AS aadhaar,
+    CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE ['Finance', 'HR', 'IT', 'Operations', 'Sales'][(c_custkey % 5) + 1] END AS department,
+    CASE WHEN c_custkey % 19 = 0 THEN NULL
+         ELSE ['Bangalore', 'Mumbai', 'Delhi', 'Chennai', 'Pune', 'Hyderabad', 'Kolkata'][(c_custkey % 7) + 1] END AS location,
+    CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE 'G' || CAST(c_custkey % 6 + 1 AS VARCHAR) END AS grade
+  FROM customer
+),
+ids AS (
+  SELECT 'PAN' AS PARTICULARS, pan AS "VALUE", emp_id, name FROM emp WHERE pan IS NOT NULL AND trim(pan) <> ''
+  UNION ALL SELECT 'Aadhaar', aadhaar, emp_id, name FROM emp WHERE aadhaar IS NOT NULL AND trim(aadhaar) <> ''
+  UNION ALL SELECT 'Bank Account', bank_acct, emp_id, name FROM emp WHERE bank_acct IS NOT NULL AND trim(bank_acct) <> ''
+),
+shared AS (
+  SELECT PARTICULARS, "VALUE", COUNT(DISTINCT emp_id) AS EMPLOYEES FROM ids GROUP BY 1, 2 HAVING COUNT(DISTINCT emp_id) > 1
+)"""
+
+SQL["hr_dup_bank"] = "WITH " + _EMP + """
+SELECT i."VALUE" AS BANK_ACCT, i.emp_id, i.name, s.EMPLOYEES
+FROM ids i JOIN shared s ON s.PARTICULARS = i.PARTICULARS AND s."VALUE" = i."VALUE" WHERE i.PARTICULARS = 'Bank Account'"""
+SQL["hr_same_pan"] = "WITH " + _EMP + """
+SELECT i."VALUE" AS PAN, i.emp_id, i.name, s.EMPLOYEES
+FROM ids i JOIN shared s ON s.PARTICULARS = i.PARTICULARS AND s."VALUE" = i."VALUE" WHERE i.PARTICULARS = 'PAN'"""
+SQL["hr_dup_statutory_ids"] = "WITH " + _EMP + """
+SELECT i.PARTICULARS, i."VALUE", i.emp_id, i.name, s.EMPLOYEES
+FROM ids i JOIN shared s ON s.PARTICULARS = i.PARTICULARS AND s."VALUE" = i."VALUE" """
+SQL["hr_missing_ids"] = "WITH " + _EMP + """
+SELECT emp_id, name, 'PAN' AS MISSING FROM emp WHERE pan IS NULL OR trim(pan) = ''
+UNION ALL SELECT emp_id, name, 'Aadhaar' FROM emp WHERE aadhaar IS NULL OR trim(aadhaar) = ''
+UNION ALL SELECT emp_id, name, 'Bank Account' FROM emp WHERE bank_acct IS NULL OR trim(bank_acct) = ''"""
+SQL["hr_missing_master"] = "WITH " + _EMP + """
+SELECT emp_id, name, 'Department' AS MISSING FROM emp WHERE department IS NULL OR trim(department) = ''
+UNION ALL SELECT emp_id, name, 'Location' FROM emp WHERE location IS NULL OR trim(location) = ''
+UNION ALL SELECT emp_id, name, 'Grade' FROM emp WHERE grade IS NULL OR trim(grade) = ''"""
+
+_ACC = """
+acc AS (
+  SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, value,
+    CASE WHEN event_type IN ('view', 'click') THEN 'login' WHEN event_type = 'error' THEN 'failed_login'
+         WHEN event_type = 'purchase' THEN 'approval' WHEN event_type = 'signup' THEN 'password_change' END AS kind
+  FROM events
+)"""
+
+SQL["itc_access_after_lwd"] = "WITH " + _ACC + """,
+exits AS (
+  SELECT user_id, CAST(DATE '2024-01-15' + CAST(user_id % 15 AS INTEGER) AS DATE) AS last_working_day
+  FROM (SELECT DISTINCT user_id FROM events) u WHERE user_id % 3 = 0
+),
+last AS (SELECT user_id, CAST(max(ts) AS DATE) AS last_access_date FROM acc WHERE kind = 'login' GROUP BY 1)
+SELECT e.user_id, e.last_working_day, l.last_access_date,
+  CAST(date_diff('day', e.last_working_day, l.last_access_date) AS INTEGER) AS DAYS_AFTER_LWD
+FROM exits e JOIN last l ON l.user_id = e.user_id
+WHERE date_diff('day', e.last_working_day, l.last_access_date) >= 1"""
+
+
+def _since(kind: str, name: str) -> str:
+    return "WITH " + _ACC + f""",
+last AS (SELECT user_id, CAST(max(ts) AS DATE) AS last_date FROM acc WHERE kind = '{kind}' GROUP BY 1)
+SELECT user_id, last_date, CAST(date_diff('day', last_date, DATE '2024-04-29') AS INTEGER) AS {name}
+FROM last WHERE date_diff('day', last_date, DATE '2024-04-29') >= 91"""
+
+
+SQL["itc_inactive_90"] = _since("login", "DAYS_NOT_LOGGED_IN")
+SQL["itc_password_stale"] = _since("password_change", "DAYS_SINCE_PWD_CHANGE")
+SQL["itc_after_hours"] = "WITH " + _ACC + """
+SELECT user_id, COUNT(*) AS AFTER_HOURS_LOGINS FROM acc
+WHERE kind = 'login' AND value > 150 AND (hour(ts) < 9 OR hour(ts) >= 18)
+GROUP BY 1 HAVING COUNT(*) >= 1"""
+SQL["itc_failed_logins"] = "WITH " + _ACC + """
+SELECT user_id, count(*) FILTER (WHERE kind = 'failed_login' AND value > 75) AS FAILED_LOGINS FROM acc
+GROUP BY 1 HAVING count(*) FILTER (WHERE kind = 'failed_login' AND value > 75) >= 5"""
+SQL["itc_above_limit"] = "WITH " + _ACC + """,
+limits AS (SELECT user_id, 60.0 + 30.0 * (user_id % 3) AS approval_limit FROM (SELECT DISTINCT user_id FROM events) u)
+SELECT a.user_id, count(*) FILTER (WHERE a.value > l.approval_limit) AS ABOVE_LIMIT
+FROM acc a JOIN limits l ON l.user_id = a.user_id WHERE a.kind = 'approval'
+GROUP BY 1 HAVING count(*) FILTER (WHERE a.value > l.approval_limit) >= 3"""

@@ -308,3 +308,155 @@ def q_audit_facets(spark, sf):
 @query("audit_match_counts")
 def q_audit_match_counts(spark, sf):
     return A.audit_match_counts(_audit(spark, sf), _AUDIT_FILTER)
+
+
+# --------------------------------------------------------- observations --
+from ledgerlens.operators import observations as O  # noqa: E402
+
+
+def _loaded(spark, sf, valid=O.VALID_CATEGORIES):
+    return O.observations_load(T.observations_source(spark, sf), valid)
+
+
+def _snapshot(spark, sf):
+    """Observation table after a full load: ids 1..n in upload row order.
+
+    As in the reference's workflow the upload is stored first (a written
+    table in the shared checkpoint folder); ids are assigned on the stored
+    rows.
+    """
+    from ledgerlens.sinks.tables import materialize
+
+    stored = materialize(_loaded(spark, sf), "observations-upload")
+    return O.dense_ids(stored, 0, "row_idx").drop("row_idx")
+
+
+@query("observations_loaded")
+def q_observations_loaded(spark, sf):
+    return _loaded(spark, sf)
+
+
+@query("observations_seed")
+def q_observations_seed(spark, sf):
+    return _loaded(spark, sf, O.SEED_CATEGORIES)
+
+
+@query("upload_accounting")
+def q_upload_accounting(spark, sf):
+    return O.upload_accounting(T.observations_source(spark, sf))
+
+
+@query("observations_list_dup_cust")
+def q_observations_list(spark, sf):
+    return O.observations_list(_snapshot(spark, sf), "dup_cust")
+
+
+@query("observation_category_titles")
+def q_observation_titles(spark, sf):
+    obs = O.with_category_title(_snapshot(spark, sf))
+    return obs.groupBy("category", "category_title").agg(F.count(F.lit(1)).alias("ROWS"))
+
+
+@query("observations_upsert")
+def q_observations_upsert(spark, sf):
+    return O.observations_upsert(_snapshot(spark, sf), T.observation_changes_source(spark, sf))
+
+
+@query("observations_delete")
+def q_observations_delete(spark, sf):
+    ids = T.table(spark, sf, "orders").filter(F.col("o_orderkey") % 17 == 0).select(
+        (F.col("o_orderkey") / 3).cast("long").alias("id"))
+    return O.observations_delete(_snapshot(spark, sf), ids)
+
+
+# ----------------------------------------------------------------- loans --
+from ledgerlens.operators import loan as L  # noqa: E402
+
+
+def _loan_diff(spark, sf):
+    calc, bank, _ = T.loan_sources(spark, sf)
+    return L.loan_diff(calc, bank)
+
+
+def _dec_to_double(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c)
+                       for c, t in df.dtypes])
+
+
+@query("loan_diff")
+def q_loan_diff(spark, sf):
+    return _dec_to_double(_loan_diff(spark, sf))
+
+
+@query("loan_diff_hits")
+def q_loan_diff_hits(spark, sf):
+    d = _loan_diff(spark, sf).filter("DIFF_HIT")
+    return _dec_to_double(d.select("person", "month", *[f"diff_{m}" for m in L.LOAN_MEASURES], "other_charge"))
+
+
+@query("loan_filtered")
+def q_loan_filtered(spark, sf):
+    _, _, meta = T.loan_sources(spark, sf)
+    d = L.filter_loan(L.with_loan_meta(_loan_diff(spark, sf), meta), "Home Loan", "Mumbai")
+    return _dec_to_double(d.select("person", "month", "loan_type", "location", "diff_interest", "DIFF_HIT"))
+
+
+# -------------------------------------------------------------- controls --
+from ledgerlens.operators import controls as C  # noqa: E402
+
+AS_OF = "2024-04-29"
+
+
+@query("hr_dup_bank")
+def q_hr_dup_bank(spark, sf):
+    return C.hr_dup_bank(T.employees_source(spark, sf))
+
+
+@query("hr_dup_statutory_ids")
+def q_hr_dup_ids(spark, sf):
+    return C.hr_dup_statutory_ids(T.employees_source(spark, sf))
+
+
+@query("hr_missing_ids")
+def q_hr_missing_ids(spark, sf):
+    return C.hr_missing_ids(T.employees_source(spark, sf))
+
+
+@query("hr_missing_master")
+def q_hr_missing_master(spark, sf):
+    return C.hr_missing_master(T.employees_source(spark, sf))
+
+
+@query("hr_same_pan")
+def q_hr_same_pan(spark, sf):
+    return C.hr_same_pan(T.employees_source(spark, sf))
+
+
+@query("itc_access_after_lwd")
+def q_itc_access_lwd(spark, sf):
+    return C.itc_access_after_lwd(T.access_events_source(spark, sf), T.exits_source(spark, sf))
+
+
+@query("itc_inactive_90")
+def q_itc_inactive(spark, sf):
+    return C.itc_inactive(T.access_events_source(spark, sf), AS_OF)
+
+
+@query("itc_password_stale")
+def q_itc_pwd(spark, sf):
+    return C.itc_password_stale(T.access_events_source(spark, sf), AS_OF)
+
+
+@query("itc_after_hours")
+def q_itc_after_hours(spark, sf):
+    return C.itc_after_hours(T.access_events_source(spark, sf))
+
+
+@query("itc_failed_logins")
+def q_itc_failed(spark, sf):
+    return C.itc_failed_logins(T.access_events_source(spark, sf))
+
+
+@query("itc_above_limit")
+def q_itc_above_limit(spark, sf):
+    return C.itc_above_limit(T.access_events_source(spark, sf), T.approval_limits_source(spark, sf))

@@ -363,3 +363,19 @@ __all__ = [
     "observations_source", "remark_log_source", "loan_sources", "employees_source",
     "access_events_source", "exits_source", "approval_limits_source", "OBSERVATION_CATEGORIES",
 ]
+
+
+def observation_changes_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved observation forms -- updates by id (some ids absent) and new rows."""
+    from ledgerlens.operators.observations import ALL_FIELDS
+
+    ok = F.col("row_idx")  # the order key
+    rows = observations_source(spark, sf_dir).filter((ok % 19 == 0) | (ok % 23 == 0))
+    fields = [F.col(f) for f in ALL_FIELDS if f not in ("ObservationTitle", "RiskType")]
+    return rows.select(
+        F.when(ok % 19 == 0, (ok / 2).cast("long")).alias("id"),
+        ok.alias("seq"),
+        *fields,
+        F.concat(F.lit("Revised #"), ok.cast("string")).alias("ObservationTitle"),
+        F.lit("Critical").alias("RiskType"),
+    )
