@@ -35,8 +35,22 @@ LOCATIONS = ["Bangalore", "Mumbai", "Delhi", "Chennai", "Pune", "Hyderabad", "Ko
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
+_RELATIONS: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan of one input table, resolved once per session.
+
+    Resolving a parquet relation lists its files and reads footers; on a
+    large table that is the expensive part of building a plan, so the
+    resolved relation is reused (as a catalog table would be).
+    """
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    rel = _RELATIONS.get(key)
+    if rel is None:
+        rel = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        _RELATIONS[key] = rel
+    return rel
 
 
 def _pick(values: list, index: Column) -> Column:
@@ -77,9 +91,13 @@ def purchase_source(spark: SparkSession, sf_dir: str, coarse: bool = False) -> D
         .otherwise(_pick(GST_SLABS, F.col("p_size") % 5))
         .cast("double")
     )
-    net = (
-        F.col("l_extendedprice").cast("decimal(18,2)") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
-    ).cast("double")
+    # price × (1 − discount) on exact integer cents and percent: the exact
+    # product divided once (correctly rounded) -- bit-identical to the
+    # decimal(18,2) × decimal(4,2) result cast to double, without per-row
+    # BigDecimal arithmetic.
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+    pct = F.rint(F.col("l_discount") * 100).cast("bigint")
+    net = (cents * (F.lit(100) - pct)).cast("double") / 10000.0
     gst = round2(net * rate / 100) + F.when(F.col("l_tax") == 0.08, F.lit(5.0)).otherwise(F.lit(0.0))
     if coarse:
         store_name = F.col("r_name")
