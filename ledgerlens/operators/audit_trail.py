@@ -101,7 +101,7 @@ def audit_trail_normalize(raw: DataFrame) -> DataFrame:
     if "remarks" in aliases:
         remarks = safe_value(F.col(f"`{aliases['remarks']}`"))
     else:
-        remarks = F.concat(v("Old Value", "OldValue"), F.lit(" -> "), v("New Value", "NewValue"))
+        remarks = safe_value(F.concat(v("Old Value", "OldValue"), F.lit(" -> "), v("New Value", "NewValue")))
     out = []
     for name in AUDIT_FIELDS:
         if name == "Remarks":

@@ -155,6 +155,8 @@ def dense_ids(df: DataFrame, start: Column | int, order_col: str) -> DataFrame:
     (bucket, rows-before) pair per bucket, bounded by the bucket count; an
     id is its bucket's offset plus its rank inside the bucket.  No global
     sort and no single-task window over the rows.
+    The input is planned three times (bounds, offsets, rows): pass a
+    stored table (or another cheap plan), as the observation workflow does.
     """
     n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = F.col(order_col).cast("double")

@@ -22,24 +22,29 @@ from pyspark.sql import functions as F
 REMARK_COLUMNS = ["issue_id", "category", "entity_key", "remark", "updated_at"]
 
 
-def remarks_merge(log: DataFrame, ts_col: str = "ts", seq_col: str = "seq") -> DataFrame:
-    """K7: compact a (issue_id, category, entity_key, remark, action, ts, seq) log."""
+def remarks_merge(log: DataFrame, ts_col: str = "ts", seq_col: str = "seq",
+                  updated_col: str | None = None) -> DataFrame:
+    """K7: compact a (issue_id, category, entity_key, remark, action, ts, seq) log.
+
+    ``(ts, seq)`` orders the requests.  ``updated_col`` (default ``ts``) is
+    the value reported as ``updated_at`` for the winning save.
+    """
     pos = F.struct(F.col(ts_col).alias("t"), F.col(seq_col).alias("s"))
+    upd = F.col(updated_col or ts_col)
     is_delete = F.col("action") == "delete"
     cuts = log.filter(is_delete).groupBy("issue_id").agg(F.max(pos).alias("cut"))
     saves = log.filter(~is_delete).filter(F.col("issue_id").isNotNull() & (F.col("issue_id") != ""))
     live = saves.join(cuts, "issue_id", "left").filter(F.col("cut").isNull() | (pos > F.col("cut")))
     g = live.groupBy("issue_id").agg(
-        F.max(F.struct(pos.alias("p"), F.col("remark").alias("v"))).getField("v").alias("remark"),
+        F.max(F.struct(pos.alias("p"), F.col("remark").alias("v"), upd.alias("u"))).alias("last"),
         F.min(F.struct(pos.alias("p"), F.col("category").alias("c"), F.col("entity_key").alias("e"))).alias("first"),
-        F.max(ts_col).alias("updated_at"),
     )
     return g.select(
         "issue_id",
         F.coalesce(F.col("first.c"), F.lit("")).alias("category"),
         F.coalesce(F.col("first.e"), F.lit("")).alias("entity_key"),
-        F.coalesce(F.col("remark"), F.lit("")).alias("remark"),
-        "updated_at",
+        F.coalesce(F.col("last.v"), F.lit("")).alias("remark"),
+        F.col("last.u").alias("updated_at"),
     )
 
 
@@ -51,17 +56,18 @@ def remarks_scan(remarks: DataFrame) -> DataFrame:
 def apply_changes(current: DataFrame, changes: DataFrame, ts_col: str = "ts", seq_col: str = "seq") -> DataFrame:
     """Incremental form of K7: fold a batch of requests into the current table.
 
-    The current table is re-expressed as one save per key (at its first
-    position, carrying its category / entity key) followed by a save of its
-    latest remark, so ``remarks_merge`` over (current ∪ changes) gives the
-    same answer as over the full history.
+    Each current row becomes one save placed before every request (so its
+    category / entity key stay the "first save" and any new save or delete
+    supersedes it), carrying its real ``updated_at``.  Then ``remarks_merge``
+    over (current ∪ changes) equals the merge over the full history.
     """
-    epoch = F.lit(0).cast("timestamp")
     base = current.select(
         "issue_id", "category", "entity_key", "remark",
         F.lit("save").alias("action"),
-        F.coalesce(F.col("updated_at"), epoch).alias(ts_col),
+        F.lit(0).cast("timestamp").alias(ts_col),
         F.lit(-1).cast("long").alias(seq_col),
+        F.col("updated_at").alias("_updated"),
     )
     cols = ["issue_id", "category", "entity_key", "remark", "action", ts_col, seq_col]
-    return remarks_merge(base.unionByName(changes.select(*cols)), ts_col, seq_col)
+    batch = changes.select(*cols, F.col(ts_col).alias("_updated"))
+    return remarks_merge(base.unionByName(batch), ts_col, seq_col, updated_col="_updated")

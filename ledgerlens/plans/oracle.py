@@ -474,7 +474,7 @@ audit AS (
     coalesce(nullif(indicator, ''), 'Unspecified') AS Status,
     coalesce(nullif(changed_by, ''), 'Unspecified') AS Owner,
     coalesce(nullif(risk, ''), 'Unspecified') AS Department,
-    old_value || ' -> ' || new_value AS Remarks,
+    trim(old_value || ' -> ' || new_value) AS Remarks,
     coalesce(nullif(vendor_no, ''), 'Unspecified') AS VendorNo,
     CASE WHEN lower(vendor_name) = 'axis bank' THEN 'Axis Bank'
          WHEN lower(vendor_name) = 'qatar bank' THEN 'Qatar Bank'
