@@ -63,7 +63,9 @@ def excel_date(col: Column | str, dtype=None) -> Column:
 def month_name(ts: Column | str) -> Column:
     """full English month name; null -> 'Unknown'."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.coalesce(F.date_format(c, "MMMM"), F.lit("Unknown"))
+    # Array lookup instead of a per-row formatter; same English names.
+    names = F.array(*[F.lit(m) for m in ALL_MONTHS])
+    return F.coalesce(F.element_at(names, F.month(c)), F.lit("Unknown"))
 
 
 def year_or_zero(ts: Column | str) -> Column:
