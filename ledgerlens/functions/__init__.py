@@ -12,6 +12,7 @@ from ledgerlens.functions.dates import (
 )
 from ledgerlens.functions.numbers import (
     exact_sum,
+    money_sum,
     inr,
     inr_crore,
     inr_short,

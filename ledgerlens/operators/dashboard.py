@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import ALL_MONTHS, FISCAL_MONTHS, month_ordinal, round2
+from ledgerlens.functions import ALL_MONTHS, FISCAL_MONTHS, money_sum, month_ordinal, round2
 
 
 def _money_sum(c: str) -> Column:
-    return round2(F.sum(F.col(c).cast("decimal(18,2)")).cast("double"))
+    return round2(money_sum(F.col(c), 2))
 
 
 def _months(spark, order: list[str]) -> DataFrame:
@@ -67,7 +67,7 @@ def month_trend(rollup: DataFrame) -> DataFrame:
 def company_bar(rollup: DataFrame) -> DataFrame:
     """Per company Σ amount, rows, Σ GST and average amount per row."""
     g = rollup.groupBy("COMP_NM").agg(
-        F.sum(F.col("INVOICE_AMT").cast("decimal(18,2)")).alias("amt"),
+        money_sum(F.col("INVOICE_AMT"), 2).alias("amt"),
         _money_sum("GST_AMT").alias("GST"),
         F.count(F.lit(1)).alias("ROWS"),
     )
@@ -81,7 +81,7 @@ def company_bar(rollup: DataFrame) -> DataFrame:
 def ai_kpis(rollup: DataFrame) -> DataFrame:
     """Σ amount, Σ GST, distinct companies, rows, amount per row."""
     g = rollup.agg(
-        F.sum(F.col("INVOICE_AMT").cast("decimal(18,2)")).alias("amt"),
+        money_sum(F.col("INVOICE_AMT"), 2).alias("amt"),
         _money_sum("GST_AMT").alias("TOTAL_GST"),
         F.count_distinct("COMP_NM").alias("COMPANIES"),
         F.count(F.lit(1)).alias("ROWS"),

@@ -16,6 +16,7 @@ from ledgerlens.functions import (
     ALL_MONTHS,
     blank_default,
     excel_date,
+    money_sum,
     month_name,
     round2,
     safe_text,
@@ -170,7 +171,7 @@ def purchase_rollup(purchases_df: DataFrame) -> DataFrame:
     Sums are exact (decimal) so the result does not depend on partitioning;
     partial aggregation runs before the shuffle.
     """
-    aggs = [round2(F.sum(F.col(m).cast("decimal(18,2)")).cast("double")).alias(m) for m in MEASURES]
+    aggs = [round2(money_sum(F.col(m), 2)).alias(m) for m in MEASURES]
     return (
         purchases_df.groupBy(*DIMENSIONS)
         .agg(*aggs)
@@ -191,8 +192,8 @@ def blocked_vendors(enriched: DataFrame, ord_col: str = "_ord", n: int = 4) -> D
     per vendor is the one with the smallest ``ord_col`` (source order).
     """
     stats = enriched.groupBy("COMP_NM").agg(
-        F.sum(F.col("DISCOUNT").cast("decimal(18,4)")).cast("double").alias("disc"),
-        F.sum(F.col("INVOICE_AMT").cast("decimal(18,4)")).cast("double").alias("inv"),
+        money_sum(F.col("DISCOUNT"), 4).alias("disc"),
+        money_sum(F.col("INVOICE_AMT"), 4).alias("inv"),
         F.min(F.struct(F.col(ord_col), F.col("`bill no`"))).getField("bill no").alias("INV_NO"),
     )
     ratio = F.when(F.col("inv") == 0, F.lit(0.0)).otherwise(F.col("disc") / F.col("inv"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import round1, round2
+from ledgerlens.functions import money_sum, round1, round2
 
 
 def _first(value: str, ord_col: str) -> Column:
@@ -30,7 +30,7 @@ def invoice_rollup(enriched: DataFrame, ord_col: str = "_ord", extra: list[str]
         _first("CUST_NM", ord_col).alias("CUST_NM"),
         _first("MONTH", ord_col).alias("MONTH"),
         _first("YEAR", ord_col).alias("YEAR"),
-        round2(F.sum(F.col("INVOICE_AMT").cast("decimal(18,4)")).cast("double")).alias("INVOICE_AMT"),
+        round2(money_sum(F.col("INVOICE_AMT"), 4)).alias("INVOICE_AMT"),
         F.min(ord_col).alias(ord_col),
     ]
     aggs += [F.min(c).alias(c) for c in (extra or [])]
@@ -150,15 +150,14 @@ def po_kpis(match: DataFrame) -> DataFrame:
     """Invoice count and positive PO / GRN / bank totals, total PO."""
     def pos(c: str) -> Column:
         v = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        return F.sum(F.when(v > 0, v).otherwise(F.lit(0.0)).cast("decimal(18,2)"))
+        return money_sum(F.when(v > 0, v).otherwise(F.lit(0.0)), 2)
 
     return match.agg(
         F.count(F.lit(1)).alias("TOTAL_INVOICES"),
-        round2(pos("PO_AMT").cast("double")).alias("INVOICE_AMOUNT"),
-        round2(pos("GRN_AMT").cast("double")).alias("GRN_AMOUNT"),
-        round2(pos("BANK_AMT").cast("double")).alias("BANK_AMOUNT"),
-        round2(F.sum(F.coalesce(F.col("PO_AMT").cast("double"), F.lit(0.0)).cast("decimal(18,2)")).cast("double"))
-        .alias("TOTAL_PO_VALUE"),
+        round2(pos("PO_AMT")).alias("INVOICE_AMOUNT"),
+        round2(pos("GRN_AMT")).alias("GRN_AMOUNT"),
+        round2(pos("BANK_AMT")).alias("BANK_AMOUNT"),
+        round2(money_sum(F.coalesce(F.col("PO_AMT").cast("double"), F.lit(0.0)), 2)).alias("TOTAL_PO_VALUE"),
     )
 
 

@@ -825,3 +825,6 @@ limits AS (SELECT user_id, 60.0 + 30.0 * (user_id % 3) AS approval_limit FROM (S
 SELECT a.user_id, count(*) FILTER (WHERE a.value > l.approval_limit) AS ABOVE_LIMIT
 FROM acc a JOIN limits l ON l.user_id = a.user_id WHERE a.kind = 'approval'
 GROUP BY 1 HAVING count(*) FILTER (WHERE a.value > l.approval_limit) >= 3"""
+
+SQL["three_way_match_filtered"] = "WITH " + _match() + """
+SELECT * FROM match WHERE COMP_NM IN ('NATION_3', 'NATION_11') AND "MONTH" IN ('April', 'May', 'June')"""

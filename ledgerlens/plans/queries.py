@@ -460,3 +460,10 @@ def q_itc_failed(spark, sf):
 @query("itc_above_limit")
 def q_itc_above_limit(spark, sf):
     return C.itc_above_limit(T.access_events_source(spark, sf), T.approval_limits_source(spark, sf))
+
+
+@query("three_way_match_filtered")
+def q_three_way_match_filtered(spark, sf):
+    """Reconciliation rows for two companies in one quarter (PO month carried)."""
+    f = {"company": ["NATION_3", "NATION_11"], "month": ["April", "May", "June"]}
+    return P.filter_dims(R.three_way_match(*I.recon(spark, sf), limit=None), f)

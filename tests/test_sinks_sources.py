@@ -79,3 +79,17 @@ def test_text_scan(spark, tmp_dir):
         fh.write("a,b\n1,NULL\n,x\n")
     got = [tuple(r) for r in ST.text_scan(spark, p).collect()]
     assert got == [("1", None), (None, "x")]
+
+
+def test_audit_trail_replace_and_scan(spark, tmp_dir):
+    from ledgerlens.operators.audit_trail import audit_trail_normalize
+
+    raw = spark.createDataFrame([{"Vendor Name": "axis bank", "Risk": "High", "row_idx": 2},
+                                 {"Vendor Name": None, "Risk": "", "row_idx": 1}])
+    t = os.path.join(tmp_dir, "audit")
+    S.audit_trail_replace(audit_trail_normalize(raw), "book.xlsx", t)
+    stored = S.current_snapshot(spark, t)
+    assert {r["source_file"] for r in stored.collect()} == {"book.xlsx"}
+    rows = ST.audit_trail_scan(stored.drop("created_at")).collect()
+    assert [r["row_idx"] for r in rows] == [1, 2]
+    assert rows[0]["VendorName"] == "Unspecified" and rows[1]["VendorName"] == "Axis Bank"
