@@ -11,7 +11,6 @@ from ledgerlens.functions.dates import (
     year_or_zero,
 )
 from ledgerlens.functions.numbers import (
-    exact_sum,
     money_sum,
     inr,
     inr_crore,

@@ -49,11 +49,6 @@ def money_sum(col: Column | str, scale: int = 2) -> Column:
     return (F.sum(units).cast("decimal(38,0)") / F.lit(10 ** scale).cast("decimal(38,0)")).cast("double")
 
 
-def exact_sum(col: Column | str, scale: int = 4) -> Column:
-    """Order-independent sum of money values (see ``money_sum``)."""
-    return money_sum(col, scale)
-
-
 def number_text(col: Column | str) -> Column:
     """Python's ``str(int(r)) if r == int(r) else str(r)`` for a double."""
     c = _c(col)

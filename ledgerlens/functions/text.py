@@ -7,21 +7,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() removes every character for which str.isspace() is
-# true; Java's \s only covers ASCII.  This class is that Python set, so the
-# trim below strips exactly what the reference's strip() strips.
-PY_WHITESPACE = (
-    "[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a"
-    "\\u2028\\u2029\\u202f\\u205f\\u3000]"
-)
-_EDGE_WS = f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$"
-
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-# The same set as literal characters, for ``btrim`` (no regex per row).
+# Python's str.strip() removes every character for which str.isspace() is
+# true (Java's \s covers only ASCII).  This is that set, used with
+# ``btrim`` so strip() below removes exactly what Python's strip() removes.
 PY_WHITESPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     + "".join(chr(c) for c in range(0x2000, 0x200B))

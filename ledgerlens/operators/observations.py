@@ -8,8 +8,6 @@ task is simply recomputed.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -235,7 +233,3 @@ def with_category_title(obs: DataFrame) -> DataFrame:
 def risk_flag(obs: DataFrame) -> DataFrame:
     """P12 (observation part): High / Critical risk types."""
     return obs.withColumn("HIGH_RISK", F.col("RiskType").isin("High", "Critical"))
-
-
-def any_blank(cols: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c) == "" for c in cols])

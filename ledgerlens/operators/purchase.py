@@ -168,7 +168,7 @@ def check_summary(check_df: DataFrame) -> DataFrame:
 def purchase_rollup(purchases_df: DataFrame) -> DataFrame:
     """A1: 7-dimension rollup (nulls kept as a group), 6 measures summed, round 2.
 
-    Sums are exact (decimal) so the result does not depend on partitioning;
+    Sums are exact (``money_sum``) so the result does not depend on partitioning;
     partial aggregation runs before the shuffle.
     """
     aggs = [round2(money_sum(F.col(m), 2)).alias(m) for m in MEASURES]

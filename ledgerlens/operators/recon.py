@@ -22,7 +22,8 @@ def _first(value: str, ord_col: str) -> Column:
 def invoice_rollup(enriched: DataFrame, ord_col: str = "_ord", extra: list[str] | None = None) -> DataFrame:
     """A2: one row per bill number -- first company / customer / month / year, summed amount.
 
-    The sum is exact (decimal) and rounded half-even to 2 at the end.
+    The sum is exact (integer units, see ``money_sum``) and rounded half-even
+    to 2 at the end.
     ``extra`` columns are carried as their minimum (e.g. nation key).
     """
     aggs = [
@@ -56,7 +57,7 @@ def three_way_match(po: DataFrame, grn: DataFrame, bank: DataFrame, limit: int |
     on GRN and bank presence only (PO and amounts are ignored).  The month
     of the PO is carried so a month filter works (W3).
     """
-    null_s, null_d = F.lit(None).cast("string"), F.lit(None).cast("double")
+    null_s = F.lit(None).cast("string")
 
     def side(df: DataFrame, tag: int, no: str, amt: str, extra: dict[str, Column]) -> DataFrame:
         cols = {
