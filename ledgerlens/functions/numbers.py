@@ -37,14 +37,18 @@ def to_number(col: Column | str) -> Column:
     return F.nanvl(F.coalesce(parsed, F.lit(0.0)), F.lit(0.0))
 
 
-def money_sum(col: Column | str, scale: int = 2) -> Column:
+def money_sum(col: Column | str, scale: int = 2, wide: bool = False) -> Column:
     """Exact, order-independent sum of money values with ``scale`` decimals; double out.
 
     Values are summed as integer units of 10^-scale (a long accumulator --
     far cheaper than BigDecimal), and divided once at the end in decimal,
     so the result equals the decimal sum cast to double.  Under ANSI mode a
-    long overflow raises instead of wrapping.
+    long overflow raises instead of wrapping.  ``wide=True`` accumulates in
+    decimal(38) instead: for groups whose total can approach 9e18 units
+    (vendor / month / global totals at full scale).
     """
+    if wide:
+        return F.sum(_c(col).cast(f"decimal(18,{scale})")).cast("double")
     units = F.rint(_c(col).cast("double") * float(10 ** scale)).cast("long")
     return (F.sum(units).cast("decimal(38,0)") / F.lit(10 ** scale).cast("decimal(38,0)")).cast("double")
 

@@ -15,7 +15,8 @@ from ledgerlens.functions import ALL_MONTHS, FISCAL_MONTHS, money_sum, month_ord
 
 
 def _money_sum(c: str) -> Column:
-    return round2(money_sum(F.col(c), 2))
+    # Dashboard groups (month, company, label, global) are large: wide accumulator.
+    return round2(money_sum(F.col(c), 2, wide=True))
 
 
 def _months(spark, order: list[str]) -> DataFrame:
@@ -67,7 +68,7 @@ def month_trend(rollup: DataFrame) -> DataFrame:
 def company_bar(rollup: DataFrame) -> DataFrame:
     """Per company Σ amount, rows, Σ GST and average amount per row."""
     g = rollup.groupBy("COMP_NM").agg(
-        money_sum(F.col("INVOICE_AMT"), 2).alias("amt"),
+        money_sum(F.col("INVOICE_AMT"), 2, wide=True).alias("amt"),
         _money_sum("GST_AMT").alias("GST"),
         F.count(F.lit(1)).alias("ROWS"),
     )
@@ -81,7 +82,7 @@ def company_bar(rollup: DataFrame) -> DataFrame:
 def ai_kpis(rollup: DataFrame) -> DataFrame:
     """Σ amount, Σ GST, distinct companies, rows, amount per row."""
     g = rollup.agg(
-        money_sum(F.col("INVOICE_AMT"), 2).alias("amt"),
+        money_sum(F.col("INVOICE_AMT"), 2, wide=True).alias("amt"),
         _money_sum("GST_AMT").alias("TOTAL_GST"),
         F.count_distinct("COMP_NM").alias("COMPANIES"),
         F.count(F.lit(1)).alias("ROWS"),

@@ -192,8 +192,8 @@ def blocked_vendors(enriched: DataFrame, ord_col: str = "_ord", n: int = 4) -> D
     per vendor is the one with the smallest ``ord_col`` (source order).
     """
     stats = enriched.groupBy("COMP_NM").agg(
-        money_sum(F.col("DISCOUNT"), 4).alias("disc"),
-        money_sum(F.col("INVOICE_AMT"), 4).alias("inv"),
+        money_sum(F.col("DISCOUNT"), 4, wide=True).alias("disc"),
+        money_sum(F.col("INVOICE_AMT"), 4, wide=True).alias("inv"),
         F.min(F.struct(F.col(ord_col), F.col("`bill no`"))).getField("bill no").alias("INV_NO"),
     )
     ratio = F.when(F.col("inv") == 0, F.lit(0.0)).otherwise(F.col("disc") / F.col("inv"))

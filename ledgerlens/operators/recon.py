@@ -151,14 +151,15 @@ def po_kpis(match: DataFrame) -> DataFrame:
     """Invoice count and positive PO / GRN / bank totals, total PO."""
     def pos(c: str) -> Column:
         v = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        return money_sum(F.when(v > 0, v).otherwise(F.lit(0.0)), 2)
+        return money_sum(F.when(v > 0, v).otherwise(F.lit(0.0)), 2, wide=True)
 
     return match.agg(
         F.count(F.lit(1)).alias("TOTAL_INVOICES"),
         round2(pos("PO_AMT")).alias("INVOICE_AMOUNT"),
         round2(pos("GRN_AMT")).alias("GRN_AMOUNT"),
         round2(pos("BANK_AMT")).alias("BANK_AMOUNT"),
-        round2(money_sum(F.coalesce(F.col("PO_AMT").cast("double"), F.lit(0.0)), 2)).alias("TOTAL_PO_VALUE"),
+        round2(money_sum(F.coalesce(F.col("PO_AMT").cast("double"), F.lit(0.0)), 2, wide=True))
+        .alias("TOTAL_PO_VALUE"),
     )
 
 

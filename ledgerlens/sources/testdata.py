@@ -48,11 +48,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
     rel = _RELATIONS.get(key)
     if rel is None:
-        rel = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        rel = spread_small_input(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
         _RELATIONS[key] = rel
     return rel
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core.
+
+    A table stored as a few large row groups scans into fewer splits than
+    there are cores, and every per-row step before the first shuffle
+    (broadcast joins, projections) then runs on those few tasks.  Such a
+    scan is redistributed round-robin (Spark sorts before round-robin, so a
+    retried task sees the same rows).  Large inputs already have more splits
+    than cores and are left alone -- no extra shuffle at scale.  Column
+    pruning and filters still reach the scan below the repartition.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def _pick(values: list, index: Column) -> Column:
     """values[index] for a 0-based integral index column."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
