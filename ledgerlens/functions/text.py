@@ -78,12 +78,14 @@ def slug(col: Column | str) -> Column:
 def python_title(col: Column | str) -> Column:
     """Python ``str.title()``: upper-case each letter run's first letter.
 
-    Spark's ``initcap`` only splits on spaces ("o'neil" -> "O'neil"); Python
-    starts a new word after any non-letter ("O'Neil", "3M").  Splitting into
-    letter / non-letter runs and capitalising each run reproduces that.
+    Spark's ``initcap`` only starts a word after a space ("o'neil" ->
+    "O'neil"); Python starts one after any non-letter ("O'Neil", "3M").
+    Putting a marker + space after every non-letter makes ``initcap`` see
+    those word starts; the markers are removed afterwards.  No lambda, so
+    the expression stays inside whole-stage codegen.
     """
-    runs = F.regexp_extract_all(F.lower(_c(col)), F.lit("(\\p{L}+|[^\\p{L}]+)"), 1)
-    return F.array_join(F.transform(runs, lambda w: F.initcap(w)), "")
+    marked = F.regexp_replace(F.lower(_c(col)), "([^\\p{L}])", "$1\uE000 ")
+    return F.regexp_replace(F.initcap(marked), "\uE000 ", "")
 
 
 # Vendor spellings the audit-trail loader keeps verbatim

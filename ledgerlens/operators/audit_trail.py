@@ -57,7 +57,7 @@ def alias_headers(columns: list[str]) -> dict[str, str]:
 
 
 def audit_trail_normalize(raw: DataFrame) -> DataFrame:
-    """P5 (+W9): 18 text fields from a change-log table with free headers.
+    """P5 (W9 is implied): 18 text fields from a change-log table with free headers.
 
     Missing source columns read as blank.  A present alias column (even if
     blank) suppresses the fallback chain of its field.  Both the workbook
@@ -66,18 +66,27 @@ def audit_trail_normalize(raw: DataFrame) -> DataFrame:
     """
     cols = set(raw.columns)
     aliases = alias_headers(raw.columns)
-
-    def v(*names: str) -> Column:
-        """Cleaned value of the first present column among ``names`` chain."""
-        present = [safe_value(F.col(f"`{n}`")) for n in names if n in cols]
+    sources = ["Vendor Name", "Vendor No", "VendorName", "VendorNo", "Field Changed", "FieldChanged",
+               "Field Description", "FieldDescription", "Indicator", "Old Value", "OldValue", "New Value",
+               "NewValue", "Changed By", "ChangedBy", "Risk", "Year", "Month Year", "Qty", "Quantity",
+               "Month Name", "Month", "MonthName"]
+    used = [n for n in sources if n in cols] + [a for a in aliases.values() if a not in sources]
+    extra = [c for c in ("row_idx", "id") if c in cols]
+    # Stage 1: clean every source column once.  Later stages reference the
+    # cleaned attributes by name, so the fallback chains do not copy the
+    # source expressions (which would blow up the generated code).
+    names = {n: f"_s{i}" for i, n in enumerate(used)}
+    stage1 = raw.select(*[safe_value(F.col(f"`{n}`")).alias(names[n]) for n in used], *extra)
+
+    def v(*cands: str) -> Column:
+        """First non-blank of the present candidate columns ('' if none)."""
+        present = [F.col(names[n]) for n in cands if n in names]
         if not present:
             return F.lit("")
         return F.coalesce(first_nonblank(*present), F.lit(""))
 
     def aliased(target: str, chain: Column) -> Column:
-        if target in aliases:
-            return safe_value(F.col(f"`{aliases[target]}`"))
-        return chain
+        return F.col(names[aliases[target]]) if target in aliases else chain
 
     spec = {
         "Process": aliased("process", v("Vendor Name", "Vendor No")),
@@ -86,7 +95,7 @@ def audit_trail_normalize(raw: DataFrame) -> DataFrame:
         "Owner": aliased("owner", v("Changed By", "ChangedBy")),
         "Department": aliased("department", v("Risk")),
         "VendorNo": v("Vendor No", "VendorNo"),
-        "VendorName": vendor_title_case(v("Vendor Name", "VendorName")),
+        "VendorName": v("Vendor Name", "VendorName"),
         "FieldChanged": v("Field Changed", "FieldChanged"),
         "FieldDescription": v("Field Description", "FieldDescription"),
         "Indicator": v("Indicator"),
@@ -99,20 +108,25 @@ def audit_trail_normalize(raw: DataFrame) -> DataFrame:
         "MonthName": v("Month Name", "Month", "MonthName"),
     }
     if "remarks" in aliases:
-        remarks = safe_value(F.col(f"`{aliases['remarks']}`"))
+        remarks = F.col(names[aliases["remarks"]])
     else:
         remarks = safe_value(F.concat(v("Old Value", "OldValue"), F.lit(" -> "), v("New Value", "NewValue")))
+    # Stage 2: the chains, over cleaned attributes.
+    stage2 = stage1.select(*[c.alias(k) for k, c in spec.items()], remarks.alias("Remarks"), *extra)
+    # Stage 3: defaults and the vendor spelling rule.
     out = []
     for name in AUDIT_FIELDS:
+        c = F.col(name)
         if name == "Remarks":
-            out.append(remarks.alias(name))
+            out.append(c)
+        elif name == "VendorName":
+            out.append(vendor_title_case(c).alias(name))
         else:
-            c = spec[name]
             out.append(F.when(c == "", F.lit("Unspecified")).otherwise(c).alias(name))
-    extra = [F.col(c) for c in ("row_idx", "id") if c in cols]
-    df = raw.select(*out, *extra)
-    nonempty = reduce(lambda a, b: a | b, [F.col(n) != "" for n in AUDIT_FIELDS])
-    return df.filter(nonempty)
+    # W9 (drop rows with no value) can never fire here: every field but
+    # Remarks defaults to 'Unspecified'.  No filter is emitted -- pushed
+    # below the projections it would inline all 18 chains into one predicate.
+    return stage2.select(*out, *extra)
 
 
 def schema_evolve(df: DataFrame, columns: list[str] = AUDIT_TABLE_COLUMNS, dtype: str = "string") -> DataFrame:

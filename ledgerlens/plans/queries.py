@@ -254,7 +254,7 @@ from ledgerlens.operators import audit_trail as A  # noqa: E402
 
 
 def _audit(spark, sf):
-    return A.audit_trail_normalize(T.audit_trail_source(spark, sf))
+    return I._memo(spark, ("audit", sf), lambda: A.audit_trail_normalize(T.audit_trail_source(spark, sf)))
 
 
 _AUDIT_FILTER = {"Year": "1996-97", "MonthName": "March"}

@@ -13,6 +13,8 @@ unless it is a literal table of fixed size.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,12 +72,31 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     return df
 
 
+def per_session(fn):
+    """Build a view's plan once per (session, data folder, arguments).
+
+    A plan is an immutable value; reusing it (like a temporary view) saves
+    the Python-side expression building and re-analysis on every query.
+    """
+    cache: dict[tuple, object] = {}
+
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir, args, tuple(sorted(kwargs.items())))
+        if key not in cache:
+            cache[key] = fn(spark, sf_dir, *args, **kwargs)
+        return cache[key]
+
+    return wrapper
+
+
 def _pick(values: list, index: Column) -> Column:
     """values[index] for a 0-based integral index column."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
 # ---------------------------------------------------------------- V1 / V1c --
+@per_session
 def purchase_source(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
     """V1 (or V1c when ``coarse``): invoice lines with the workbook's 20 columns.
 
@@ -191,6 +212,7 @@ def recon_tables(invoices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 # ------------------------------------------------------------------- V3 --
+@per_session
 def audit_trail_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: vendor-master change log with the workbook's text headers."""
     o = table(spark, sf_dir, "orders")
@@ -230,6 +252,7 @@ OBSERVATION_CATEGORIES = [
 ]
 
 
+@per_session
 def observations_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: an observation workbook (all 35 fields as text) plus ``row_idx``."""
     from ledgerlens.operators.observations import ALL_FIELDS
@@ -265,6 +288,7 @@ def observations_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------- V5 --
+@per_session
 def remark_log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5: remark save/delete requests as an append-only change log."""
     e = table(spark, sf_dir, "events")
@@ -285,6 +309,7 @@ def remark_log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------- V6 --
+@per_session
 def loan_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """V6: (calc schedule, bank schedule, borrower meta).
 
@@ -337,6 +362,7 @@ def loan_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 # ------------------------------------------------------------------- V7 --
+@per_session
 def employees_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7: employee master with shared / missing statutory ids."""
     c = table(spark, sf_dir, "customer")
@@ -362,6 +388,7 @@ def employees_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------- V8 --
+@per_session
 def access_events_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: user access events (login, failed login, approval, password change)."""
     e = table(spark, sf_dir, "events")
@@ -380,6 +407,7 @@ def access_events_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def exits_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: last working day for leavers (every third user)."""
     e = table(spark, sf_dir, "events")
@@ -390,6 +418,7 @@ def exits_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def approval_limits_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: authorised approval limit per user."""
     e = table(spark, sf_dir, "events")
@@ -405,6 +434,7 @@ __all__ = [
 ]
 
 
+@per_session
 def observation_changes_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved observation forms -- updates by id (some ids absent) and new rows."""
     from ledgerlens.operators.observations import ALL_FIELDS
