@@ -151,15 +151,20 @@ def audit_vendor_buckets(audit: DataFrame) -> DataFrame:
     grandTotal is the sum of the four counted fields; only the three named
     buckets are returned, with their display order in ``BUCKET_NO``.
     """
-    name = F.lower(F.trim(F.coalesce(F.col("VendorName"), F.lit(""))))
+    # The lower-cased name and field are computed once, in their own
+    # projection, and then tested by reference.
+    keyed = audit.select(
+        F.lower(F.trim(F.coalesce(F.col("VendorName"), F.lit("")))).alias("_name"),
+        F.lower(F.trim(F.coalesce(F.col("FieldChanged"), F.lit("")))).alias("_fc"),
+    )
+    name = F.col("_name")
     bucket = (
         F.when(name.contains("hdfc"), F.lit("HDFC"))
         .when(name.contains("axis"), F.lit("Axis"))
         .when(name.contains("qatar"), F.lit("Qatar"))
         .otherwise(F.lit("Other"))
     )
-    fc = F.lower(F.trim(F.coalesce(F.col("FieldChanged"), F.lit(""))))
-    g = audit.groupBy(bucket.alias("vendorName")).agg(*_field_counts(fc))
+    g = keyed.groupBy(bucket.alias("vendorName")).agg(*_field_counts(F.col("_fc")))
     total = reduce(lambda a, b: a + b, [F.col(n) for _, n in FIELD_COUNTS])
     return g.filter(F.col("vendorName").isin(VENDOR_BUCKETS)).select(
         "vendorName", *[n for _, n in FIELD_COUNTS], total.alias("grandTotal"),
@@ -169,12 +174,14 @@ def audit_vendor_buckets(audit: DataFrame) -> DataFrame:
 
 def audit_vendor_summary(audit: DataFrame) -> DataFrame:
     """Per vendor name (blank dropped): the four field counts and all rows."""
-    name = F.trim(F.coalesce(F.col("VendorName"), F.lit("")))
-    fc = F.lower(F.trim(F.coalesce(F.col("FieldChanged"), F.lit(""))))
+    keyed = audit.select(
+        F.trim(F.coalesce(F.col("VendorName"), F.lit(""))).alias("vendorName"),
+        F.lower(F.trim(F.coalesce(F.col("FieldChanged"), F.lit("")))).alias("_fc"),
+    )
     return (
-        audit.filter(name != "")
-        .groupBy(name.alias("vendorName"))
-        .agg(*_field_counts(fc), F.count(F.lit(1)).alias("grandTotal"))
+        keyed.filter(F.col("vendorName") != "")
+        .groupBy("vendorName")
+        .agg(*_field_counts(F.col("_fc")), F.count(F.lit(1)).alias("grandTotal"))
     )
 
 
