@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,17 +49,45 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is read, never
-    replaced.  Only when it is unset (local tests) do we create a scratch
-    folder and register it.
+    replaced; without it there is nowhere executors could share a table, so
+    that is an error.  Only a local master, whose driver and executors are one
+    process, gets a scratch folder when the setting is absent.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
     return current
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for a materialised table."""
-    return os.path.join(checkpoint_dir(spark), name)
+    """A path for a written table, in this application's part of the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{_folder(spark)}/{name}"
+
+
+def _folder(spark: SparkSession) -> str:
+    application = spark.sparkContext.applicationId
+    if application not in _CLEARED_AT_EXIT:
+        _CLEARED_AT_EXIT.add(application)
+        atexit.register(_clear, spark)
+    return f"ledgerlens-{application}"
+
+
+_CLEARED_AT_EXIT: set[str] = set()
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete the tables this application has written to the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/ledgerlens-{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear(spark: SparkSession) -> None:
+    try:
+        clear_shared(spark)
+    except Exception:  # the session has ended before the process; its folder stays for the operator to remove
+        pass
