@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerlens.llm.ann import nearest
 from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.pii import pii_digest, pii_spans
+from ledgerlens.llm.quality import quality_decisions
+from ledgerlens.llm.secret_scan import scan_secrets
 from ledgerlens.llm.token_counts import token_counts
 
 
@@ -18,6 +22,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_decisions(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", "expected_grade", "top_probability", "keep")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -38,8 +47,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_documents(spark, sf_dir))
+    return found.select("doc_id", "start", "end", "score", F.sha2("value", 256).alias("value_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op4_source_mix, op5_pii, op7_token_counts, op8_packing)
+    f.__name__: f for f in (
+        op2_quality, op3_exact_dedup, op4_source_mix, op5_pii, op7_token_counts, op8_packing, op9_nearest, op10_secrets)
 }
 
 SQL: dict[str, str] = {
