@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.llm.common import stage
 from ledgerlens.llm.exact_dedup import drop_copies
 from ledgerlens.llm.mixing import apply_mix, mix_sources
+from ledgerlens.llm.near_dup import drop_near_duplicates
 from ledgerlens.llm.packing import pack_documents
+from ledgerlens.llm.quality import quality_decisions
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier, fitted to ``labels``, keeps."""
+    return quality_decisions(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("keep").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +23,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text as often as the mix of sources repeats it."""
     return apply_mix(docs, stage(mix_sources(docs), "mix"))
@@ -26,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("exact_dedup", exact), ("mix", mixed), ("packing", packed)]
+STAGES = [("quality", good), ("exact_dedup", exact), ("near_dedup", near), ("mix", mixed), ("packing", packed)]
 
 #: The classifier and the tokeniser are beyond SQL.
 ORACLE_SQL = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +73,51 @@ class Cache(dict):
 def word_hashes() -> Cache:
     """Word (bytes) -> 64-bit hash."""
     return Cache(xxhash.xxh64_intdigest)
+
+
+def word_array(words: list[bytes], hashes: Cache) -> np.ndarray:
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+_HASHES: list[Cache] = []
+
+
+def worker_hashes() -> Cache:
+    """The word hashes this worker process remembers."""
+    if not _HASHES:
+        _HASHES.append(word_hashes())
+    _HASHES[0].trim()
+    return _HASHES[0]
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def slide(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) of every ``width`` neighbours."""
+    have = 1
+    while 2 * have <= width:
+        values = pick(values[:-have], values[have:])
+        have *= 2
+    return values if have == width else pick(values[: len(values) - (width - have)], values[width - have :])
+
+
+def gram_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every ``length`` consecutive word hashes."""
+    total, power = np.zeros(max(0, len(words) - length + 1), np.uint64), np.uint64(1)
+    block, have, factor, done = words, 1, _STEP, 0
+    rest = length
+    with np.errstate(over="ignore"):
+        while rest:
+            if rest & 1:
+                total = total + power * block[done : done + len(total)]
+                power = power * factor
+                done += have
+            rest >>= 1
+            if rest:
+                block = block[:-have] + factor * block[have:] if len(block) > have else block[:0]
+                factor = factor * factor
+                have *= 2
+        total ^= total >> np.uint64(31)
+        total = total * np.uint64(0xBF58476D1CE4E5B9)
+        return total ^ (total >> np.uint64(29))

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.ann import nearest
 from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.mixing import mix_sources
+from ledgerlens.llm.near_dup import near_duplicates
 from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.pii import pii_digest, pii_spans
 from ledgerlens.llm.quality import quality_decisions
 from ledgerlens.llm.secret_scan import scan_secrets
+from ledgerlens.llm.substring_dedup import substring_dedup
 from ledgerlens.llm.token_counts import token_counts
 
 
@@ -22,6 +24,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_decisions(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select("doc_id", "expected_grade", "top_probability", "keep")
@@ -39,6 +45,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(pii_spans(_documents(spark, sf_dir)))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -58,7 +68,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_quality, op3_exact_dedup, op4_source_mix, op5_pii, op7_token_counts, op8_packing, op9_nearest, op10_secrets)
+        op1_substring_dedup, op2_quality, op3_exact_dedup, op4_source_mix, op5_pii, op6_near_duplicates, op7_token_counts,
+        op8_packing, op9_nearest, op10_secrets)
 }
 
 SQL: dict[str, str] = {

@@ -26,51 +26,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import prepare, shuffle_width, stage, utf8, word_hashes
+from ledgerlens.llm.common import gram_hashes, prepare, shuffle_width, slide, stage, utf8, word_array, worker_hashes
 from ledgerlens.llm.fm_index import FMIndex
 
 WINDOW = 50
 #: Words of distinct segments in one shard's index.
 SHARD_WORDS = 400_000
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
-    """``pick`` (minimum or maximum) of every ``width`` neighbours."""
-    have = 1
-    while 2 * have <= width:
-        values = pick(values[:-have], values[have:])
-        have *= 2
-    return values if have == width else pick(values[: len(values) - (width - have)], values[width - have :])
-
-
-def gram_hashes(words: np.ndarray, length: int) -> np.ndarray:
-    """A hash of every ``length`` consecutive word hashes."""
-    total, power = np.zeros(max(0, len(words) - length + 1), np.uint64), np.uint64(1)
-    block, have, factor, done = words, 1, _STEP, 0
-    rest = length
-    with np.errstate(over="ignore"):
-        while rest:
-            if rest & 1:
-                total = total + power * block[done : done + len(total)]
-                power = power * factor
-                done += have
-            rest >>= 1
-            if rest:
-                block = block[:-have] + factor * block[have:] if len(block) > have else block[:0]
-                factor = factor * factor
-                have *= 2
-        total ^= total >> np.uint64(31)
-        total = total * np.uint64(0xBF58476D1CE4E5B9)
-        return total ^ (total >> np.uint64(29))
 
 
 def sampled_windows(grams: np.ndarray, shared: np.ndarray, window: int) -> np.ndarray:
     """Which windows have only shared samples; ``shared`` are gram hashes, sorted."""
     half = window // 2
-    fine = np.isin(_slide(grams, half, np.minimum), shared)
+    fine = np.isin(slide(grams, half, np.minimum), shared)
     # The runs of grams that lie within a window: the same ones wherever the window occurs.
-    return _slide(fine, window - 2 * half + 2, np.logical_and)
+    return slide(fine, window - 2 * half + 2, np.logical_and)
 
 
 def covered_grams(free: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -85,34 +54,20 @@ def covered_grams(free: np.ndarray, grams: np.ndarray) -> np.ndarray:
 def segments(grams: np.ndarray, shared: np.ndarray, window: int) -> list[tuple[int, int, int]]:
     """(key, start, words) of the segments of a document, given the shared gram hashes (sorted)."""
     width = window - window // 2 + 1
-    free = _slide(np.isin(grams, shared), width, np.logical_and)
-    keys = _slide(grams, width, np.minimum)
+    free = slide(np.isin(grams, shared), width, np.logical_and)
+    keys = slide(grams, width, np.minimum)
     begins = free & np.r_[True, ~free[:-1] | (keys[1:] != keys[:-1])]
     ends = free & np.r_[~free[1:] | (keys[1:] != keys[:-1]), True]
     return [(int(keys[b].astype(np.int64)), int(b), int(e - b + window))
             for b, e in zip(np.flatnonzero(begins), np.flatnonzero(ends), strict=True)]
 
 
-def _word_array(words: list[bytes], hashes) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-
-
-_HASHES: list = []
-
-
-def _hashes():
-    if not _HASHES:
-        _HASHES.append(word_hashes())
-    _HASHES[0].trim()
-    return _HASHES[0]
-
-
 def _samples(docs: DataFrame, window: int) -> DataFrame:
     """Per row: its words, the digest of all of them, and the hashes of its sampled grams."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _hashes()
+        hashes = worker_hashes()
         for batch in batches:
             hashes.trim()
             counts, digests, found = [], [], []
@@ -123,8 +78,8 @@ def _samples(docs: DataFrame, window: int) -> DataFrame:
                 if len(words) < window:
                     found.append(None)
                 else:
-                    grams = gram_hashes(_word_array(words, hashes), window // 2)
-                    found.append(np.unique(_slide(grams, window // 2, np.minimum)).view(np.int64))
+                    grams = gram_hashes(word_array(words, hashes), window // 2)
+                    found.append(np.unique(slide(grams, window // 2, np.minimum)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()),
                  pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
@@ -140,10 +95,10 @@ def _survivors(texts: DataFrame, window: int) -> DataFrame:
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = _hashes()
+            hashes = worker_hashes()
             found = []
             for text, own in zip(batch.column("text").to_pylist(), batch.column("shared"), strict=True):
-                grams = gram_hashes(_word_array(text.split(), hashes), window // 2)
+                grams = gram_hashes(word_array(text.split(), hashes), window // 2)
                 free = sampled_windows(grams, own.values.to_numpy().view(np.uint64), window)
                 found.append(np.unique(covered_grams(free, grams)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -167,12 +122,12 @@ def _occurrences(texts: DataFrame, window: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = _hashes()
+            hashes = worker_hashes()
             out: list[tuple] = []
             rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), batch.column("shared"), strict=True)
             for doc, text_hash, text, own in rows:
                 words = text.split()
-                grams = gram_hashes(_word_array(words, hashes), window // 2)
+                grams = gram_hashes(word_array(words, hashes), window // 2)
                 for key, start, n in segments(grams, np.sort(own.values.to_numpy().view(np.uint64)), window):
                     piece = b" ".join(words[start : start + n])
                     out.append((key, xxhash.xxh3_64_intdigest(piece) - (1 << 63), piece, doc, text_hash, start, n))
