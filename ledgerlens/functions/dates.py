@@ -20,44 +20,46 @@ FISCAL_MONTHS = [
     "October", "November", "December", "January", "February", "March",
 ]
 
-# Text date formats tried in order when a cell is not an Excel serial.
-TEXT_DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "dd-MM-yyyy HH:mm:ss",
-    "dd-MM-yyyy",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy",
-    "MM/dd/yyyy",
-    "d MMM yyyy",
-    "dd-MMM-yyyy",
-]
+# Text date formats tried in order when a cell is neither a serial nor in ISO
+# form; '/' and '.' between numbers read as '-'.  The month comes first; a
+# day first is only read where the month would be impossible.
+_DAY_FORMATS = ["M-d-yyyy", "d-M-yyyy", "yyyy-M-d", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMM d yyyy", "d MMMM yyyy",
+                "MMMM d, yyyy", "MMMM d yyyy"]
+_TIME_FORMATS = ["", " H:m:s", " H:m", " h:m:s a", " h:m a"]
+TEXT_DATE_FORMATS = [day + time for day in _DAY_FORMATS for time in _TIME_FORMATS]
 
 _EXCEL_EPOCH_UNIX_DAYS = 25569  # 1899-12-30 -> 1970-01-01
+# Serials of the dates that a nanosecond clock can hold, 1677-09-22 to 2262-04-11; others are no dates.
+_SERIAL_RANGE = (-81182.0, 132320.0)
 
 
 def excel_date(col: Column | str, dtype=None) -> Column:
     """Excel serial day number (fractions kept) or date text -> timestamp.
 
     ``dtype`` is the input column's Spark type when known: timestamps pass
-    through, numbers are serials, strings try serial first then formats.
-    Unparsable values become null.
+    through, numbers are serials, strings try serial first, then ISO forms,
+    then TEXT_DATE_FORMATS.  Whatever is no date (text, nan, a serial out of
+    range) becomes null; no cell ends the job.
     """
     c = F.col(col) if isinstance(col, str) else col
     if isinstance(dtype, (TimestampType, TimestampNTZType, DateType)):
         return c.cast("timestamp")
-    serial_micros = lambda n: F.timestamp_micros(
-        F.rint((n - F.lit(_EXCEL_EPOCH_UNIX_DAYS)) * F.lit(86400e6)).cast("bigint")
-    )
+
+    def from_serial(n: Column) -> Column:
+        fine = n.between(*[F.lit(v) for v in _SERIAL_RANGE])
+        micros = F.rint((F.when(fine, n) - F.lit(_EXCEL_EPOCH_UNIX_DAYS)) * F.lit(86400e6))
+        return F.timestamp_micros(micros.cast("bigint"))
+
     if isinstance(dtype, NumericType):
-        return serial_micros(c.cast("double"))
+        return from_serial(c.cast("double"))
     text = strip(c.cast("string"))
     serial = text.try_cast("double")
-    parsed = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in TEXT_DATE_FORMATS]
-    return F.when(serial.isNotNull(), serial_micros(serial)).otherwise(
-        F.coalesce(*parsed).cast("timestamp")
-    )
+    iso = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9:.]+(Z|[+-][0-9:]+)?)?$"), text.try_cast("timestamp"))
+    plain = F.regexp_replace(text, "^([0-9]{1,4})[/.]([0-9]{1,2})[/.]([0-9]{1,4})", "$1-$2-$3")
+    plain = F.regexp_replace(plain, "(?i)\\s*([ap])\\.?m\\.?$", " $1M")
+    plain = F.regexp_replace(F.regexp_replace(plain, "aM$", "AM"), "pM$", "PM")
+    parsed = [F.try_to_timestamp(plain, F.lit(fmt)) for fmt in TEXT_DATE_FORMATS]
+    return F.when(serial.isNotNull(), from_serial(serial)).otherwise(F.coalesce(iso, *parsed).cast("timestamp"))
 
 
 def month_name(ts: Column | str) -> Column:

@@ -117,7 +117,7 @@ def issue_slug(col: Column | str) -> Column:
 
 def plus_to_comma(col: Column | str) -> Column:
     """'+' separators in value lists shown as ', '."""
-    return F.regexp_replace(_c(col), "\\s*\\+\\s*", ", ")
+    return F.replace(_c(col), F.lit("+"), F.lit(", "))
 
 
 def entity_key(title: Column | str, table_name: Column | str, row_num: Column | str) -> Column:

@@ -164,7 +164,9 @@ def audit_vendor_buckets(audit: DataFrame) -> DataFrame:
         .when(name.contains("qatar"), F.lit("Qatar"))
         .otherwise(F.lit("Other"))
     )
-    g = keyed.groupBy(bucket.alias("vendorName")).agg(*_field_counts(F.col("_fc")))
+    # The kept buckets are chosen by an aggregate: a filter on the key would be pushed below
+    # the aggregation and repeat the whole chain of normalisations in every reference.
+    g = keyed.groupBy(bucket.alias("_bucket")).agg(F.max(bucket).alias("vendorName"), *_field_counts(F.col("_fc")))
     total = reduce(lambda a, b: a + b, [F.col(n) for _, n in FIELD_COUNTS])
     return g.filter(F.col("vendorName").isin(VENDOR_BUCKETS)).select(
         "vendorName", *[n for _, n in FIELD_COUNTS], total.alias("grandTotal"),
@@ -179,9 +181,9 @@ def audit_vendor_summary(audit: DataFrame) -> DataFrame:
         F.lower(F.trim(F.coalesce(F.col("FieldChanged"), F.lit("")))).alias("_fc"),
     )
     return (
-        keyed.filter(F.col("vendorName") != "")
-        .groupBy("vendorName")
-        .agg(*_field_counts(F.col("_fc")), F.count(F.lit(1)).alias("grandTotal"))
+        keyed.groupBy(F.col("vendorName").alias("_vendor"))
+        .agg(F.max("vendorName").alias("vendorName"), *_field_counts(F.col("_fc")), F.count(F.lit(1)).alias("grandTotal"))
+        .filter(F.col("vendorName") != "").drop("_vendor")
     )
 
 

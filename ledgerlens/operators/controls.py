@@ -109,19 +109,18 @@ def itc_password_stale(events: DataFrame, as_of: str, min_days: int = 91) -> Dat
     return _days_since_last(events, "password_change", as_of, min_days, "DAYS_SINCE_PWD_CHANGE")
 
 
-def itc_after_hours(events: DataFrame, start_hour: int = 9, end_hour: int = 18,
-                    min_value: float = 150.0, min_count: int = 1) -> DataFrame:
-    """Logins outside business hours (value above ``min_value``), count ≥ ``min_count``."""
+def itc_after_hours(events: DataFrame, start_hour: int = 9, end_hour: int = 18, min_count: int = 1) -> DataFrame:
+    """Logins outside business hours, count ≥ ``min_count``."""
     h = F.hour("ts")
-    hits = events.filter((F.col("kind") == "login") & (F.col("value") > min_value) & ((h < start_hour) | (h >= end_hour)))
+    hits = events.filter((F.col("kind") == "login") & ((h < start_hour) | (h >= end_hour)))
     return hits.groupBy("user_id").agg(F.count(F.lit(1)).alias("AFTER_HOURS_LOGINS")).filter(
         F.col("AFTER_HOURS_LOGINS") >= min_count
     )
 
 
-def itc_failed_logins(events: DataFrame, min_value: float = 75.0, min_count: int = 5) -> DataFrame:
-    """Users with ``min_count``+ failed logins (severity above ``min_value``)."""
-    failed = (F.col("kind") == "failed_login") & (F.col("value") > min_value)
+def itc_failed_logins(events: DataFrame, min_count: int = 5) -> DataFrame:
+    """Users with ``min_count``+ failed logins."""
+    failed = F.col("kind") == "failed_login"
     # Filter first: the predicate reaches the scan and only failures shuffle.
     return events.filter(failed).groupBy("user_id").agg(F.count(F.lit(1)).alias("FAILED_LOGINS")).filter(
         F.col("FAILED_LOGINS") >= min_count

@@ -51,7 +51,7 @@ def pie_top(rollup: DataFrame, dimension: str, n: int = 8) -> DataFrame:
     from pyspark.sql.window import Window
 
     total = F.sum(F.col("AMOUNT").cast("decimal(18,2)")).over(Window.partitionBy(F.lit(1))).cast("double")
-    share = F.floor(F.col("AMOUNT") / total * 1000 + 0.5) / 10
+    share = F.floor(F.try_divide(F.col("AMOUNT"), total) * 1000 + 0.5) / 10
     return top.select("LABEL", "AMOUNT", "ROWS", share.alias("SHARE_PCT"))
 
 

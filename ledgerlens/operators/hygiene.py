@@ -9,7 +9,7 @@ Lists are emitted sorted (the reference's first-seen order is not stable).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import number_text, rate_list, round2, strip
@@ -39,22 +39,31 @@ def multi_tax(enriched: DataFrame) -> DataFrame:
     )
 
 
+def _first_codes(enriched: DataFrame, key: str, code: Column, shown: int = 3) -> DataFrame:
+    """(k, codes, n, COUNT): per key its number of distinct non-blank codes and the first ``shown`` of them.
+
+    Rows are reduced to (key, code) pairs first, so a key with a third of all
+    rows is spread over its codes; the rank filter keeps ``shown`` pairs per
+    key and task before anything is gathered by key.
+    """
+    pairs = enriched.groupBy(F.col(key).alias("k"), F.nullif(code, F.lit("")).alias("code")).agg(F.count(F.lit(1)).alias("rows"))
+    totals = pairs.groupBy("k").agg(F.count("code").alias("n"), F.sum("rows").alias("COUNT")).filter("n > 1")
+    rank = F.row_number().over(Window.partitionBy("k").orderBy("code"))
+    first = pairs.filter("code IS NOT NULL").withColumn("place", rank).filter(F.col("place") <= shown)
+    lists = first.groupBy("k").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    return totals.join(lists, "k").select("k", F.array_join("codes", ", ").alias("codes"), "COUNT")
+
+
 def dup_customers(enriched: DataFrame) -> DataFrame:
     """A5: companies with >1 distinct non-blank store code; first 3 codes shown."""
-    g = enriched.groupBy("COMP_NM").agg(_nonblank_set(strip(F.col("`store code`"))).alias("codes"), _count())
-    return g.filter(F.size("codes") > 1).select(
-        F.col("COMP_NM").alias("CUST_NM"),
-        F.array_join(F.slice("codes", 1, 3), ", ").alias("CUST_CD"),
-        "COUNT",
-    )
+    g = _first_codes(enriched, "COMP_NM", strip(F.col("`store code`")))
+    return g.select(F.col("k").alias("CUST_NM"), F.col("codes").alias("CUST_CD"), "COUNT")
 
 
 def prod_name_issues(enriched: DataFrame) -> DataFrame:
     """Product names carrying >1 product code; first 3 codes shown."""
-    g = enriched.groupBy("PROD_NM").agg(_nonblank_set(strip(F.col("PROD_CODE"))).alias("codes"), _count())
-    return g.filter(F.size("codes") > 1).select(
-        "PROD_NM", F.array_join(F.slice("codes", 1, 3), ", ").alias("PROD_CODE"), "COUNT",
-    )
+    g = _first_codes(enriched, "PROD_NM", strip(F.col("PROD_CODE")))
+    return g.select(F.col("k").alias("PROD_NM"), F.col("codes").alias("PROD_CODE"), "COUNT")
 
 
 def prod_gst_issues(enriched: DataFrame) -> DataFrame:

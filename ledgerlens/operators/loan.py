@@ -19,7 +19,8 @@ def loan_diff(calc: DataFrame, bank: DataFrame) -> DataFrame:
     """Bank − calc for the six measures; a missing value counts as 0.
 
     Full outer join so a month present on one side only is still reported.
-    ``DIFF_HIT`` flags rows with any non-zero difference (P12).
+    ``DIFF_HIT`` flags rows with any non-zero difference, and months without
+    a counterpart (P12).
     """
     c = calc.select("person", "month", *[F.col(m).alias(f"calc_{m}") for m in LOAN_MEASURES],
                     *([F.col("other_charge")] if "other_charge" in calc.columns else []))
@@ -29,10 +30,10 @@ def loan_diff(calc: DataFrame, bank: DataFrame) -> DataFrame:
         F.coalesce(F.col(f"bank_{m}") - F.col(f"calc_{m}"), F.lit(0)).alias(f"diff_{m}") for m in LOAN_MEASURES
     ]
     out = j.select("*", *diffs)
-    hit = None
+    # A month that only one side has is the worst exception of all.
+    hit = F.col("calc_opening").isNull() != F.col("bank_opening").isNull()
     for m in LOAN_MEASURES:
-        h = F.col(f"diff_{m}") != 0
-        hit = h if hit is None else (hit | h)
+        hit = hit | (F.col(f"diff_{m}") != 0)
     return out.withColumn("DIFF_HIT", hit)
 
 

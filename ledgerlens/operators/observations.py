@@ -8,11 +8,14 @@ task is simply recomputed.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlens.functions import canonical_header_name, entity_key, safe_value
+from ledgerlens.functions import canonical_header_name, entity_key, safe_value, strip
+from ledgerlens.sinks.tables import materialize
 
 # The 35 observation fields, in table order.
 ALL_FIELDS = [
@@ -83,7 +86,16 @@ def required_columns(df: DataFrame, names: list[str] = ALL_FIELDS) -> None:
         raise ValueError(f"Missing required columns: {', '.join(missing)}")
 
 
-def classify_rows(raw: DataFrame, valid: list[str] = VALID_CATEGORIES, row_col: str = "row_idx") -> DataFrame:
+def fill_columns(df: DataFrame, names: list[str] = ALL_FIELDS) -> DataFrame:
+    """Seeding: columns a workbook lacks are blank; a warning names them."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        warnings.warn(f"Missing columns are left blank: {', '.join(missing)}", stacklevel=2)
+    return df.withColumns({n: F.lit("") for n in missing}) if missing else df
+
+
+def classify_rows(raw: DataFrame, valid: list[str] = VALID_CATEGORIES, row_col: str = "row_idx",
+                  fill_missing: bool = False) -> DataFrame:
     """W6 + W7 + P7: clean every field (F1), tag each row, fill the entity key.
 
     Adds ``_outcome`` in {'blank', 'skipped', 'inserted'}.  A row is blank
@@ -91,6 +103,8 @@ def classify_rows(raw: DataFrame, valid: list[str] = VALID_CATEGORIES, row_col:
     key fallback uses row number ``row_idx + 2`` (header row + 1-based).
     """
     df = canon_headers(raw)
+    if fill_missing:
+        df = fill_columns(df)
     required_columns(df)
     # Step 1: clean each field once (its own projection, so the cleaned
     # values are computed once and referenced by name afterwards).
@@ -105,9 +119,13 @@ def classify_rows(raw: DataFrame, valid: list[str] = VALID_CATEGORIES, row_col:
     return cleaned.select(*cols, F.col(row_col), outcome.alias("_outcome"))
 
 
-def observations_load(raw: DataFrame, valid: list[str] = VALID_CATEGORIES, row_col: str = "row_idx") -> DataFrame:
-    """K3 / K4 rows: the valid, non-blank rows of an upload, with entity keys."""
-    return classify_rows(raw, valid, row_col).filter(F.col("_outcome") == "inserted").drop("_outcome")
+def observations_load(raw: DataFrame, valid: list[str] = VALID_CATEGORIES, row_col: str = "row_idx",
+                      fill_missing: bool = False) -> DataFrame:
+    """K3 / K4 rows: the valid, non-blank rows of an upload, with entity keys.
+
+    ``fill_missing`` (seeding): fields the upload lacks are blank, not an error.
+    """
+    return classify_rows(raw, valid, row_col, fill_missing).filter(F.col("_outcome") == "inserted").drop("_outcome")
 
 
 def upload_accounting(raw: DataFrame, valid: list[str] = VALID_CATEGORIES, row_col: str = "row_idx") -> DataFrame:
@@ -145,24 +163,18 @@ def typed_view(obs: DataFrame) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, start: Column | int, order_col: str) -> DataFrame:
-    """Assign ids ``start+1 .. start+n`` in ``order_col`` order (a unique numeric key).
-
-    Rows are split into value-range buckets of ``order_col`` (bounds from a
-    scalar min/max subquery, so every use of the plan sees the same
-    buckets -- no sampling).  A second scalar subquery ships one
-    (bucket, rows-before) pair per bucket, bounded by the bucket count; an
-    id is its bucket's offset plus its rank inside the bucket.  No global
-    sort and no single-task window over the rows.
-    The input is planned three times (bounds, offsets, rows): pass a
-    stored table (or another cheap plan), as the observation workflow does.
+    """Assign ids ``start+1 .. start+n`` in ``order_col`` order (a unique key).
+
+    Rows are range-partitioned by ``order_col``, whose bounds Spark samples, so
+    partitions are even however the keys bunch; the partitioned rows are
+    written with their partition's number.  An id is the number of rows in
+    earlier partitions, plus the rank inside its own.  The counts per partition
+    travel as one scalar, bounded by the number of partitions.  No single-task
+    sort; the input is computed once.
     """
-    n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = F.col(order_col).cast("double")
-    bounds = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("b")).scalar()
-    lo, hi = bounds.getField("lo"), bounds.getField("hi")
-    width = (hi - lo + 1) / n
-    bucketed = df.withColumn("_b", F.least(F.floor((x - lo) / width), F.lit(n - 1)).cast("int"))
-    counts = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n, order_col).withColumn("_b", F.spark_partition_id()), "dense-ids")
+    counts = ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off"))
@@ -171,7 +183,7 @@ def dense_ids(df: DataFrame, start: Column | int, order_col: str) -> DataFrame:
     )
     rank = F.row_number().over(Window.partitionBy("_b").orderBy(order_col))
     start_col = start if isinstance(start, Column) else F.lit(start)
-    return bucketed.withColumn("id", (start_col + F.element_at(offsets, F.col("_b")) + rank).cast("long")).drop("_b")
+    return ranged.withColumn("id", (start_col + F.element_at(offsets, F.col("_b")) + rank).cast("long")).drop("_b")
 
 
 def observations_upsert(snapshot: DataFrame, changes: DataFrame, order_col: str = "seq") -> DataFrame:
@@ -182,7 +194,7 @@ def observations_upsert(snapshot: DataFrame, changes: DataFrame, order_col: str
     the id does not exist).  Without: a new row with the next free id.
     Several changes to one id: the last by ``order_col`` wins.
     """
-    fields = {f: F.coalesce(F.trim(F.col(f"`{f}`").cast("string")), F.lit("")) if f in changes.columns else F.lit("")
+    fields = {f: F.coalesce(strip(F.col(f"`{f}`").cast("string")), F.lit("")) if f in changes.columns else F.lit("")
               for f in ALL_FIELDS}
     ch = changes.select(F.col("id").cast("long").alias("id"), F.col(order_col).alias("_seq"),
                         *[v.alias(f) for f, v in fields.items()])

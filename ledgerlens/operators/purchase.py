@@ -66,7 +66,7 @@ def purchase_scan(df: DataFrame) -> DataFrame:
     df = normalize_columns(df)
     present = set(df.columns)
     keep = [F.col(f"`{c}`") if c in present else F.lit(None).cast("string").alias(c) for c in USE_COLUMNS]
-    extra = [F.col(c) for c in ("_ord", "_nationkey") if c in present]
+    extra = [F.col(c) for c in ("_ord", "_line", "_nationkey") if c in present]
     return df.select(*keep, *extra)
 
 
@@ -80,7 +80,7 @@ def purchase_enrich(raw: DataFrame) -> DataFrame:
     bill_src = F.coalesce(F.col("`bill date time`"), F.col("`business day date`"))
     day_src = F.coalesce(F.col("`business day date`"), F.col("`bill date time`"))
     day = excel_date(day_src, types["business day date"])
-    extra = [F.col(c) for c in ("_ord", "_nationkey") if c in df.columns]
+    extra = [F.col(c) for c in ("_ord", "_line", "_nationkey") if c in df.columns]
     return df.select(
         *[text[c].alias(c) for c in TEXT_COLUMNS],
         *[num[c].alias(c) for c in NUMERIC_COLUMNS],

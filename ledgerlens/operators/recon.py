@@ -14,28 +14,21 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import money_sum, round1, round2
 
 
-def _first(value: str, ord_col: str) -> Column:
-    """Value of the row with the smallest order (ties: smallest value)."""
-    return F.min(F.struct(F.col(ord_col).alias("o"), F.col(value).alias("v"))).getField("v")
+def invoice_rollup(enriched: DataFrame, line_col: str = "_line", extra: list[str] | None = None) -> DataFrame:
+    """A2: one row per bill number -- values of its first line, summed amount.
 
-
-def invoice_rollup(enriched: DataFrame, ord_col: str = "_ord", extra: list[str] | None = None) -> DataFrame:
-    """A2: one row per bill number -- first company / customer / month / year, summed amount.
-
-    The sum is exact (integer units, see ``money_sum``) and rounded half-even
-    to 2 at the end.
-    ``extra`` columns are carried as their minimum (e.g. nation key).
+    Company, customer, month, year and the ``extra`` columns all come from the
+    line with the smallest ``line_col`` (of lines that tie, the one with the
+    smallest values).  The sum is exact (integer units, see ``money_sum``) and
+    rounded half-even to 2 at the end.
     """
-    aggs = [
-        _first("COMP_NM", ord_col).alias("COMP_NM"),
-        _first("CUST_NM", ord_col).alias("CUST_NM"),
-        _first("MONTH", ord_col).alias("MONTH"),
-        _first("YEAR", ord_col).alias("YEAR"),
+    carried = ["COMP_NM", "CUST_NM", "MONTH", "YEAR", *(extra or [])]
+    g = enriched.groupBy(F.col("`bill no`").alias("INVOICE_NO")).agg(
+        F.min(F.struct(F.col(line_col).alias("_line"), *carried)).alias("first"),
         round2(money_sum(F.col("INVOICE_AMT"), 4)).alias("INVOICE_AMT"),
-        F.min(ord_col).alias(ord_col),
-    ]
-    aggs += [F.min(c).alias(c) for c in (extra or [])]
-    return enriched.groupBy(F.col("`bill no`").alias("INVOICE_NO")).agg(*aggs)
+    )
+    return g.select("INVOICE_NO", *[F.col(f"first.{c}").alias(c) for c in carried[:4]], "INVOICE_AMT",
+                    *[F.col(f"first.{c}").alias(c) for c in carried[4:]])
 
 
 def invoice_universe(po: DataFrame, grn: DataFrame, bank: DataFrame) -> DataFrame:

@@ -16,12 +16,17 @@ sorted inside one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REMARK_COLUMNS = ["issue_id", "category", "entity_key", "remark", "updated_at"]
 
 
+def _is_delete() -> Column:
+    """A request without an action is a save."""
+    return F.col("action").eqNullSafe(F.lit("delete"))
+
+
 def remarks_merge(log: DataFrame, ts_col: str = "ts", seq_col: str = "seq",
                   updated_col: str | None = None) -> DataFrame:
     """K7: compact a (issue_id, category, entity_key, remark, action, ts, seq) log.
@@ -31,7 +36,7 @@ def remarks_merge(log: DataFrame, ts_col: str = "ts", seq_col: str = "seq",
     """
     pos = F.struct(F.col(ts_col).alias("t"), F.col(seq_col).alias("s"))
     upd = F.col(updated_col or ts_col)
-    is_delete = F.col("action") == "delete"
+    is_delete = _is_delete()
     cuts = log.filter(is_delete).groupBy("issue_id").agg(F.max(pos).alias("cut"))
     saves = log.filter(~is_delete).filter(F.col("issue_id").isNotNull() & (F.col("issue_id") != ""))
     live = saves.join(cuts, "issue_id", "left").filter(F.col("cut").isNull() | (pos > F.col("cut")))
@@ -53,21 +58,23 @@ def remarks_scan(remarks: DataFrame) -> DataFrame:
     return remarks.select("issue_id", F.coalesce(F.col("remark"), F.lit("")).alias("remark"))
 
 
-def apply_changes(current: DataFrame, changes: DataFrame, ts_col: str = "ts", seq_col: str = "seq") -> DataFrame:
-    """Incremental form of K7: fold a batch of requests into the current table.
+LOG_COLUMNS = ["issue_id", "category", "entity_key", "remark", "action", "ts", "seq"]
+
 
-    Each current row becomes one save placed before every request (so its
-    category / entity key stay the "first save" and any new save or delete
-    supersedes it), carrying its real ``updated_at``.  Then ``remarks_merge``
-    over (current ∪ changes) equals the merge over the full history.
+def fold_log(state: DataFrame | None, changes: DataFrame) -> DataFrame:
+    """Incremental form of K7: the part of the log that can still matter, after a batch of requests.
+
+    The state is a log itself: per issue its last delete, and the saves after
+    it.  ``remarks_merge`` of the state equals that of the full history, in
+    whatever order and batches the requests come: a late delete removes the
+    saves before it, a late save counts only where no kept delete follows it.
     """
-    base = current.select(
-        "issue_id", "category", "entity_key", "remark",
-        F.lit("save").alias("action"),
-        F.lit(0).cast("timestamp").alias(ts_col),
-        F.lit(-1).cast("long").alias(seq_col),
-        F.col("updated_at").alias("_updated"),
-    )
-    cols = ["issue_id", "category", "entity_key", "remark", "action", ts_col, seq_col]
-    batch = changes.select(*cols, F.col(ts_col).alias("_updated"))
-    return remarks_merge(base.unionByName(batch), ts_col, seq_col, updated_col="_updated")
+    batch = changes.select(*LOG_COLUMNS)
+    log = batch if state is None else state.select(*LOG_COLUMNS).unionByName(batch)
+    pos = F.struct("ts", "seq")
+    cuts = log.filter(_is_delete()).groupBy("issue_id").agg(F.max(pos).alias("cut"))
+    live = log.filter(~_is_delete()).join(cuts, "issue_id", "left").filter(F.col("cut").isNull() | (pos > F.col("cut")))
+    none = F.lit(None).cast("string")
+    deletes = cuts.select("issue_id", none.alias("category"), none.alias("entity_key"), none.alias("remark"),
+                          F.lit("delete").alias("action"), F.col("cut.ts").alias("ts"), F.col("cut.seq").alias("seq"))
+    return live.select(*LOG_COLUMNS).unionByName(deletes)

@@ -1,44 +1,63 @@
 """Sinks: publish result tables, replace loads, category overwrite, exports.
 
 K1 publish_tables, K2 audit_trail_replace, K3/K4 observations_write,
-K5/K6 snapshot swap (write_snapshot / current_snapshot), K8 export_csv.
-
-Workflow tables are kept as immutable snapshot directories plus a small
-pointer file naming the current one: a writer never overwrites the path
-a reader may be scanning, and a failed job leaves the old snapshot live.
-All writes are ordinary DataFrame writes executed by the executors.
+K5/K6 versions of a table (write_snapshot / current_snapshot), K8 export_csv.
+
+A workflow table is a folder of immutable versions.  A version is complete
+when Spark has committed its write (its ``_SUCCESS`` file is there), which is
+one atomic step; the highest complete version is the table.  So a writer never
+touches what a reader scans, a failed write changes nothing, and what belongs
+to a version (such as the stream batch it applied) is part of its name.
+All paths are used through Hadoop's file systems: any store Spark reads.
 """
 
 from __future__ import annotations
 
-import os
+import re
 import uuid
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.session import shared_path
 
+_VERSION = re.compile(r"v(\d+)(?:-t(-?\d+))?$")
+
+
+def _path(spark: SparkSession, name: str) -> tuple[JavaObject, JavaObject]:
+    """The file system of a path, and the path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    fs, path = _path(spark, name)
+    return fs.exists(path)
+
 
 def publish_tables(tables: dict[str, DataFrame], out_dir: str) -> list[str]:
     """K1: overwrite each named result table under ``out_dir`` as parquet."""
     written = []
     for name, df in tables.items():
-        path = os.path.join(out_dir, name)
+        path = f"{out_dir}/{name}"
         df.write.mode("overwrite").parquet(path)
         written.append(path)
     return written
 
 
-def stored_tables(spark: SparkSession, in_dir: str, required: list[str]) -> dict[str, DataFrame] | None:
-    """Read the published tables when all are present, else None (caller recomputes)."""
+def stored_tables(spark: SparkSession, in_dir: str, required: list[str], filled: tuple[str, ...] = ("purchases",)) -> dict[str, DataFrame] | None:
+    """Read the published tables when all are present, else None (caller recomputes).
+
+    Those named in ``filled`` must hold at least one row too.
+    """
     out = {}
     for name in required:
-        path = os.path.join(in_dir, name)
-        if not os.path.exists(path):
+        path = f"{in_dir}/{name}"
+        if not exists(spark, path):
             return None
         out[name] = spark.read.parquet(path)
-    return out
+    return None if any(name in out and out[name].isEmpty() for name in filled) else out
 
 
 def audit_trail_replace(df: DataFrame, source_file: str, out_dir: str) -> DataFrame:
@@ -60,23 +79,44 @@ def observations_write(loaded: DataFrame, table_dir: str, mode: str = "replace")
         (writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(table_dir))
 
 
-def write_snapshot(df: DataFrame, table_dir: str) -> DataFrame:
-    """Write ``df`` as a new snapshot directory and point ``table_dir`` at it."""
-    snap = os.path.join(table_dir, f"snap-{uuid.uuid4().hex}")
-    df.write.mode("error").parquet(snap)
-    pointer = os.path.join(table_dir, "_CURRENT")
-    tmp = pointer + "." + uuid.uuid4().hex
-    os.makedirs(table_dir, exist_ok=True)
-    with open(tmp, "w") as fh:
-        fh.write(snap)
-    os.replace(tmp, pointer)
-    return df.sparkSession.read.parquet(snap)
+def _versions(spark: SparkSession, table_dir: str) -> list[tuple[int, int | None, str]]:
+    """(number, tag, path) of the complete versions, in their order."""
+    fs, path = _path(spark, table_dir)
+    if not fs.exists(path):
+        return []
+    found = []
+    for status in fs.listStatus(path):
+        match = _VERSION.match(status.getPath().getName())
+        own = f"{table_dir}/{status.getPath().getName()}"
+        if match and exists(spark, f"{own}/_SUCCESS"):
+            found.append((int(match[1]), int(match[2]) if match[2] else None, own))
+    return sorted(found)
 
 
-def current_snapshot(spark: SparkSession, table_dir: str) -> DataFrame:
-    """Read the snapshot ``table_dir`` currently points at."""
-    with open(os.path.join(table_dir, "_CURRENT")) as fh:
-        return spark.read.parquet(fh.read().strip())
+def write_snapshot(df: DataFrame, table_dir: str, tag: int | None = None) -> DataFrame:
+    """Write ``df`` as the next version of the table; ``tag`` becomes part of the commit.
+
+    One writer at a time: a second one of the same version fails, as its folder exists.
+    """
+    spark = df.sparkSession
+    fs, path = _path(spark, table_dir)
+    names = [_VERSION.match(s.getPath().getName()) for s in fs.listStatus(path)] if fs.exists(path) else []
+    number = 1 + max((int(m[1]) for m in names if m), default=0)
+    version = f"{table_dir}/v{number:012d}" + (f"-t{tag}" if tag is not None else "")
+    df.write.mode("error").parquet(version)
+    return spark.read.parquet(version)
+
+
+def current_snapshot(spark: SparkSession, table_dir: str) -> DataFrame | None:
+    """The table's latest complete version; None before the first."""
+    versions = _versions(spark, table_dir)
+    return spark.read.parquet(versions[-1][2]) if versions else None
+
+
+def current_tag(spark: SparkSession, table_dir: str) -> int | None:
+    """The tag that the latest complete version was committed with."""
+    versions = _versions(spark, table_dir)
+    return versions[-1][1] if versions else None
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -92,8 +132,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str) -> str | None:
-    """K8: labelled CSV report; no file when the report has no rows."""
-    if df.isEmpty():
+    """K8: labelled CSV report; no file when the report has no rows.
+
+    The report is computed once, into a table, which is then looked at and written.
+    """
+    report = materialize(df, "report")
+    if report.isEmpty():
         return None
-    df.write.mode("overwrite").option("header", True).csv(path)
+    report.write.mode("overwrite").option("header", True).csv(path)
     return path

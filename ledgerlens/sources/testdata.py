@@ -13,8 +13,6 @@ unless it is a literal table of fixed size.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,57 +35,9 @@ LOCATIONS = ["Bangalore", "Mumbai", "Delhi", "Chennai", "Pune", "Hyderabad", "Ko
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-_RELATIONS: dict[tuple, DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of one input table, resolved once per session.
-
-    Resolving a parquet relation lists its files and reads footers; on a
-    large table that is the expensive part of building a plan, so the
-    resolved relation is reused (as a catalog table would be).
-    """
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
-    rel = _RELATIONS.get(key)
-    if rel is None:
-        rel = spread_small_input(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        _RELATIONS[key] = rel
-    return rel
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core.
-
-    A table stored as a few large row groups scans into fewer splits than
-    there are cores, and every per-row step before the first shuffle
-    (broadcast joins, projections) then runs on those few tasks.  Such a
-    scan is redistributed round-robin (Spark sorts before round-robin, so a
-    retried task sees the same rows).  Large inputs already have more splits
-    than cores and are left alone -- no extra shuffle at scale.  Column
-    pruning and filters still reach the scan below the repartition.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
-def per_session(fn):
-    """Build a view's plan once per (session, data folder, arguments).
-
-    A plan is an immutable value; reusing it (like a temporary view) saves
-    the Python-side expression building and re-analysis on every query.
-    """
-    cache: dict[tuple, object] = {}
-
-    @functools.wraps(fn)
-    def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir, args, tuple(sorted(kwargs.items())))
-        if key not in cache:
-            cache[key] = fn(spark, sf_dir, *args, **kwargs)
-        return cache[key]
-
-    return wrapper
+    """Scan of one input table, as its files are now."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pick(values: list, index: Column) -> Column:
@@ -96,15 +46,14 @@ def _pick(values: list, index: Column) -> Column:
 
 
 # ---------------------------------------------------------------- V1 / V1c --
-@per_session
 def purchase_source(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
     """V1 (or V1c when ``coarse``): invoice lines with the workbook's 20 columns.
 
-    Extra columns: ``_ord`` (source order: the order key) and ``_nationkey``
-    (supplier nation, used by the bank-payment view).
+    Extra columns: ``_ord`` (the order key), ``_line`` (the line's place in its
+    invoice) and ``_nationkey`` (supplier nation, used by the bank-payment view).
     """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
@@ -128,9 +77,10 @@ def purchase_source(spark: SparkSession, sf_dir: str, coarse: bool = False) -> D
         .join(region, nation.n_regionkey == region.r_regionkey)
         .select("s_suppkey", "s_nationkey", "n_name", "r_name")
     )
+    # Orders and customers are joined before the lines, which are then shuffled once for both.
+    placed = orders.join(customer, orders.o_custkey == customer.c_custkey)
     df = (
-        li.join(orders, li.l_orderkey == orders.o_orderkey)
-        .join(customer, orders.o_custkey == customer.c_custkey)
+        li.join(placed, li.l_orderkey == placed.o_orderkey)
         .join(part_dim, li.l_partkey == part_dim.p_partkey)
         .join(supp_geo, li.l_suppkey == supp_geo.s_suppkey)
     )
@@ -175,6 +125,7 @@ def purchase_source(spark: SparkSession, sf_dir: str, coarse: bool = False) -> D
         order_ts.alias("bill date time"),
         order_ts.alias("business day date"),
         F.col("l_orderkey").alias("_ord"),
+        F.col("l_linenumber").cast("long").alias("_line"),
         F.col("s_nationkey").alias("_nationkey"),
     )
 
@@ -212,7 +163,6 @@ def recon_tables(invoices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 # ------------------------------------------------------------------- V3 --
-@per_session
 def audit_trail_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: vendor-master change log with the workbook's text headers."""
     o = table(spark, sf_dir, "orders")
@@ -252,7 +202,6 @@ OBSERVATION_CATEGORIES = [
 ]
 
 
-@per_session
 def observations_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: an observation workbook (all 35 fields as text) plus ``row_idx``."""
     from ledgerlens.operators.observations import ALL_FIELDS
@@ -288,7 +237,6 @@ def observations_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------- V5 --
-@per_session
 def remark_log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5: remark save/delete requests as an append-only change log."""
     e = table(spark, sf_dir, "events")
@@ -309,7 +257,6 @@ def remark_log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------- V6 --
-@per_session
 def loan_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """V6: (calc schedule, bank schedule, borrower meta).
 
@@ -318,7 +265,9 @@ def loan_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     li = table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     tax = F.col("l_tax").cast("decimal(4,2)")
-    grouped = li.groupBy("l_orderkey", "l_linenumber").agg(
+    # Grouped by the final key, so that joins on it find the rows where they are.
+    keyed = li.withColumns({"person": F.col("l_orderkey").cast("string"), "month": F.col("l_linenumber")})
+    grouped = keyed.groupBy("person", "month").agg(
         F.sum(price).alias("opening"),
         F.sum(price * tax).alias("interest"),
         F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("principal"),
@@ -326,8 +275,7 @@ def loan_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         F.min("l_suppkey").alias("min_supp"),
     )
     base = grouped.select(
-        F.col("l_orderkey").cast("string").alias("person"),
-        F.col("l_linenumber").alias("month"),
+        "person", "month",
         "opening", "interest", "principal", "rate", "min_supp",
     )
 
@@ -342,12 +290,13 @@ def loan_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
             F.col("rate").cast("decimal(6,4)").alias("rate"),
         ]
 
-    calc = base.select(
+    # Some months are on one side only.
+    calc = base.filter(F.col("min_supp") % 89 != 0).select(
         *schedule(F.col("interest")),
         F.when(F.col("min_supp") % 50 == 0, F.lit(400)).cast("decimal(20,2)").alias("other_charge"),
     )
     bank_interest = F.col("interest") + F.when(F.col("min_supp") % 50 == 0, F.lit(10)).otherwise(F.lit(0))
-    bank = base.select(*schedule(bank_interest))
+    bank = base.filter(F.col("min_supp") % 97 != 0).select(*schedule(bank_interest))
     k = F.col("l_orderkey")
     meta = (
         li.select("l_orderkey").distinct()
@@ -362,7 +311,6 @@ def loan_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 # ------------------------------------------------------------------- V7 --
-@per_session
 def employees_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7: employee master with shared / missing statutory ids."""
     c = table(spark, sf_dir, "customer")
@@ -388,7 +336,6 @@ def employees_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------- V8 --
-@per_session
 def access_events_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: user access events (login, failed login, approval, password change)."""
     e = table(spark, sf_dir, "events")
@@ -407,7 +354,6 @@ def access_events_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@per_session
 def exits_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: last working day for leavers (every third user)."""
     e = table(spark, sf_dir, "events")
@@ -418,7 +364,6 @@ def exits_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@per_session
 def approval_limits_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: authorised approval limit per user."""
     e = table(spark, sf_dir, "events")
@@ -434,7 +379,6 @@ __all__ = [
 ]
 
 
-@per_session
 def observation_changes_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved observation forms -- updates by id (some ids absent) and new rows."""
     from ledgerlens.operators.observations import ALL_FIELDS

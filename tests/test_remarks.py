@@ -2,8 +2,9 @@
 
 import datetime as dt
 import os
+import random
 
-from ledgerlens.operators.remarks import apply_changes, remarks_merge
+from ledgerlens.operators.remarks import fold_log, remarks_merge
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "issue_id string, category string, entity_key string, remark string, action string, ts timestamp, seq long"
@@ -35,15 +36,29 @@ def test_merge_semantics(spark):
 
 
 def test_incremental_equals_full(spark):
-    first, second = LOG[:3], LOG[3:]
-    current = remarks_merge(_log(spark, first))
-    inc = _table(apply_changes(current, _log(spark, second)))
-    assert inc == _table(remarks_merge(_log(spark, LOG)))
+    state = fold_log(fold_log(None, _log(spark, LOG[:3])), _log(spark, LOG[3:]))
+    assert _table(remarks_merge(state)) == _table(remarks_merge(_log(spark, LOG)))
+
+
+def test_batches_in_any_order_equal_the_full_history(spark):
+    rng = random.Random(4)
+    log = [(rng.choice("abc"), f"c{m}", f"k{m}", f"r{m}", rng.choice(["save", "save", None, "delete"]), m) for m in range(24)]
+    want = _table(remarks_merge(_log(spark, log)))
+    for _ in range(3):
+        rng.shuffle(log)
+        state = None
+        for start in range(0, len(log), 8):
+            folded = fold_log(state, _log(spark, log[start : start + 8])).collect()
+            state = spark.createDataFrame(folded, SCHEMA)
+        assert _table(remarks_merge(state)) == want
+
+
+def test_a_request_without_action_is_a_save(spark):
+    assert _table(remarks_merge(_log(spark, [("a", "c", "k", "kept", None, 1)]))) == {"a": ("c", "k", "kept")}
 
 
 def test_streaming_fold_is_idempotent(spark, tmp_dir):
-    from ledgerlens.sinks.tables import current_snapshot
-    from ledgerlens.streaming.remarks_stream import start_remarks_stream
+    from ledgerlens.streaming.remarks_stream import current_remarks, fold_batch, start_remarks_stream
 
     req = os.path.join(tmp_dir, "requests")
     table = os.path.join(tmp_dir, "remarks")
@@ -54,4 +69,6 @@ def test_streaming_fold_is_idempotent(spark, tmp_dir):
     _log(spark, LOG[3:]).write.parquet(os.path.join(req, "batch2"))
     q = start_remarks_stream(spark, os.path.join(req, "*"), table, ckpt)
     q.awaitTermination(120)
-    assert _table(current_snapshot(spark, table)) == _table(remarks_merge(_log(spark, LOG)))
+    assert _table(current_remarks(spark, table)) == _table(remarks_merge(_log(spark, LOG)))
+    fold_batch(table)(_log(spark, [("z", "c", "k", "again", "save", 99)]), 0)  # a batch applied before
+    assert "z" not in _table(current_remarks(spark, f"file://{table}"))

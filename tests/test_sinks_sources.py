@@ -31,6 +31,18 @@ def test_snapshot_pointer_and_publish(spark, tmp_dir):
     stored = S.stored_tables(spark, out, ["x", "y"])
     assert stored["y"].count() == 4
     assert S.stored_tables(spark, out, ["x", "z"]) is None
+    S.publish_tables({"purchases": spark.range(0)}, f"file://{out}")
+    assert S.stored_tables(spark, f"file://{out}", ["x", "purchases"]) is None
+
+
+def test_an_unfinished_version_is_not_read(spark, tmp_dir):
+    t = f"file://{tmp_dir}/tbl"
+    assert S.current_snapshot(spark, t) is None
+    S.write_snapshot(spark.range(3), t, tag=4)
+    os.makedirs(os.path.join(tmp_dir, "tbl", "v000000000002-t5"))  # a write that did not commit
+    assert S.current_snapshot(spark, t).count() == 3 and S.current_tag(spark, t) == 4
+    S.write_snapshot(spark.range(6), t, tag=5)
+    assert S.current_snapshot(spark, t).count() == 6 and S.current_tag(spark, t) == 5
 
 
 def test_export_csv(spark, tmp_dir):
@@ -73,6 +85,20 @@ def test_workbook_ingest(spark, tmp_dir):
     assert got == [("INV-1", "12.5", None), ("INV-1", "12.5", None), ("INV-2", "", None), ("INV-2", "", None)]
 
 
+def test_workbook_headers_blank_repeated_and_padded(spark, tmp_dir):
+    rows = (
+        '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c><c r="D1" t="s"><v>1</v></c></row>'
+        '<row r="2"><c r="A2"><v>7</v></c><c r="B2"><v>8</v></c><c r="C2"><v>9</v></c><c r="AA2"><v>5</v></c></row>'
+        '<row r="3"><c r="C3"><v>1</v></c><c r="D3" t="b"><v>0</v></c></row>'
+    )
+    with open(os.path.join(tmp_dir, "c.xlsx"), "wb") as fh:
+        fh.write(_xlsx(rows, ["Bill No\u00a0", " Amount"]))
+    t = W.workbook_table(spark, tmp_dir)
+    assert t.select("values").orderBy("row_idx").collect()[0][0] == {"Bill No": "7", "Amount": ""}
+    got = [tuple(r)[2:] for r in W.select_columns(t, ["Bill No", "Amount"]).orderBy("row_idx").collect()]
+    assert got == [("7", ""), ("", "0")]
+
+
 def test_text_scan(spark, tmp_dir):
     p = os.path.join(tmp_dir, "t.csv")
     with open(p, "w") as fh:
