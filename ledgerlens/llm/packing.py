@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,16 +37,48 @@ class DocumentTokens:
     """Token ids of whole texts for a vocabulary that drops white space.
 
     White space always ends a token, so the parts between it are tokenised once
-    and remembered, as little-endian 32-bit ids.
+    and remembered, as 32-bit ids.  Of a part that is a word of
+    Latin letters and the marks after it, the word goes straight to the merges
+    of the library's model: normalising and splitting would not change it.
     """
 
+    #: Marks that the vocabulary's split pattern separates from letters before them.
+    MARKS = b".,;:!?*#$%&|"
+
     def __init__(self, vocabulary: str, end_id: int):
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.parts = Cache(self._ids)
-
-    def _ids(self, part: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(part.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        self.end = array("I", [end_id]).tobytes()
+        self.parts = Cache(self._part)
+        self.words = Cache(self._word)
+        self.marks = Cache(self._library)
+        self.model = self.tokenizer.model
+        # Byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes follow from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(others)}
+
+    def _part(self, part: bytes) -> bytes:
+        word = part.rstrip(self.MARKS)
+        letters = self.words[word]
+        if letters is None:
+            return self._library(part)
+        return letters + (self.marks[part[len(word) :]] if len(word) < len(part) else b"")
+
+    def _word(self, word: bytes) -> bytes | None:
+        """The ids of Latin letters; None for anything else."""
+        text = word.decode("utf-8")
+        if not text.isalpha() or max(text) >= "\u0100":
+            return None
+        tokens = self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.alphabet))
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def _library(self, part: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(part.decode("utf-8"), add_special_tokens=False).ids).tobytes()
+
+    def trim(self) -> None:
+        self.parts.trim()
+        self.words.trim()
+        self.marks.trim()
 
     def __call__(self, text: bytes) -> bytes:
         return b"".join(map(self.parts.__getitem__, text.split())) + self.end
@@ -157,7 +189,7 @@ def pack_documents(
         tokens_of = _TOKENS[vocabulary, end_id]
         width = 4 * sequence
         for batch in batches:
-            tokens_of.parts.trim()
+            tokens_of.trim()
             ids = [tokens_of(t) for t in batch.column("text").to_pylist()]
             whole = [len(i) // width for i in ids]
             yield pa.RecordBatch.from_arrays(
