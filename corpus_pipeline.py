@@ -10,12 +10,12 @@ from ledgerlens.llm.exact_dedup import drop_copies
 from ledgerlens.llm.mixing import apply_mix, mix_sources
 from ledgerlens.llm.near_dup import drop_near_duplicates
 from ledgerlens.llm.packing import pack_documents
-from ledgerlens.llm.quality import quality_decisions
+from ledgerlens.llm.quality import drop_poor
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier, fitted to ``labels``, keeps."""
-    return quality_decisions(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("keep").select(*docs.columns)
+    return drop_poor(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,5 +92,6 @@ class FMIndex:
             symbol = self.text[places[open_] + length - step]
             at = self.bwt.rank(np.r_[symbol, symbol], np.r_[lo, hi])
             lo, hi = self.first[symbol] + at[: len(lo)], self.first[symbol] + at[len(lo) :]
-        low[open_], high[open_] = lo, hi
+        several = hi - lo > 1
+        low[open_[several]], high[open_[several]] = lo[several], hi[several]
         return low, high

@@ -173,14 +173,15 @@ def _cells(docs: DataFrame, points: DataFrame, length: int, percent: int) -> Dat
         last = np.r_[last, fresh]
     held = stage(windows().select("id", F.explode("shingles").alias("shingle")), "shingle-windows")
     several = held.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("shingle")
-    return held.join(several, "shingle")
+    return held.join(stage(several, "shingle-several"), "shingle")
 
 
 def link_components(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Rows with the id of their set's first row, and the components of those ids."""
     table = stage(_points(docs, length), "shingle-points")
     # The first row of every distinct set stands for it.
-    first = table.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"))
+    # Written, as the other counts by key below: then the join deals both sides out itself and can split a hot key.
+    first = stage(table.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "shingle-first")
     rows = stage(table.join(first, "digest", "left"), "shingle-rows")
     points = rows.filter("doc_id = id").groupBy("id").agg(
         F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("n", *[f"k{i}" for i in range(SKETCH_WORDS)])])
@@ -223,7 +224,8 @@ def _rest(cells: DataFrame, known: DataFrame, labels: DataFrame, distances: Data
     of = cells.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     of = stage(of.select("shingle", "id", "component"), "cells-labelled")
     mixed = of.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    held = of.join(mixed.filter("low < high").select("shingle"), "shingle").join(known.drop("cells"), "id")
+    mixed = stage(mixed.filter("low < high").select("shingle"), "cells-open")
+    held = of.join(mixed, "shingle").join(known.drop("cells"), "id")
     # The distance to the first pivot that was measured, for the bound by the triangle inequality.
     pivot = distances.groupBy("a").agg(F.min(F.struct("b", "distance")).alias("p"))
     held = held.join(pivot.select(F.col("a").alias("id"), F.col("p.b").alias("pivot"), F.col("p.distance").alias("far")), "id", "left")

@@ -197,21 +197,23 @@ def train_quality(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE
     return OrdinalModel(np.frombuffer(bytes(row["weights"]), np.float32), np.array(row["thresholds"]), row["cutoff"])
 
 
-def score_quality(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
-    """Every row with expected_grade, top_probability (of the best grade) and keep.
+def score_quality(docs: DataFrame, model: OrdinalModel | None, into: str = "quality") -> DataFrame:
+    """Every row with a struct ``into``: expected_grade, top_probability (of the best grade), keep.
 
-    All columns of ``docs`` stay.  A null or empty text has only the features
-    of its shape.  Without a model nothing is known against a document: both
-    figures are null and keep is true.
+    All columns of ``docs`` stay, but for one named ``into``.  A null or empty
+    text has only the features of its shape; equal texts score alike.  Without
+    a model nothing is known against a document: both figures are null and
+    keep is true.
     """
     spark = docs.sparkSession
     prepare(spark)
     if model is None:
-        return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "top_probability": F.lit(None).cast("double"),
-                                 "keep": F.lit(True)})
+        unknown = F.lit(None).cast("double")
+        return docs.withColumn(into, F.struct(unknown.alias("expected_grade"), unknown.alias("top_probability"), F.lit(True).alias("keep")))
+    cutoff = model.cutoff
     shared = spark.sparkContext.broadcast((model.weights, model.thresholds.tolist()))
 
-    @F.pandas_udf("struct<expected_grade:double,top_probability:double>")
+    @F.pandas_udf("struct<expected_grade:double,top_probability:double,keep:boolean>")
     def score(texts):
         import pandas as pd
 
@@ -222,13 +224,10 @@ def score_quality(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
             slots = features(bytes(text))
             total = math.fsum(weights[np.fromiter(slots, np.int64, len(slots))].tolist())
             tails = [0.5 * (1.0 + math.tanh(0.5 * (total - t))) for t in thresholds]
-            out.append((sum(tails), tails[-1]))
-        return pd.DataFrame(out, columns=["expected_grade", "top_probability"])
+            out.append((sum(tails), tails[-1], tails[-1] >= cutoff))
+        return pd.DataFrame(out, columns=["expected_grade", "top_probability", "keep"])
 
-    scored = docs.withColumn("__score", score(utf8()))
-    return scored.withColumns({
-        "expected_grade": F.col("__score.expected_grade"), "top_probability": F.col("__score.top_probability"),
-        "keep": F.col("__score.top_probability") >= F.lit(model.cutoff)}).drop("__score")
+    return docs.withColumn(into, score(utf8()))
 
 
 def ratings_from_labels(labels: DataFrame) -> DataFrame:
@@ -237,6 +236,11 @@ def ratings_from_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("quality").isNull(), None).when(toxic, 1).otherwise(2).alias("grade"))
 
 
-def quality_decisions(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def quality_decisions(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, into: str = "quality") -> DataFrame:
     """Train on the labelled documents and score all of them."""
-    return score_quality(docs, train_quality(docs, ratings_from_labels(labels), sample_rows))
+    return score_quality(docs, train_quality(docs, ratings_from_labels(labels), sample_rows), into)
+
+
+def drop_poor(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that the classifier keeps, with all their columns."""
+    return quality_decisions(docs, labels, sample_rows, "__quality").filter("__quality.keep").select(*docs.columns)

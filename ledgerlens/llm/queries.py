@@ -30,7 +30,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_decisions(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.select("doc_id", "expected_grade", "top_probability", "keep")
+    return scored.select("doc_id", "quality.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

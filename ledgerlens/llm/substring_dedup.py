@@ -112,7 +112,8 @@ def _in_several(table: DataFrame, column: str) -> DataFrame:
     """Per document, which of the hashes in ``column`` another document has too."""
     grams = table.select("doc_id", "text_hash", F.explode(column).alias("gram"))
     several = grams.groupBy("gram").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    several = several.filter("least < most").select("gram")
+    # Written, so that the join deals both sides out itself and can split a gram that very many documents hold.
+    several = stage(several.filter("least < most").select("gram"), "substring-several")
     return grams.join(several, "gram").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("gram")).alias("shared"))
 
 
@@ -240,7 +241,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     table = stage(_samples(docs, window), "substring-samples")
     # A document all of whose words, in order, are a smaller document's loses every one of them.
     whole = table.filter((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
-    earliest = whole.groupBy("digest").agg(F.min("doc_id").alias("earliest"))
+    earliest = stage(whole.groupBy("digest").agg(F.min("doc_id").alias("earliest")), "substring-earliest")
     marked = stage(whole.join(earliest, "digest").select(
         "doc_id", "text_hash", "samples", (F.col("earliest") < F.col("doc_id")).alias("is_copy")), "substring-marked")
     mine = ["doc_id", "text_hash"]
