@@ -20,13 +20,15 @@ FISCAL_MONTHS = [
     "October", "November", "December", "January", "February", "March",
 ]
 
-# Text date formats tried in order when a cell is neither a serial nor in ISO
-# form; '/' and '.' between numbers read as '-'.  The month comes first; a
-# day first is only read where the month would be impossible.
-_DAY_FORMATS = ["M-d-yyyy", "d-M-yyyy", "yyyy-M-d", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMM d yyyy", "d MMMM yyyy",
-                "MMMM d, yyyy", "MMMM d yyyy"]
-_TIME_FORMATS = ["", " H:m:s", " H:m", " h:m:s a", " h:m a"]
-TEXT_DATE_FORMATS = [day + time for day in _DAY_FORMATS for time in _TIME_FORMATS]
+# Written dates: the numbers or names in the order in which a form has them, an
+# optional time after them.  The month comes first; a day first is only read
+# where the month would be impossible.
+_TIME = r"(?:[T ]\s*([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?(?:\.[0-9]+)?\s*([AaPp])?[Mm.]*)?$"
+_NUMBERS = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + _TIME
+_YEAR_FIRST = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + _TIME
+_DAY_NAME = r"^([0-9]{1,2})[- ]([A-Za-z]{3})[a-z]*[-, ]+([0-9]{4})" + _TIME
+_NAME_DAY = r"^([A-Za-z]{3})[a-z]*[- ]([0-9]{1,2})[-, ]+([0-9]{4})" + _TIME
+_SHORT_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 _EXCEL_EPOCH_UNIX_DAYS = 25569  # 1899-12-30 -> 1970-01-01
 # Serials of the dates that a nanosecond clock can hold, 1677-09-22 to 2262-04-11; others are no dates.
@@ -37,8 +39,8 @@ def excel_date(col: Column | str, dtype=None) -> Column:
     """Excel serial day number (fractions kept) or date text -> timestamp.
 
     ``dtype`` is the input column's Spark type when known: timestamps pass
-    through, numbers are serials, strings try serial first, then ISO forms,
-    then TEXT_DATE_FORMATS.  Whatever is no date (text, nan, a serial out of
+    through, numbers are serials, strings try serial first, then written
+    forms.  Whatever is no date (text, nan, a serial out of
     range) becomes null; no cell ends the job.
     """
     c = F.col(col) if isinstance(col, str) else col
@@ -54,12 +56,33 @@ def excel_date(col: Column | str, dtype=None) -> Column:
         return from_serial(c.cast("double"))
     text = strip(c.cast("string"))
     serial = text.try_cast("double")
-    iso = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9:.]+(Z|[+-][0-9:]+)?)?$"), text.try_cast("timestamp"))
-    plain = F.regexp_replace(text, "^([0-9]{1,4})[/.]([0-9]{1,2})[/.]([0-9]{1,4})", "$1-$2-$3")
-    plain = F.regexp_replace(plain, "(?i)\\s*([ap])\\.?m\\.?$", " $1M")
-    plain = F.regexp_replace(F.regexp_replace(plain, "aM$", "AM"), "pM$", "PM")
-    parsed = [F.try_to_timestamp(plain, F.lit(fmt)) for fmt in TEXT_DATE_FORMATS]
-    return F.when(serial.isNotNull(), from_serial(serial)).otherwise(F.coalesce(iso, *parsed).cast("timestamp"))
+    zoned = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.]+(Z|[+-][0-9:]+)$"), text.try_cast("timestamp"))
+    return F.when(serial.isNotNull(), from_serial(serial)).otherwise(F.coalesce(zoned, _written_date(text)))
+
+
+def _written_date(text: Column) -> Column:
+    """The timestamp that a text spells out in one of the forms above; null for anything else."""
+    form = F.when(text.rlike(_NUMBERS), F.lit(_NUMBERS)).when(text.rlike(_YEAR_FIRST), F.lit(_YEAR_FIRST)).when(
+        text.rlike(_DAY_NAME), F.lit(_DAY_NAME)).when(text.rlike(_NAME_DAY), F.lit(_NAME_DAY))
+    # The parts of the one form that fits, found once.
+    parts = F.array(form, *[F.call_function("regexp_extract", text, form, F.lit(i)) for i in range(1, 8)])
+    return F.element_at(F.transform(F.array(parts), _from_parts), 1)
+
+
+def _from_parts(parts: Column) -> Column:
+    form = parts[0]
+    number = lambda i: parts[i].try_cast("int")
+    named = lambda i: ((F.instr(F.lit(_SHORT_MONTHS), F.lower(parts[i])) + 2) / 3).cast("int")
+    swapped = (form == _NUMBERS) & (number(1) > 12)
+    year = F.when(form == _YEAR_FIRST, number(1)).otherwise(number(3))
+    month = F.when(form == _YEAR_FIRST, number(2)).when(form == _DAY_NAME, named(2)).when(form == _NAME_DAY, named(1)).when(
+        swapped, number(2)).otherwise(number(1))
+    day = F.when(form == _YEAR_FIRST, number(3)).when(form == _DAY_NAME, number(1)).when(form == _NAME_DAY, number(2)).when(
+        swapped, number(1)).otherwise(number(2))
+    hour, half = F.coalesce(number(4), F.lit(0)), F.lower(parts[7])
+    hour = F.when(half == "a", hour % 12).when(half == "p", hour % 12 + 12).otherwise(hour)
+    second = F.coalesce(number(6), F.lit(0))
+    return F.try_make_timestamp(year, month, day, hour, F.coalesce(number(5), F.lit(0)), second.cast("decimal(8,6)"))
 
 
 def month_name(ts: Column | str) -> Column:
@@ -67,7 +90,7 @@ def month_name(ts: Column | str) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     # Array lookup instead of a per-row formatter; same English names.
     names = F.array(*[F.lit(m) for m in ALL_MONTHS])
-    return F.coalesce(F.element_at(names, F.month(c)), F.lit("Unknown"))
+    return F.when(c.isNull(), F.lit("Unknown")).otherwise(F.element_at(names, F.month(c)))
 
 
 def year_or_zero(ts: Column | str) -> Column:

@@ -213,3 +213,17 @@ def export_frame(issues: DataFrame, category: str) -> DataFrame:
             c = F.coalesce(c, F.lit("Not in Master"))
         cols.append(c.alias(label))
     return issues.select(*cols)
+
+
+# When a row of a hygiene or bank summary is marked, by category.
+_MARKED = {
+    "multi_tax": lambda: F.col("COUNT") > 30,
+    "prod_name": lambda: F.col("COUNT") <= 3,
+    "dup_cust": lambda: F.col("COUNT") == 1,
+    "bank": lambda: F.col("BANK_COUNT") > 2,
+}
+
+
+def with_risk_flag(rows: DataFrame, category: str) -> DataFrame:
+    """``RISK_FLAG`` marks the rows of a category that stand out by their count."""
+    return rows.withColumn("RISK_FLAG", _MARKED[category]())

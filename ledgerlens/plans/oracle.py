@@ -832,3 +832,27 @@ GROUP BY 1 HAVING count(*) FILTER (WHERE a.value > l.approval_limit) >= 3"""
 
 SQL["three_way_match_filtered"] = "WITH " + _match() + """
 SELECT * FROM match WHERE COMP_NM IN ('NATION_3', 'NATION_11') AND "MONTH" IN ('April', 'May', 'June')"""
+
+# ------------------------------------- the loader's text, flags and displays --
+# The text of V1: what is no date counts as no month, what is no number as 0.
+SQL["purchases_text"] = "WITH " + _purchases() + """
+SELECT INVOICE_NO, COMP_NM, COMP_STATE, PROD_NM, PROD_CODE, CUST_NM, CUST_STATE,
+  CASE WHEN ord % 11 IN (5, 6, 7) THEN 'Unknown' ELSE "MONTH" END AS "MONTH",
+  CAST(CASE WHEN ord % 11 IN (5, 6, 7) THEN 0 ELSE "YEAR" END AS INTEGER) AS "YEAR",
+  CASE WHEN ord % 31 IN (3, 4) THEN 0.0::DOUBLE ELSE GST_RATE END AS GST_RATE,
+  CASE WHEN ord % 31 IN (3, 4) THEN '0.0% CGST, 0.0% SGST' ELSE TAX_DESC END AS TAX_DESC,
+  INVOICE_AMT, GST_AMT, TOTAL_AMT, DISCOUNT, CALC_DISCOUNT, DISC_DIFF
+FROM purchases"""
+SQL["remarks_incremental"] = SQL["remarks"]
+SQL["three_way_diff"] = f"""
+SELECT *, CASE WHEN GRN_AMT = 0 OR BANK_AMT = 0 THEN NULL ELSE {_r2('GRN_AMT - BANK_AMT')} END AS DIFF,
+  CASE WHEN GRN_AMT = 0 OR BANK_AMT = 0 THEN 'Missing' ELSE 'OK' END AS DIFF_STATUS
+FROM ({SQL['three_way_match_full']}) m"""
+SQL["multi_tax_flags"] = f"SELECT *, COUNT > 30 AS RISK_FLAG FROM ({SQL['multi_tax']}) m"
+SQL["prod_name_flags"] = f"SELECT *, COUNT <= 3 AS RISK_FLAG FROM ({SQL['prod_name_issues']}) m"
+SQL["dup_cust_flags"] = f"SELECT *, COUNT = 1 AS RISK_FLAG FROM ({SQL['dup_customers']}) m"
+SQL["bank_flags"] = f"SELECT *, BANK_COUNT > 2 AS RISK_FLAG FROM ({SQL['bank_summary']}) m"
+SQL["hygiene_export_multi_tax"] = f"""
+SELECT GST_RATE AS "GST Rate (%)", TAX_DESC AS "Tax Description", COUNT AS "Count", REMARK AS "Remark"
+FROM ({SQL['hygiene_multi_tax']}) m"""
+SQL["observations_other_headers"] = SQL["observations_loaded"]

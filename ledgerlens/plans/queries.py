@@ -467,3 +467,57 @@ def q_three_way_match_filtered(spark, sf):
     """Reconciliation rows for two companies in one quarter (PO month carried)."""
     f = {"company": ["NATION_3", "NATION_11"], "month": ["April", "May", "June"]}
     return P.filter_dims(R.three_way_match(*I.recon(spark, sf), limit=None), f)
+
+
+# ------------------------------------- the loader's text, flags and displays --
+@query("purchases_text")
+def q_purchases_text(spark, sf):
+    return P.purchases(T.purchase_text_source(spark, sf))
+
+
+@query("remarks_incremental")
+def q_remarks_incremental(spark, sf):
+    """The odd requests come first, then the even ones: every second request is late."""
+    log = T.remark_log_source(spark, sf)
+    state = None
+    for late in (1, 0):
+        state = K.fold_log(state, log.filter(F.col("seq") % 2 == late))
+    return _ts_text(K.remarks_merge(state), "updated_at")
+
+
+@query("three_way_diff")
+def q_three_way_diff(spark, sf):
+    return R.display_diff(R.three_way_match(*I.recon(spark, sf), limit=None))
+
+
+@query("multi_tax_flags")
+def q_multi_tax_flags(spark, sf):
+    return H.with_risk_flag(H.multi_tax(I.enriched(spark, sf)), "multi_tax")
+
+
+@query("prod_name_flags")
+def q_prod_name_flags(spark, sf):
+    return H.with_risk_flag(H.prod_name_issues(I.enriched(spark, sf)), "prod_name")
+
+
+@query("dup_cust_flags")
+def q_dup_cust_flags(spark, sf):
+    return H.with_risk_flag(H.dup_customers(I.enriched(spark, sf)), "dup_cust")
+
+
+@query("bank_flags")
+def q_bank_flags(spark, sf):
+    return H.with_risk_flag(R.bank_summary(I.recon(spark, sf)[2]), "bank")
+
+
+@query("hygiene_export_multi_tax")
+def q_hygiene_export_multi_tax(spark, sf):
+    return H.export_frame(QUERIES["hygiene_multi_tax"](spark, sf), "multi_tax")
+
+
+@query("observations_other_headers")
+def q_observations_other_headers(spark, sf):
+    """The same upload under headers in other letters and with other separators."""
+    raw = T.observations_source(spark, sf)
+    spelled = {c: " ".join(c).upper() for c in O.ALL_FIELDS}
+    return O.observations_load(raw.withColumnsRenamed(spelled))

@@ -130,6 +130,38 @@ def purchase_source(spark: SparkSession, sf_dir: str, coarse: bool = False) -> D
     )
 
 
+def purchase_text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1 as a loader gets it: every field is text, dates in many forms, some cells are no number or date.
+
+    By order key modulo 11 the date is a serial, month-first, ISO with zone, a
+    month's name, 'nan', a number out of range, or a word; modulo 31 the rates
+    are 'nan' or have a percent sign.  Store names have white space around them.
+    """
+    src = purchase_source(spark, sf_dir)
+    k, day = F.col("_ord"), F.to_date("bill date time")
+    forms = [
+        F.datediff(day, F.lit("1899-12-30").cast("date")).cast("string"), F.date_format(day, "MM/dd/yyyy"),
+        F.date_format(day, "yyyy-MM-dd'T10:00:00Z'"), F.date_format(day, "MMM d, yyyy"), F.date_format(day, "yyyy/MM/dd"),
+        F.lit("nan"), F.lit("1e300"), F.lit("pending"), F.date_format(day, "dd-MMM-yyyy"),
+        F.concat(F.date_format(day, "M/d/yyyy"), F.lit(" 10:05 pm")), F.date_format(day, "yyyy-MM-dd HH:mm:ss.SSS"),
+    ]
+    date_text = _pick_column(forms, k % 11)
+    rate = lambda c: F.when(k % 31 == 3, F.lit("nan")).when(k % 31 == 4, F.concat(c.cast("string"), F.lit("%"))).otherwise(c.cast("string"))
+    changed = {
+        "bill date time": date_text, "business day date": date_text,
+        "product cgst rate": rate(F.col("product cgst rate")), "product sgst rate": rate(F.col("product sgst rate")),
+        "store name": F.concat(F.lit("\u00a0 "), F.col("store name"), F.lit("\t")),
+    }
+    return src.select(*[changed.get(c, F.col(f"`{c}`").cast("string") if not c.startswith("_") else F.col(c)).alias(c) for c in src.columns])
+
+
+def _pick_column(columns: list[Column], index: Column) -> Column:
+    chosen = F.when(F.lit(False), F.lit(None).cast("string"))
+    for i, column in enumerate(columns):
+        chosen = chosen.when(index == i, column)
+    return chosen
+
+
 # ------------------------------------------------------------------- V2 --
 def recon_tables(invoices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """V2: PO, GRN and bank-payment tables from the invoice rollup (A2).

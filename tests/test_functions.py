@@ -129,3 +129,22 @@ def test_entity_key_fallbacks(spark):
 def test_issue_slug_and_plus(spark):
     assert _eval(spark, ["Priya  Sharma"], LF.issue_slug) == ["priya-sharma"]
     assert _eval(spark, ["5 + 12+18"], LF.plus_to_comma) == ["5 ,  12, 18"]
+
+
+def test_excel_date_forms(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.functions.dates import excel_date
+
+    want = {
+        "03/04/2024": "2024-03-04 00:00:00", "03-04-2024": "2024-03-04 00:00:00", "13/04/2024": "2024-04-13 00:00:00",
+        "2024/01/31": "2024-01-31 00:00:00", "Jan 31, 2024": "2024-01-31 00:00:00", "31 January 2024": "2024-01-31 00:00:00",
+        "5-Mar-2024": "2024-03-05 00:00:00", "2024-01-31T10:00:00Z": "2024-01-31 10:00:00", "2024-01-31": "2024-01-31 00:00:00",
+        "2024-01-31 10:00:00.123": "2024-01-31 10:00:00", "03/04/2024 10:00 PM": "2024-03-04 22:00:00",
+        "03/04/2024 12:30 am": "2024-03-04 00:30:00", "45322": "2024-01-31 00:00:00", "45322.5": "2024-01-31 12:00:00",
+        "20240131": None, "nan": None, "1e300": None, "-1e300": None, "31/02/2024": None, "14/14/2024": None, "pending": None, "": None,
+        "Xyz 3, 2024": None, "2024-13-01": None, "Infinity": None,
+    }
+    df = spark.createDataFrame([(k,) for k in want], "t string")
+    got = {r.t: r.d for r in df.select("t", F.date_format(excel_date("t"), "yyyy-MM-dd HH:mm:ss").alias("d")).collect()}
+    assert got == want
