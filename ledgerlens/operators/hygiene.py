@@ -48,10 +48,12 @@ def _first_codes(enriched: DataFrame, key: str, code: Column, shown: int = 3) ->
     """
     pairs = enriched.groupBy(F.col(key).alias("k"), F.nullif(code, F.lit("")).alias("code")).agg(F.count(F.lit(1)).alias("rows"))
     totals = pairs.groupBy("k").agg(F.count("code").alias("n"), F.sum("rows").alias("COUNT")).filter("n > 1")
-    rank = F.row_number().over(Window.partitionBy("k").orderBy("code"))
-    first = pairs.filter("code IS NOT NULL").withColumn("place", rank).filter(F.col("place") <= shown)
-    lists = first.groupBy("k").agg(F.array_sort(F.collect_list("code")).alias("codes"))
-    return totals.join(lists, "k").select("k", F.array_join("codes", ", ").alias("codes"), "COUNT")
+    # Both branches use all columns of the pairs and filter none of their keys, so that the pairs are made once.
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.asc_nulls_last("code")))
+    first = pairs.withColumn("place", rank).filter(F.col("place") <= shown)
+    lists = first.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("code", "rows"))).alias("first"))
+    codes = F.array_join(F.transform("first", lambda pair: pair["code"]), ", ")
+    return totals.join(lists, "k").select("k", codes.alias("codes"), "COUNT")
 
 
 def dup_customers(enriched: DataFrame) -> DataFrame:
