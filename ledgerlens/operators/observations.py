@@ -186,13 +186,33 @@ def dense_ids(df: DataFrame, start: Column | int, order_col: str) -> DataFrame:
     return ranged.withColumn("id", (start_col + F.element_at(offsets, F.col("_b")) + rank).cast("long")).drop("_b")
 
 
-def observations_upsert(snapshot: DataFrame, changes: DataFrame, order_col: str = "seq") -> DataFrame:
+def observations_store(current: DataFrame, loaded: DataFrame, stamped: Column, replace: bool = True,
+                       order_col: str = "row_idx") -> DataFrame:
+    """K3 / K4 on stored rows: the table (fields, id, updated_at) after a load.
+
+    With ``replace`` the categories that the load holds are replaced, others
+    stay; without (seeding) its rows are added.  New rows get ids in upload
+    order, after the highest that the table has had so far, and ``stamped``
+    as ``updated_at``; rows that stay keep theirs.
+    """
+    highest = current.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    fresh = dense_ids(loaded, highest, order_col).withColumn("updated_at", stamped)
+    if replace:
+        # At most as many rows as there are valid categories.
+        current = current.join(loaded.select("category").distinct(), "category", "left_anti")
+    columns = [*ALL_FIELDS, "id", "updated_at"]
+    return current.select(*columns).unionByName(fresh.select(*columns))
+
+
+def observations_upsert(snapshot: DataFrame, changes: DataFrame, order_col: str = "seq",
+                        stamped: Column | None = None) -> DataFrame:
     """K5: apply saved forms to the observation snapshot.
 
     ``changes`` has an optional ``id`` and the 35 fields (missing -> '').
     With an id: every field of that row is replaced (no row is created when
     the id does not exist).  Without: a new row with the next free id.
-    Several changes to one id: the last by ``order_col`` wins.
+    Several changes to one id: the last by ``order_col`` wins.  Rows that
+    change or are new get ``stamped`` as ``updated_at`` where the table has it.
     """
     fields = {f: F.coalesce(strip(F.col(f"`{f}`").cast("string")), F.lit("")) if f in changes.columns else F.lit("")
               for f in ALL_FIELDS}
@@ -205,9 +225,12 @@ def observations_upsert(snapshot: DataFrame, changes: DataFrame, order_col: str
         .select("id", *[F.col(f"u.{f}").alias(f) for f in ALL_FIELDS])
     )
     keep = [c for c in snapshot.columns if c not in ALL_FIELDS]
+    dated = stamped is not None and "updated_at" in snapshot.columns
+    kept = [F.when(F.col("_hit"), stamped).otherwise(F.col(c)).alias(c) if dated and c == "updated_at" else F.col(c) for c in keep]
+    updates = updates.withColumnsRenamed({f: f"_new_{f}" for f in ALL_FIELDS}).withColumn("_hit", F.lit(True))
     updated = (
-        snapshot.join(updates.withColumnsRenamed({f: f"_new_{f}" for f in ALL_FIELDS}), "id", "left")
-        .select(*keep, *[F.coalesce(F.col(f"_new_{f}"), F.col(f)).alias(f) for f in ALL_FIELDS])
+        snapshot.join(updates, "id", "left")
+        .select(*kept, *[F.coalesce(F.col(f"_new_{f}"), F.col(f)).alias(f) for f in ALL_FIELDS])
         .select(*snapshot.columns)
     )
     # Next free id: a scalar subquery (evaluated once, shipped as a value).
@@ -215,7 +238,8 @@ def observations_upsert(snapshot: DataFrame, changes: DataFrame, order_col: str
     inserts = dense_ids(ch.filter(F.col("id").isNull()).drop("id"), max_id, "_seq").drop("_seq")
     for c in keep:
         if c != "id" and c not in inserts.columns:
-            inserts = inserts.withColumn(c, F.lit(None).cast(dict(snapshot.dtypes)[c]))
+            fresh = stamped if dated and c == "updated_at" else F.lit(None)
+            inserts = inserts.withColumn(c, fresh.cast(dict(snapshot.dtypes)[c]))
     return updated.unionByName(inserts.select(*snapshot.columns))
 
 

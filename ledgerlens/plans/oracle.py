@@ -856,3 +856,17 @@ SQL["hygiene_export_multi_tax"] = f"""
 SELECT GST_RATE AS "GST Rate (%)", TAX_DESC AS "Tax Description", COUNT AS "Count", REMARK AS "Remark"
 FROM ({SQL['hygiene_multi_tax']}) m"""
 SQL["observations_other_headers"] = SQL["observations_loaded"]
+
+_SECOND_LOAD = f"""
+second AS (SELECT * FROM loaded WHERE category IN ('multi_tax', 'hr_dup_bank') AND row_idx % 2 = 0),
+fresh AS (SELECT {', '.join(_OBS_FIELDS)}, (SELECT max(id) FROM snapshot) + row_number() OVER (ORDER BY row_idx) AS id,
+  '2024-02-01' AS updated_at FROM second)"""
+SQL["observations_replaced"] = "WITH " + _obs() + "," + _SECOND_LOAD + """
+SELECT *, '2024-01-01' AS updated_at FROM snapshot WHERE category NOT IN (SELECT category FROM second)
+UNION ALL SELECT * FROM fresh"""
+SQL["observations_seeded"] = "WITH " + _obs() + "," + _SECOND_LOAD + """
+SELECT *, '2024-01-01' AS updated_at FROM snapshot UNION ALL SELECT * FROM fresh"""
+SQL["observations_upsert_dated"] = SQL["observations_upsert"].replace(
+    "SELECT * FROM updated UNION ALL SELECT * FROM inserted",
+    "SELECT *, CASE WHEN id IN (SELECT id FROM last_update) THEN '2024-03-01' ELSE '2024-01-01' END AS updated_at FROM updated "
+    "UNION ALL SELECT *, '2024-03-01' AS updated_at FROM inserted")

@@ -521,3 +521,26 @@ def q_observations_other_headers(spark, sf):
     raw = T.observations_source(spark, sf)
     spelled = {c: " ".join(c).upper() for c in O.ALL_FIELDS}
     return O.observations_load(raw.withColumnsRenamed(spelled))
+
+
+def _dated(spark, sf):
+    """The observation table after a first load, and a second upload of two categories."""
+    table = _snapshot(spark, sf).withColumn("updated_at", F.lit("2024-01-01"))
+    second = _loaded(spark, sf).filter(F.col("category").isin("multi_tax", "hr_dup_bank") & (F.col("row_idx") % 2 == 0))
+    return table, second
+
+
+@query("observations_replaced")
+def q_observations_replaced(spark, sf):
+    return O.observations_store(*_dated(spark, sf), F.lit("2024-02-01"))
+
+
+@query("observations_seeded")
+def q_observations_seeded(spark, sf):
+    return O.observations_store(*_dated(spark, sf), F.lit("2024-02-01"), replace=False)
+
+
+@query("observations_upsert_dated")
+def q_observations_upsert_dated(spark, sf):
+    table, _ = _dated(spark, sf)
+    return O.observations_upsert(table, T.observation_changes_source(spark, sf), stamped=F.lit("2024-03-01"))
