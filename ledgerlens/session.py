@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -91,3 +93,26 @@ def _clear(spark: SparkSession) -> None:
         clear_shared(spark)
     except Exception:  # the session has ended before the process; its folder stays for the operator to remove
         pass
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    They import it for functions that run inside tasks; they may be other
+    machines, or start with another path than the driver.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        _SHIPPED.add(application)
+        package = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-package-"), "ledgerlens")
+        archive = f"{base}-{application}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(package):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("ledgerlens", os.path.relpath(path, package)))
+        spark.sparkContext.addPyFile(archive)
