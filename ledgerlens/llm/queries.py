@@ -73,6 +73,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": """
+        WITH texts AS (
+            SELECT doc_id, COALESCE(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents),
+        placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM texts),
+        windows AS (
+            SELECT doc_id, place, string_agg(word, ' ') OVER w AS run, COUNT(*) OVER w AS n
+            FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+        first_holders AS (SELECT run, MIN(doc_id) AS holder FROM windows WHERE n = 50 GROUP BY run),
+        gone AS (
+            SELECT DISTINCT doc_id, place + step AS place
+            FROM windows JOIN first_holders USING (run), range(50) AS steps(step)
+            WHERE n = 50 AND holder < doc_id),
+        stays AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept, COUNT(*) AS n_kept
+            FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, len(words) - COALESCE(n_kept, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256
+        FROM texts LEFT JOIN stays USING (doc_id)
+    """,
     "op3_exact_dedup": """
         WITH normal AS (
             SELECT doc_id, COALESCE(text, '') AS text,
