@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+import weakref
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import shared_path
+from ledgerlens.session import shared_path, ship_package
 
 # Words are maximal runs of anything but these six characters.  On UTF-8 bytes
 # they are what ``bytes.split()`` without arguments separates by.
@@ -24,7 +26,8 @@ CACHE_ENTRIES = 400_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings of the operators: small Arrow batches, shuffle files dropped when a job ends."""
+    """What the operators need of a session: the package on its workers, small Arrow batches, shuffle files dropped when a job ends."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
@@ -37,7 +40,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STAGED[id(table)] = (weakref.ref(table), path)
+    return table
+
+
+_STAGED: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stage`` wrote, when all that was made from it is written too."""
+    held, path = _STAGED.pop(id(table), (None, ""))
+    if held is not None and held() is table:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -49,9 +66,22 @@ def utf8(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
-def row_hash(*columns: str) -> Column:
-    """A 64-bit key of a row's content, to spread rows evenly whatever their ids are."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, packed): texts compressed where they are read, for joins that must move them."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = pa.array([compress(t) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), packed], names=["doc_id", "text_hash", "packed"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), utf8().alias("text"))
+    return rows.mapInArrow(pack, f"doc_id {kind}, text_hash long, packed binary")
+
+
+def unpacked(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
 
 
 class Cache(dict):
@@ -70,27 +100,62 @@ class Cache(dict):
             self.clear()
 
 
-def word_hashes() -> Cache:
-    """Word (bytes) -> 64-bit hash."""
-    return Cache(xxhash.xxh64_intdigest)
+#: Bytes that are hashed at once; a text is cut between words there.
+HASH_BYTES = 1 << 20
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), list(SPACES))
+_BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_array(words: list[bytes], hashes: Cache) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, base, np.uint64)
+    out[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out, dtype=np.uint64)
+
 
+_POWERS: list[np.ndarray] = []
 
-_HASHES: list[Cache] = []
 
+def mixed(values: np.ndarray) -> np.ndarray:
+    """A one-to-one scattering of 64-bit values."""
+    with np.errstate(over="ignore"):
+        values = (values ^ (values >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return values ^ (values >> np.uint64(29))
 
-def worker_hashes() -> Cache:
-    """The word hashes this worker process remembers."""
-    if not _HASHES:
-        _HASHES.append(word_hashes())
-    _HASHES[0].trim()
-    return _HASHES[0]
 
+def word_array(text: bytes) -> np.ndarray:
+    """A 64-bit hash of every word of a text, in order.
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+    A word's hash is a polynomial over its bytes.  It is taken from running
+    sums over the text, divided by the power where the word begins.
+    """
+    parts, start = [], 0
+    while start < len(text):
+        end = min(len(text), start + HASH_BYTES)
+        while end < len(text) and text[end] not in SPACES:
+            end += 1
+        parts.append(_word_array(np.frombuffer(text, np.uint8, end - start, start)))
+        start = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _word_array(raw: np.ndarray) -> np.ndarray:
+    if not _POWERS or len(_POWERS[0]) <= len(raw):
+        count = 2 * max(len(raw), 1 << 14)
+        _POWERS[:] = [_powers(int(_STEP), count), _powers(pow(int(_STEP), -1, 1 << 64), count)]
+    powers, inverse = _POWERS
+    space = np.r_[True, _SPACE[raw], True]
+    begins = np.flatnonzero(space[:-1] & ~space[1:])
+    ends = np.flatnonzero(~space[:-1] & space[1:])
+    with np.errstate(over="ignore"):
+        sums = np.r_[np.uint64(0), np.cumsum(_BYTES[raw] * powers[: len(raw)], dtype=np.uint64)]
+        return mixed((sums[ends] - sums[begins]) * inverse[begins])
+
+
+def distinct_sorted(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
 
 
 def slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -118,6 +183,4 @@ def gram_hashes(words: np.ndarray, length: int) -> np.ndarray:
                 block = block[:-have] + factor * block[have:] if len(block) > have else block[:0]
                 factor = factor * factor
                 have *= 2
-        total ^= total >> np.uint64(31)
-        total = total * np.uint64(0xBF58476D1CE4E5B9)
-        return total ^ (total >> np.uint64(29))
+    return mixed(total)

@@ -19,7 +19,7 @@ within the radius.  This is repeated for points that are not linked to the
 pivot, and then the cells whose points are not yet one component are joined
 directly.  Pairs there are left out only by bounds on their distance: by their
 sizes, by the triangle inequality through their pivot, and by the parities of
-their shingles over 256 classes, whose difference never exceeds that of the sets.
+their shingles over classes, whose difference never exceeds that of the sets.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import gram_hashes, prepare, stage, utf8, word_array, worker_hashes
+from ledgerlens.llm.common import discard, distinct_sorted, gram_hashes, packed_texts, prepare, stage, unpacked, utf8, word_array
 from ledgerlens.llm.components import joined_components
 
 SHINGLE = 5
@@ -42,21 +42,35 @@ PERCENT = 80
 HOT_SHINGLES = 100_000
 #: A shingle in fewer windows than this is never moved.
 HOT_LEAST = 100
-ORDER_ROUNDS = 4
+ORDER_ROUNDS = 2
 PIVOT_ROUNDS = 2
 SKETCH_WORDS = 4
+SHORT = [f"k{i}" for i in range(SKETCH_WORDS)]
 
 
-def shingle_set(text: bytes, hashes, length: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: bytes, length: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct shingles: of all words together if they are fewer; empty without words."""
-    words = word_array(text.lower().split(), hashes)
-    return np.unique(gram_hashes(words, min(length, len(words)))) if len(words) else words
+    words = word_array(text.lower())
+    return distinct_sorted(gram_hashes(words, min(length, len(words)))) if len(words) else words
 
 
-def parity_sketch(values: np.ndarray) -> list[int]:
-    """For each of 256 classes of shingles, whether the set holds an odd number of them."""
-    odd = np.bincount((values >> np.uint64(13) & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+def parity_sketch(values: np.ndarray) -> np.ndarray:
+    """For each of so many classes of shingles, whether the set holds an odd number of them, as 64-bit words.
+
+    The classes are a power of two, at least 256 and at least as many as the
+    shingles.  A sketch of twice the classes is folded to one of these by the
+    exclusive or of its halves.
+    """
+    classes = 64 * SKETCH_WORDS
+    while classes < len(values):
+        classes *= 2
+    odd = np.bincount((values >> np.uint64(13) & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def short_sketch(sketch: np.ndarray) -> list[int]:
+    """The sketch folded to the fewest classes."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, SKETCH_WORDS), axis=0).tolist()
 
 
 def window_size(n: int, percent: int) -> int:
@@ -71,21 +85,24 @@ def _id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
-def _points(docs: DataFrame, length: int) -> DataFrame:
-    """Per row: the size of its set, a digest of it, its sketch."""
+def _points(docs: DataFrame, length: int, percent: int) -> DataFrame:
+    """Per row: the size of its set, a digest of it, its sketches, its window."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = worker_hashes()
-            sets = [shingle_set(t, hashes, length) for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t, length) for t in batch.column("text").to_pylist()]
+            sketches = [parity_sketch(s) for s in sets]
+            windows = [s[: window_size(len(s), percent)].view(np.int64) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                 *[pa.array(c, pa.int64()) for c in zip(*(parity_sketch(s) for s in sets), strict=True)]],
-                names=["doc_id", "text_hash", "n", "digest", *[f"k{i}" for i in range(SKETCH_WORDS)]])
+                 *[pa.array(c, pa.int64()) for c in zip(*map(short_sketch, sketches), strict=True)],
+                 pa.array(sketches, pa.list_(pa.int64())), pa.array(windows, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n", "digest", *SHORT, "sketch", "shingles"])
 
-    sketch = ", ".join(f"k{i} long" for i in range(SKETCH_WORDS))
-    return _texts(docs).mapInArrow(take, f"doc_id {_id_type(docs)}, text_hash long, n long, digest binary, {sketch}")
+    return _texts(docs).mapInArrow(
+        take, f"doc_id {_id_type(docs)}, text_hash long, n long, digest binary, {', '.join(f'{k} long' for k in SHORT)}, "
+              "sketch array<long>, shingles array<long>")
 
 
 def _windows(docs: DataFrame, length: int, percent: int, last: np.ndarray) -> DataFrame:
@@ -95,10 +112,9 @@ def _windows(docs: DataFrame, length: int, percent: int, last: np.ndarray) -> Da
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for batch in batches:
-            hashes = worker_hashes()
             found = []
             for text in batch.column("text").to_pylist():
-                own = shingle_set(text, hashes, length)
+                own = shingle_set(text, length)
                 if not len(own):
                     found.append(None)
                     continue
@@ -114,15 +130,23 @@ def _windows(docs: DataFrame, length: int, percent: int, last: np.ndarray) -> Da
 
 
 def _sets(texts: DataFrame, length: int) -> DataFrame:
-    """(id, members): whole sets, for the points that are compared."""
+    """(id, members): whole sets, for the points that are compared.
+
+    Rows that repeat a point come one after another, sorted by the join; the first counts.
+    """
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            hashes = worker_hashes()
-            sets = [shingle_set(t, hashes, length).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
+            ids, sets = [], []
+            for i, packed in zip(batch.column("id").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if i != last:
+                    last = i
+                    ids.append(i)
+                    sets.append(shingle_set(unpacked(packed), length).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("id").type), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
 
-    return texts.select("id", "text").mapInArrow(take, f"id {texts.schema['id'].dataType.simpleString()}, members array<long>")
+    return texts.select("id", "packed").mapInArrow(take, f"id {texts.schema['id'].dataType.simpleString()}, members array<long>")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -135,6 +159,23 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return sizes & (odd * F.lit(100 + percent) <= F.lit(100 - percent) * (m + n))
 
 
+def _likely(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and whole sketches allow, written."""
+    sides = [points.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in ("a", "b")]
+    m, n = F.col("na"), F.col("nb")
+    both = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
+    both = both.filter((100 * m >= percent * n) & (100 * n >= percent * m))
+    words = F.least(F.size("sa"), F.size("sb"))
+
+    def folded(name: str) -> Column:
+        # Sizes that may link differ by less than two, and so do the numbers of classes at most twofold.
+        halves = F.zip_with(F.slice(name, F.lit(1), words), F.slice(name, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(name) > words, halves).otherwise(F.col(name))
+
+    odd = F.aggregate(F.zip_with(folded("sa"), folded("sb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return stage(both.filter(odd * F.lit(100 + percent) <= F.lit(100 - percent) * (m + n)).select("a", "b"), "likely")
+
+
 def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, distance, linked) of the pairs, from their whole sets."""
     left = sets.select(F.col("id").alias("a"), F.col("members").alias("ma"))
@@ -147,76 +188,78 @@ def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                        (100 * F.col("common") >= percent * union).alias("linked"))
 
 
-def _suffixed(points: DataFrame, suffix: str) -> DataFrame:
-    return points.select(F.col("id").alias(suffix), *[F.col(c).alias(f"{c}{suffix}") for c in points.columns if c != "id"])
-
-
-def _cells(docs: DataFrame, points: DataFrame, length: int, percent: int) -> DataFrame:
-    """(shingle, id) of every cell with at least two points."""
+def _cells(docs: DataFrame, table: DataFrame, points: DataFrame, length: int, percent: int) -> DataFrame:
+    """(shingle, id) of every cell with at least two points, written."""
     mine = points.select("id", F.col("text_hash").alias("own"))
     n = F.col("n")
     total = points.agg(F.sum(n - F.ceil(F.lit(percent) * n / 100) + 1)).first()[0] or 0
     # At most HOT_SHINGLES shingles can be found in so many windows, over all rounds.
-    least = max(HOT_LEAST, int(total) * ORDER_ROUNDS // HOT_SHINGLES)
-    last = np.array([], np.uint64)
+    least = max(HOT_LEAST, int(total) * (ORDER_ROUNDS + 1) // HOT_SHINGLES)
 
-    def windows() -> DataFrame:
-        found = _windows(docs, length, percent, last)
-        return found.join(mine, (F.col("doc_id") == F.col("id")) & (F.col("text_hash") == F.col("own"))).select("id", "shingles")
+    def of_points(found: DataFrame) -> DataFrame:
+        found = found.join(mine, (F.col("doc_id") == F.col("id")) & (F.col("text_hash") == F.col("own")))
+        return stage(found.select("id", "shingles"), "shingle-windows")
 
+    windows = of_points(table.select("doc_id", "text_hash", "shingles"))
+    last = np.array([], np.uint64)
     for _ in range(ORDER_ROUNDS):
-        counts = windows().select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+        counts = windows.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
         often = counts.filter(F.col("count") > least).select("shingle").collect()
         fresh = np.setdiff1d(np.array([r[0] for r in often], np.int64).view(np.uint64), last)
         if not len(fresh):
             break
         last = np.r_[last, fresh]
-    held = stage(windows().select("id", F.explode("shingles").alias("shingle")), "shingle-windows")
+        discard(windows)
+        windows = of_points(_windows(docs, length, percent, last))
+    held = windows.select("id", F.explode("shingles").alias("shingle"))
     several = held.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("shingle")
-    return held.join(stage(several, "shingle-several"), "shingle")
+    cells = stage(held.join(stage(several, "shingle-several"), "shingle"), "shingle-cells")
+    discard(windows)
+    return cells
 
 
 def link_components(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Rows with the id of their set's first row, and the components of those ids."""
-    table = stage(_points(docs, length), "shingle-points")
-    # The first row of every distinct set stands for it.
-    # Written, as the other counts by key below: then the join deals both sides out itself and can split a hot key.
+    table = stage(_points(docs, length, percent), "shingle-points")
+    # The first row of every distinct set stands for it.  Written, as are other counts by key
+    # below: then the join deals both sides out itself and can split a hot key.
     first = stage(table.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "shingle-first")
-    rows = stage(table.join(first, "digest", "left"), "shingle-rows")
-    points = rows.filter("doc_id = id").groupBy("id").agg(
-        F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("n", *[f"k{i}" for i in range(SKETCH_WORDS)])])
+    rows = stage(table.select("doc_id", "text_hash", "n", "digest").join(first, "digest", "left").drop("digest"), "shingle-rows")
+    own = first.select(F.col("digest").alias("of"), "id")
+    points = table.join(own, (F.col("digest") == F.col("of")) & (F.col("doc_id") == F.col("id")))
+    points = points.groupBy("id").agg(F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("n", *SHORT, "sketch")])
     points = stage(points, "shingle-distinct")
-    cells = stage(_cells(docs, points, length, percent), "shingle-cells")
+    cells = _cells(docs, table, points, length, percent)
+    discard(table)
     # Points that share no cell are alone; the others are compared.
     weight = cells.groupBy("id").agg(F.count("*").alias("cells"))
-    active = stage(points.join(weight, "id"), "shingle-active")
-    texts = _texts(docs).join(active.select("id", F.col("text_hash").alias("own")),
-                              (F.col("doc_id") == F.col("id")) & (F.col("text_hash") == F.col("own")))
-    sets = stage(_sets(texts, length).dropDuplicates(["id"]), "shingle-sets")
-    known = active.drop("text_hash")
-    labels, reached = None, None
+    known = stage(points.join(weight, "id"), "shingle-active")
+    discard(points)
+    active = known.select("id", F.col("text_hash").alias("own"))
+    texts = packed_texts(docs).join(active, (F.col("doc_id") == F.col("id")) & (F.col("text_hash") == F.col("own")))
+    sets = stage(_sets(texts, length), "shingle-sets")
+    labels, reached, distances = None, None, None
     for _ in range(PIVOT_ROUNDS):
         # The pivot of a cell: of its points outside the component of its last pivot, the one in most cells.
-        open_ = cells.join(known.select("id", "cells"), "id")
+        open_ = cells
         if labels is not None:
-            of = labels.select("id", "component")
-            open_ = open_.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            open_ = open_.join(reached, "shingle").filter("component != pivot_component")
-        pivots = open_.groupBy("shingle").agg(F.max(F.struct("cells", (-F.col("id")).alias("order"))).alias("p"))
+            open_ = open_.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            open_ = stage(open_.join(reached, "shingle").filter("component != pivot_component").select("shingle", "id"), "cells-left")
+        ranked = open_.join(known.select("id", "cells"), "id").groupBy("shingle")
+        pivots = ranked.agg(F.max(F.struct("cells", (-F.col("id")).alias("order"))).alias("p"))
         pivots = stage(pivots.select("shingle", (-F.col("p.order")).alias("b")), "pivots")
-        near = cells.join(pivots, "shingle").filter("id != b") if labels is None else \
-            open_.select("shingle", "id").join(pivots, "shingle").filter("id != b")
         # A point belongs to the region of the pivot that it shares most cells with.
-        region = near.groupBy("id", "b").agg(F.count("*").alias("shared")).groupBy("id").agg(
-            F.max(F.struct("shared", (-F.col("b")).alias("order"))).alias("r"))
-        region = region.select(F.col("id").alias("a"), (-F.col("r.order")).alias("b"))
-        likely = region.join(_suffixed(known, "a"), "a").join(_suffixed(known, "b"), "b").filter(_may_link("a", "b", percent))
-        measured = stage(_distances(likely, sets, percent), "regions")
+        region = open_.join(pivots, "shingle").filter("id != b").groupBy("id", "b").agg(F.count("*").alias("shared"))
+        region = region.groupBy("id").agg(F.max(F.struct("shared", (-F.col("b")).alias("order"))).alias("r"))
+        region = _likely(region.select(F.col("id").alias("a"), (-F.col("r.order")).alias("b")), known, percent)
+        measured = stage(_distances(region, sets, percent), "regions")
         labels = joined_components(labels, measured.filter("linked"))
-        reached = pivots.join(labels.withColumnRenamed("id", "b"), "b", "left").select(
-            "shingle", F.coalesce("component", "b").alias("pivot_component"))
-        distances = measured if _ == 0 else distances.union(measured)
-    return rows, joined_components(labels, stage(_rest(cells, known, labels, distances, sets, percent), "links"))
+        reached = stage(pivots.join(labels.withColumnRenamed("id", "b"), "b", "left").select(
+            "shingle", F.coalesce("component", "b").alias("pivot_component")), "pivots-reached")
+        distances = measured if distances is None else distances.union(measured)
+    links = stage(_rest(cells, known, labels, distances, sets, percent), "links")
+    discard(sets)
+    return rows, joined_components(labels, links)
 
 
 def _rest(cells: DataFrame, known: DataFrame, labels: DataFrame, distances: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,18 +268,17 @@ def _rest(cells: DataFrame, known: DataFrame, labels: DataFrame, distances: Data
     of = stage(of.select("shingle", "id", "component"), "cells-labelled")
     mixed = of.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = stage(mixed.filter("low < high").select("shingle"), "cells-open")
-    held = of.join(mixed, "shingle").join(known.drop("cells"), "id")
+    held = of.join(mixed, "shingle").join(known.select("id", "n", *SHORT), "id")
     # The distance to the first pivot that was measured, for the bound by the triangle inequality.
     pivot = distances.groupBy("a").agg(F.min(F.struct("b", "distance")).alias("p"))
     held = held.join(pivot.select(F.col("a").alias("id"), F.col("p.b").alias("pivot"), F.col("p.distance").alias("far")), "id", "left")
     held = stage(held, "cells-mixed")
-    left = held.select(F.col("shingle"), *[F.col(c).alias(f"{c}a") for c in held.columns if c != "shingle"])
-    right = held.select(F.col("shingle"), *[F.col(c).alias(f"{c}b") for c in held.columns if c != "shingle"])
+    left, right = (held.select("shingle", *[F.col(c).alias(c + x) for c in held.columns if c != "shingle"]) for x in ("a", "b"))
     near = (F.col("pivota") != F.col("pivotb")) | (F.abs(F.col("fara") - F.col("farb")) <= F.lit((100 - percent) / 100 + 1e-9))
     pairs = left.join(right, "shingle").filter(
         (F.col("ida") < F.col("idb")) & (F.col("componenta") != F.col("componentb"))
         & _may_link("a", "b", percent) & F.coalesce(near, F.lit(True)))
-    pairs = stage(pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs")
+    pairs = _likely(pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), known, percent)
     return _distances(pairs, sets, percent).filter("linked").select("a", "b")
 
 

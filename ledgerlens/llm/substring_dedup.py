@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import gram_hashes, prepare, shuffle_width, slide, stage, utf8, word_array, worker_hashes
+from ledgerlens.llm.common import discard, distinct_sorted, gram_hashes, prepare, shuffle_width, slide, stage, utf8, word_array
 from ledgerlens.llm.fm_index import FMIndex
 
 WINDOW = 50
@@ -67,9 +67,7 @@ def _samples(docs: DataFrame, window: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_hashes()
         for batch in batches:
-            hashes.trim()
             counts, digests, found = [], [], []
             for text in batch.column("text").to_pylist():
                 words = text.split()
@@ -78,8 +76,8 @@ def _samples(docs: DataFrame, window: int) -> DataFrame:
                 if len(words) < window:
                     found.append(None)
                 else:
-                    grams = gram_hashes(word_array(words, hashes), window // 2)
-                    found.append(np.unique(slide(grams, window // 2, np.minimum)).view(np.int64))
+                    grams = gram_hashes(word_array(text), window // 2)
+                    found.append(distinct_sorted(slide(grams, window // 2, np.minimum)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()),
                  pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
@@ -95,12 +93,11 @@ def _survivors(texts: DataFrame, window: int) -> DataFrame:
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = worker_hashes()
             found = []
             for text, own in zip(batch.column("text").to_pylist(), batch.column("shared"), strict=True):
-                grams = gram_hashes(word_array(text.split(), hashes), window // 2)
+                grams = gram_hashes(word_array(text), window // 2)
                 free = sampled_windows(grams, own.values.to_numpy().view(np.uint64), window)
-                found.append(np.unique(covered_grams(free, grams)).view(np.int64))
+                found.append(distinct_sorted(covered_grams(free, grams)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.list_(pa.int64()))],
                 names=["doc_id", "text_hash", "grams"])
@@ -123,12 +120,11 @@ def _occurrences(texts: DataFrame, window: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = worker_hashes()
             out: list[tuple] = []
             rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), batch.column("shared"), strict=True)
             for doc, text_hash, text, own in rows:
                 words = text.split()
-                grams = gram_hashes(word_array(words, hashes), window // 2)
+                grams = gram_hashes(word_array(text), window // 2)
                 for key, start, n in segments(grams, np.sort(own.values.to_numpy().view(np.uint64)), window):
                     piece = b" ".join(words[start : start + n])
                     out.append((key, xxhash.xxh3_64_intdigest(piece) - (1 << 63), piece, doc, text_hash, start, n))

@@ -10,7 +10,7 @@ from ledgerlens.llm.common import gram_hashes, slide
 from ledgerlens.llm.components import components, joined_components
 from ledgerlens.llm.exact_dedup import drop_copies, exact_dedup
 from ledgerlens.llm.fm_index import FMIndex
-from ledgerlens.llm.near_dup import drop_near_duplicates, near_duplicates, parity_sketch, window_size
+from ledgerlens.llm.near_dup import drop_near_duplicates, near_duplicates, parity_sketch, short_sketch, window_size
 from ledgerlens.llm.substring_dedup import substring_dedup
 from samples import corpus, frame, kept_words, near_components, text_of
 
@@ -115,10 +115,11 @@ def test_near_duplicates_nulls_repeated_rows_and_empty_table(spark):
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(20):
-        a = np.unique(rng.integers(0, 2**63, 80).astype(np.uint64))
-        b = np.unique(np.r_[a[: rng.integers(0, 80)], rng.integers(0, 2**63, 20).astype(np.uint64)])
-        odd = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(parity_sketch(a), parity_sketch(b), strict=True))
+        a = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+        b = np.unique(np.r_[a[: rng.integers(0, 300)], rng.integers(0, 2**63, 20).astype(np.uint64)])
+        odd = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(short_sketch(parity_sketch(a)), short_sketch(parity_sketch(b)), strict=True))
         assert odd <= len(np.setxor1d(a, b))
+        assert len(parity_sketch(a)) == 8 and len(parity_sketch(a[:256])) == 4
     assert [window_size(n, 80) for n in (1, 4, 5, 10, 11)] == [1, 1, 2, 3, 3]
 
 
