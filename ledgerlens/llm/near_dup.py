@@ -39,7 +39,7 @@ SHINGLE = 5
 #: Wanted are pairs with 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: At most so many shingles are moved to the end of the order; bounds what is broadcast.
-HOT_SHINGLES = 100_000
+HOT_SHINGLES = 1_000_000
 #: A shingle in fewer windows than this is never moved.
 HOT_LEAST = 100
 ORDER_ROUNDS = 2
