@@ -35,7 +35,8 @@ class IndexSettings:
     replicas: int = 4             # lists that a border vector joins at most
     border: float = 0.08          # joins those at most this share farther than the nearest
     ratio: float = 0.25           # a query reads lists at most this share farther than its nearest
-    probes: int = 96              # and at most so many
+    probes: int = 80              # and at most so many
+    group_lists: int = 32         # lists beside each other in the tree that are read together
     block_rows: int = 20_000      # a longer list is read as several blocks
 
 
@@ -179,41 +180,54 @@ def nearest(
     points = np.c_[points, np.sqrt(np.maximum(0.0, largest**2 - (points**2).sum(1)))]
     count = min(settings.most_lists, max(1, math.ceil(total / settings.list_rows)))
     shared = spark.sparkContext.broadcast(balanced_centroids(points, count))
-    blocks = max(1, math.ceil(total * settings.replicas / count / settings.block_rows))
+    blocks = max(1, math.ceil(total * settings.replicas * settings.group_lists / count / settings.block_rows))
 
+    group = F.floor(F.col("list") / settings.group_lists).cast("int")
     posted = _lists(distinct, shared, largest, settings.replicas, settings.border, None)
     posted = posted.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
-    posted = posted.select(F.explode("lists").alias("list"), "block", "vec", "ids")
+    posted = posted.select(F.explode("lists").alias("list"), "block", "vec", "ids").withColumn("group", group)
     asked = rows.filter("is_query").select("vec_id", "vec").distinct().withColumn("key", F.xxhash64("vec"))
     queries = asked.select("key", "vec").distinct()
     probed = _lists(queries, shared, largest, settings.probes, settings.ratio, largest)
     probed = probed.select(F.explode("lists").alias("list"), "key", "vec").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("group", group)
 
     def scan(wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(wanted) or not len(held):
             return pd.DataFrame({"key": [], "vec_id": [], "score": []}).astype({"key": "int64", "vec_id": "int64", "score": float})
         q, x = np.stack(wanted["vec"]).astype(float), np.stack(held["vec"]).astype(float)
-        ids = [np.asarray(i, np.int64) for i in held["ids"]]
-        keys, out = wanted["key"].to_numpy(), []
-        for start in range(0, len(q), 256):
-            scores = q[start : start + 256] @ x.T
-            for i, own in enumerate(scores, start):
-                if len(own) > k + 1:
-                    # A margin, as these sums' last digits may differ from the exact ones below.
-                    least = np.partition(own, len(own) - k - 1)[len(own) - k - 1]
-                    near = np.flatnonzero(own >= least - 1e-9 * (abs(least) + 1))
-                else:
-                    near = np.arange(len(own))
-                exact = (x[near] * q[i]).sum(1)
-                found = np.concatenate([ids[j] for j in near])
-                score = np.repeat(exact, [len(ids[j]) for j in near])
-                best = np.lexsort((found, -score))[: k + 1]
-                out.append((np.full(len(best), keys[i]), found[best], score[best]))
-        parts = [np.concatenate(c) for c in zip(*out, strict=True)]
+        ids, of_list = held["ids"].to_numpy(), held.groupby("list").indices
+        near: dict[int, list[np.ndarray]] = {}
+        asker: dict[int, int] = {}
+        keys = wanted["key"].to_numpy()
+        for number, asking in wanted.groupby("list").indices.items():
+            own = of_list.get(number)
+            if own is None:
+                continue
+            for start in range(0, len(asking), 256):
+                some = asking[start : start + 256]
+                for row, scores in zip(some, q[some] @ x[own].T, strict=True):
+                    best = own
+                    if len(own) > k + 1:
+                        # A margin, as these sums' last digits may differ from the exact ones below.
+                        least = np.partition(scores, len(own) - k - 1)[len(own) - k - 1]
+                        best = own[scores >= least - 1e-9 * (abs(least) + 1)]
+                    near.setdefault(keys[row], []).append(best)
+                    asker[keys[row]] = row
+        out = []
+        for key, parts in near.items():
+            rows = np.concatenate(parts)
+            exact = (x[rows] * q[asker[key]]).sum(1)
+            found = np.concatenate([ids[j] for j in rows]).astype(np.int64)
+            score = np.repeat(exact, [len(ids[j]) for j in rows])
+            # A vector may be in several of the lists.
+            found, first = np.unique(found, return_index=True)
+            best = np.lexsort((found, -score[first]))[: k + 1]
+            out.append((np.full(len(best), key), found[best], score[first][best]))
+        parts = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame({"key": parts[0], "vec_id": parts[1], "score": parts[2]})
 
-    hits = probed.groupBy("list", "block").cogroup(posted.groupBy("list", "block")).applyInPandas(
+    hits = probed.groupBy("group", "block").cogroup(posted.groupBy("group", "block")).applyInPandas(
         scan, "key long, vec_id long, score double")
     per_vector = hits.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     by_score = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
