@@ -4,7 +4,8 @@ Centroids come from a balanced tree of two-way splits over a bounded sample;
 all vectors are indexed.  A vector joins the list of its nearest centroid and,
 when it lies near a border, those of others not much farther.  Centroids are
 searched through an in-memory neighbour graph, and a query reads the lists
-whose distance is within a ratio of its nearest one.  Inner products become
+whose distance is within a ratio of its nearest one, up to a share of all
+lists, so that what is read follows the index.  Inner products become
 distances by one more coordinate, sqrt(M^2 - |x|^2), M the largest norm.
 
 Equal vectors are one posting that carries their smallest ids, as many as a
@@ -35,7 +36,8 @@ class IndexSettings:
     replicas: int = 4             # lists that a border vector joins at most
     border: float = 0.08          # joins those at most this share farther than the nearest
     ratio: float = 0.25           # a query reads lists at most this share farther than its nearest
-    probes: int = 80              # and at most so many
+    probes: int = 96              # and at most so many,
+    share: float = 0.125          # or this share of all lists, where that is more
     group_lists: int = 32         # lists beside each other in the tree that are read together
     block_rows: int = 20_000      # a longer list is read as several blocks
 
@@ -65,7 +67,7 @@ class CentroidGraph:
     def __init__(self, centroids: np.ndarray, degree: int = 24):
         self.centroids = centroids
         n = len(centroids)
-        squares = (centroids**2).sum(1)
+        self.squares = squares = (centroids**2).sum(1)
         self.neighbours = []
         for i in range(n):
             d = squares - 2 * centroids @ centroids[i]
@@ -108,14 +110,21 @@ class CentroidGraph:
         return np.array([c for _, c in ranked]), np.array([d for d, _ in ranked])
 
 
-_GRAPHS: dict[int, CentroidGraph] = {}
+    def rank(self, query: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``search``, from the distances of all centroids: less work where ``width`` is a large share of them."""
+        distance = np.sqrt(np.maximum(0.0, self.squares - 2 * self.centroids @ query + query @ query))
+        order = np.argsort(distance, kind="stable")[:width]
+        return order, distance[order]
+
+
+_GRAPHS: list[tuple] = []
 
 
 def _graph(shared) -> CentroidGraph:
-    if id(shared) not in _GRAPHS:
-        _GRAPHS.clear()
-        _GRAPHS[id(shared)] = CentroidGraph(shared.value)
-    return _GRAPHS[id(shared)]
+    # Holds the broadcast too: a later one's id may equal that of one let go.
+    if not _GRAPHS or _GRAPHS[0][0] is not shared:
+        _GRAPHS[:] = [(shared, CentroidGraph(shared.value))]
+    return _GRAPHS[0][1]
 
 
 def usable(column: str) -> Column:
@@ -130,6 +139,7 @@ def _lists(frame: DataFrame, shared, largest: float, width: int, ratio: float, s
     @F.pandas_udf("array<int>")
     def near(vectors: pd.Series) -> pd.Series:
         graph = _graph(shared)
+        find = graph.rank if 64 * max(width, 16) >= len(graph.centroids) else graph.search
         out = []
         for vector in vectors:
             x = np.asarray(vector, float)
@@ -138,7 +148,7 @@ def _lists(frame: DataFrame, shared, largest: float, width: int, ratio: float, s
                 x = np.r_[x, math.sqrt(max(0.0, largest * largest - norm * norm))]
             else:
                 x = np.r_[x * (scale_to / norm), 0.0]
-            lists, distances = graph.search(x, max(width, 16))
+            lists, distances = find(x, max(width, 16))
             out.append(lists[:width][distances[:width] <= distances[0] * (1 + ratio)].tolist())
         return pd.Series(out)
 
@@ -188,7 +198,8 @@ def nearest(
     posted = posted.select(F.explode("lists").alias("list"), "block", "vec", "ids").withColumn("group", group)
     asked = rows.filter("is_query").select("vec_id", "vec").distinct().withColumn("key", F.xxhash64("vec"))
     queries = asked.select("key", "vec").distinct()
-    probed = _lists(queries, shared, largest, settings.probes, settings.ratio, largest)
+    probes = max(settings.probes, math.ceil(count * settings.share))
+    probed = _lists(queries, shared, largest, probes, settings.ratio, largest)
     probed = probed.select(F.explode("lists").alias("list"), "key", "vec").withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("group", group)
 

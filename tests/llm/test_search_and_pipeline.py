@@ -42,6 +42,18 @@ def test_nearest_recall_and_exact_scores(spark):
     assert not set(got.query_id) & {2000, 2001, 2002}
 
 
+def test_nearest_reads_a_share_of_a_large_index(spark):
+    x = np.random.default_rng(5).normal(size=(12_000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = range(0, 12_000, 100)
+    got = nearest(df, F.col("vec_id") % 100 == 0, settings=IndexSettings(list_rows=64, probes=4)).toPandas().groupby("query_id")["vec_id"].agg(set)
+    scores = x[asked].astype(float) @ x.T.astype(float)
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    assert sum(len(got[q] & set(own.tolist())) for q, own in zip(asked, best, strict=True)) >= 0.9 * best.size
+
+
 def test_nearest_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
