@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import prepare, stage
@@ -42,6 +42,11 @@ _WORD = r"(?<![a-zà-ÿ])[a-zà-ÿ]{3,7}(?![a-zà-ÿ])"
 _CERTAIN = re.compile(
     r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{24,})$")
 _SECRET_HEX = re.compile(r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})$")
+#: Words of one case or with a capital, alone, joined or as a path; numbers and rulers.  Possessive, as a string may be long.
+_WORDS_ONLY = re.compile(r"[-_/+=]*+(?:(?:[a-z]++|[A-Z][a-z]++|[A-Z]++)(?:[-_/+=]++|$))++$")
+_PLAIN_NUMBER = re.compile(r"[0-9+/=_-]+$")
+#: Share of a string that dictionary words must cover for it to be surely none.
+COVERED = 0.8
 
 
 def _kind(c: str) -> int:
@@ -104,19 +109,28 @@ def dictionary(docs: DataFrame) -> frozenset[str]:
     return frozenset(r["word"] for r in top.collect())
 
 
+def _named() -> Column:
+    return (F.col("near") > 0) & (F.col("assigned") > 0)
+
+
+def certain() -> Column:
+    """Whether a finding's format is beyond doubt: a public key issuer's, or 32 or more hexadecimal digits assigned to a
+    name such as token or key."""
+    return F.col("value").rlike("^" + _CERTAIN.pattern) | (F.col("value").rlike("^" + _SECRET_HEX.pattern) & _named())
+
+
 def label_by_format(found: DataFrame) -> DataFrame:
-    """Labelled findings where no reviewed ones are at hand: ``secret`` is whether the format is beyond doubt.
+    """Findings labelled where no reviewed labels are at hand: ``secret`` is 1, 0, or null where the format does not tell.
 
-    Certain are the formats of public key issuers, and 32 or more hexadecimal
-    digits assigned to a name such as token or key.
+    Surely none are words, also joined or as a path, strings that dictionary
+    words cover, and plain numbers, unless assigned to a name such as token.
     """
-    issued = F.col("value").rlike("^" + _CERTAIN.pattern)
-    assigned = F.col("value").rlike("^" + _SECRET_HEX.pattern) & (F.col("near") > 0) & (F.col("assigned") > 0)
-    return found.withColumn("secret", (issued | assigned).cast("double"))
+    none = (F.col("coverage") >= COVERED) | F.col("value").rlike("^" + _WORDS_ONLY.pattern) | F.col("value").rlike("^" + _PLAIN_NUMBER.pattern)
+    return found.withColumn("secret", F.when(certain(), 1.0).when(none & ~_named(), 0.0))
 
 
 def train_forest(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> RandomForestClassificationModel | None:
-    """Train on at most ``sample_rows`` findings of either label; None without findings of both."""
+    """Train on at most ``sample_rows`` findings of either label, none without one; None without findings of both."""
     place = F.xxhash64(F.lit(seed), "value", "before")
     parts = [labelled.filter(F.col("secret") == label).select(*FEATURES, "secret", place.alias("place"))
              .orderBy("place").limit(sample_rows) for label in (0.0, 1.0)]
@@ -134,16 +148,18 @@ def scan_secrets(
 
     ``labelled`` are findings as ``candidates`` gives them with a double column
     ``secret``; without it the documents' own findings are labelled by format.
+    Findings of a certain format are reported with score 1, also where there
+    are no findings of both labels to train on; others by the forest's score.
     Null, empty and short texts have no findings; a text in several rows is
-    reported for each; without findings of both labels to train on, or in an
-    empty table, nothing is reported.
+    reported for each.
     """
     found = stage(candidates(docs, dictionary(docs)), "secret-candidates")
     forest = train_forest(label_by_format(found) if labelled is None else labelled, sample_rows)
     if forest is None:
-        return found.select("doc_id", "start", "end", F.lit(0.0).alias("score"), "value").limit(0)
+        return found.filter(certain()).select("doc_id", "start", "end", F.lit(1.0).alias("score"), "value")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)
-    scored = forest.transform(rows).withColumn("score", vector_to_array("probability")[1])
+    score = F.when(certain(), 1.0).otherwise(vector_to_array("probability")[1])
+    scored = forest.transform(rows).withColumn("score", score)
     return scored.filter(F.col("score") >= F.lit(threshold)).select("doc_id", "start", "end", "score", "value")
 
 

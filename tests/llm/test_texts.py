@@ -213,3 +213,25 @@ def test_secrets_are_found_and_long_words_are_not(spark):
     assert {(r.doc_id, r.value) for r in found} == set(planted.items())
     assert sum(r.doc_id == 0 for r in found) == 2 and len(FEATURES) == 13
     assert scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_secrets_of_other_formats_are_no_negatives(spark):
+    rng = random.Random(4)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows, planted = [], {}
+    for i in range(300):
+        words = text_of(rng, 30).split() + ["".join(rng.choice("aeioulnrst") for _ in range(20)), "https://a.b/" + "path" * 6, "2024-01-01-0000-0000"]
+        if i % 3 == 0:
+            words.insert(7, 'token = "' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"')
+        elif i % 3 == 1:
+            planted[i] = ("AIza" if i % 2 else "") + "".join(rng.choice(chars) for _ in range(36))
+            words.insert(7, f'secret = "{planted[i]}"')
+        rows.append((i, " ".join(words)))
+    found = {(r.doc_id, r.value) for r in scan_secrets(frame(spark, rows)).collect()}
+    assert set(planted.items()) <= found and len(found) == 200
+
+
+def test_certain_secrets_are_reported_without_a_forest(spark):
+    value = "AKIA" + "Q2" * 8
+    found = scan_secrets(frame(spark, [(1, f"an id {value} here"), (2, "none")])).collect()
+    assert [(r.doc_id, r.value, r.score) for r in found] == [(1, value, 1.0)]
