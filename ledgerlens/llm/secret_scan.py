@@ -130,9 +130,13 @@ def label_by_format(found: DataFrame) -> DataFrame:
 
 
 def train_forest(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> RandomForestClassificationModel | None:
-    """Train on at most ``sample_rows`` findings of either label, none without one; None without findings of both."""
+    """Train on at most ``sample_rows`` findings of either label, none without one; None without findings of both.
+
+    A string with the same text before it counts once, however often it is copied.
+    """
     place = F.xxhash64(F.lit(seed), "value", "before")
-    parts = [labelled.filter(F.col("secret") == label).select(*FEATURES, "secret", place.alias("place"))
+    distinct = labelled.groupBy("secret", "value", "before").agg(F.min(F.struct(*FEATURES)).alias("f"))
+    parts = [distinct.filter(F.col("secret") == label).select("f.*", "secret", place.alias("place"))
              .orderBy("place").limit(sample_rows) for label in (0.0, 1.0)]
     sample = stage(parts[0].unionByName(parts[1]).drop("place"), "secret-sample")
     if sample.select("secret").distinct().count() < 2:

@@ -14,6 +14,7 @@ from ledgerlens.llm.mixing import apply_mix, mix_sources
 from ledgerlens.llm.packing import capacities, pack, pack_documents
 from ledgerlens.llm.pii import find_spans, luhn, mod97, pii_digest, pii_spans
 from ledgerlens.llm.quality import drop_poor, fit_ordinal, quality_decisions, ratings_from_labels, train_quality
+from ledgerlens.llm import secret_scan
 from ledgerlens.llm.secret_scan import FEATURES, scan_secrets
 from ledgerlens.llm.token_counts import RankMerger, token_counts
 from samples import corpus, frame, text_of
@@ -235,3 +236,15 @@ def test_certain_secrets_are_reported_without_a_forest(spark):
     value = "AKIA" + "Q2" * 8
     found = scan_secrets(frame(spark, [(1, f"an id {value} here"), (2, "none")])).collect()
     assert [(r.doc_id, r.value, r.score) for r in found] == [(1, value, 1.0)]
+
+
+def test_copies_do_not_fill_the_training_sample(spark, monkeypatch):
+    rng = random.Random(6)
+    own = ["AKIA" + "".join(rng.choice("ABCDEFGH234567") for _ in range(16)) for _ in range(12)]
+    copied = "the copied text has " + " and ".join(own[:2]) + " and https://a.b/" + "path" * 6
+    rows = [(i, copied) for i in range(300)] + [(1000 + i, f"{text_of(rng, 5)} {v} {'path' * 6}/x") for i, v in enumerate(own[2:])]
+    staged, stage = {}, secret_scan.stage
+    monkeypatch.setattr(secret_scan, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    found = scan_secrets(frame(spark, rows)).collect()
+    assert staged["secret-sample"].filter("secret = 1").count() == 12
+    assert len(found) == 610 and {r.value for r in found} == set(own)
