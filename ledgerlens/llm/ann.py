@@ -40,6 +40,7 @@ class IndexSettings:
     share: float = 0.125          # or this share of all lists, where that is more
     group_lists: int = 32         # lists beside each other in the tree that are read together
     block_rows: int = 20_000      # a longer list is read as several blocks
+    query_rows: int = 100_000     # and more queries than these in several parts
 
 
 def balanced_centroids(points: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
@@ -192,16 +193,20 @@ def nearest(
     shared = spark.sparkContext.broadcast(balanced_centroids(points, count))
     blocks = max(1, math.ceil(total * settings.replicas * settings.group_lists / count / settings.block_rows))
 
-    group = F.floor(F.col("list") / settings.group_lists).cast("int")
+    group_of = lambda own: F.floor(own / settings.group_lists).cast("int")
     posted = _lists(distinct, shared, largest, settings.replicas, settings.border, None)
     posted = posted.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
-    posted = posted.select(F.explode("lists").alias("list"), "block", "vec", "ids").withColumn("group", group)
+    posted = posted.select(F.explode("lists").alias("list"), "block", "vec", "ids").withColumn("group", group_of(F.col("list")))
     asked = rows.filter("is_query").select("vec_id", "vec").distinct().withColumn("key", F.xxhash64("vec"))
     queries = asked.select("key", "vec").distinct()
+    parts = max(1, math.ceil(queries.count() / settings.query_rows))
     probes = max(settings.probes, math.ceil(count * settings.share))
     probed = _lists(queries, shared, largest, probes, settings.ratio, largest)
-    probed = probed.select(F.explode("lists").alias("list"), "key", "vec").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("group", group)
+    # A query is one row per group, with the lists it reads there; its vector is not repeated for each list.
+    probed = probed.withColumn("group", F.explode(F.array_distinct(F.transform("lists", group_of))))
+    probed = probed.withColumn("lists", F.filter("lists", lambda own: group_of(own) == F.col("group"))).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
+    posted = posted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def scan(wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(wanted) or not len(held):
@@ -211,7 +216,9 @@ def nearest(
         near: dict[int, list[np.ndarray]] = {}
         asker: dict[int, int] = {}
         keys = wanted["key"].to_numpy()
-        for number, asking in wanted.groupby("list").indices.items():
+        row_of, read = np.repeat(np.arange(len(wanted)), wanted["lists"].map(len)), np.concatenate(wanted["lists"].tolist())
+        for number, places in pd.Series(read).groupby(read).indices.items():
+            asking = row_of[places]
             own = of_list.get(number)
             if own is None:
                 continue
@@ -238,7 +245,7 @@ def nearest(
         parts = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame({"key": parts[0], "vec_id": parts[1], "score": parts[2]})
 
-    hits = probed.groupBy("group", "block").cogroup(posted.groupBy("group", "block")).applyInPandas(
+    hits = probed.groupBy("group", "block", "part").cogroup(posted.groupBy("group", "block", "part")).applyInPandas(
         scan, "key long, vec_id long, score double")
     per_vector = hits.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     by_score = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")

@@ -1,8 +1,11 @@
 """Nearest neighbours against brute force, and the corpus pipeline stage by stage."""
 
+from dataclasses import replace
+
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -54,6 +57,23 @@ def test_nearest_reads_a_share_of_a_large_index(spark):
     assert sum(len(got[q] & set(own.tolist())) for q, own in zip(asked, best, strict=True)) >= 0.9 * best.size
 
 
+def test_nearest_reads_bounded_blocks_of_queries(spark, monkeypatch):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(_vectors(1500))], "vec_id long, embedding array<float>")
+    settings = IndexSettings(list_rows=40, probes=24)
+    whole = sorted(map(tuple, nearest(df, F.col("vec_id") % 5 == 0, settings=settings).collect()))
+    apply = PandasCogroupedOps.applyInPandas
+
+    def bounded(self, scan, schema):
+        def checked(wanted, held):
+            assert len(wanted) <= 60, len(wanted)
+            return scan(wanted, held)
+        return apply(self, checked, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", bounded)
+    parts = nearest(df, F.col("vec_id") % 5 == 0, settings=replace(settings, query_rows=30, block_rows=2000)).collect()
+    assert sorted(map(tuple, parts)) == whole and len(whole) == 6000
+
+
 def test_nearest_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
