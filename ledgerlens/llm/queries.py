@@ -14,6 +14,7 @@ from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.near_dup import near_duplicates
 from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.pii import pii_digest, pii_spans
+from ledgerlens.llm.prefix_trie import conversation_trie
 from ledgerlens.llm.quality import quality_decisions
 from ledgerlens.llm.secret_scan import scan_secrets
 from ledgerlens.llm.substring_dedup import substring_dedup
@@ -66,10 +67,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "end", "score", F.sha2("value", 256).alias("value_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_quality, op3_exact_dedup, op4_source_mix, op5_pii, op6_near_duplicates, op7_token_counts,
-        op8_packing, op9_nearest, op10_secrets)
+        op8_packing, op9_nearest, op10_secrets, op13_prefix_trie)
 }
 
 SQL: dict[str, str] = {
@@ -105,4 +110,47 @@ SQL: dict[str, str] = {
         WINDOW w AS (PARTITION BY text_sha256 ORDER BY LENGTH(text) DESC, doc_id
                      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
     """,
+    "op13_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+                   ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                       sha256(LENGTH(COALESCE(role, '')) || ':' || COALESCE(role, '') || COALESCE(text, ''))) AS place
+            FROM conversations WHERE conv_id IS NOT NULL),
+        -- CRC-32 bit by bit: a byte is mixed in, then eight shifts (written as -1).
+        sums AS (
+            SELECT conv_id, xor(4294967295, list_reduce(
+                [4294967295] || flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+                    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+                lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END)) % 6 AS h
+            FROM (SELECT DISTINCT conv_id FROM turns)),
+        parts AS (
+            SELECT s.conv_id, 0 AS own, place, role, text
+            FROM sums s JOIN turns t ON t.conv_id = s.conv_id - s.conv_id % 100 AND place <= h
+            UNION ALL
+            SELECT conv_id, 1, place, role, text FROM turns JOIN sums USING (conv_id) WHERE place > h),
+        built AS (
+            SELECT conv_id, LIST({'role': role, 'text': text} ORDER BY own, place) AS told FROM parts GROUP BY conv_id
+            UNION ALL
+            SELECT conv_id, [] FROM sums WHERE conv_id NOT IN (SELECT conv_id FROM parts)),
+        paths AS (SELECT conv_id, told, len(told) AS size, unnest(range(len(told) + 1)) AS depth FROM built),
+        prefixes AS (SELECT conv_id, size, depth, told[1:depth] AS prefix FROM paths),
+        nodes AS (
+            SELECT prefix, depth, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs,
+                   sha256(COALESCE(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+            FROM prefixes GROUP BY prefix, depth),
+        kin AS (
+            SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id
+            FROM nodes c JOIN nodes p ON c.depth = p.depth + 1 AND c.prefix[1:p.depth] = p.prefix),
+        families AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, COUNT(*) AS n FROM kin GROUP BY ALL),
+        own AS (
+            SELECT n.*, COALESCE(f.n, 0) AS n_children, (n_convs - 1) * LENGTH(COALESCE(prefix[depth].text, '')) AS saved
+            FROM nodes n LEFT JOIN families f USING (conv_id, depth)),
+        totals AS (
+            SELECT p.prefix, p.depth, COUNT(*) FILTER (WHERE n_children = 0) AS n_leaves, SUM(saved) AS saved_tokens
+            FROM own o JOIN prefixes p ON p.conv_id = o.conv_id AND p.depth <= o.depth GROUP BY ALL)
+        SELECT o.conv_id, o.depth, parent_conv_id, n_convs, n_children, n_leaves,
+               CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+        FROM own o JOIN totals t ON o.depth = t.depth AND o.prefix = t.prefix
+        LEFT JOIN kin k ON k.conv_id = o.conv_id AND k.depth = o.depth
+    """,
 }
