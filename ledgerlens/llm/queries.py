@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.ann import nearest
+from ledgerlens.llm.collocations import collocations
 from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.near_dup import near_duplicates
@@ -67,6 +68,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "end", "score", F.sha2("value", 256).alias("value_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -74,7 +79,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_quality, op3_exact_dedup, op4_source_mix, op5_pii, op6_near_duplicates, op7_token_counts,
-        op8_packing, op9_nearest, op10_secrets, op13_prefix_trie)
+        op8_packing, op9_nearest, op10_secrets, op12_collocations, op13_prefix_trie)
 }
 
 SQL: dict[str, str] = {
@@ -110,6 +115,36 @@ SQL: dict[str, str] = {
         WINDOW w AS (PARTITION BY text_sha256 ORDER BY LENGTH(text) DESC, doc_id
                      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
     """,
+    "op12_collocations": """
+        WITH pieces AS (
+            SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents),
+        worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces),
+        totals AS (SELECT lang, SUM(len(words)) AS n FROM worded GROUP BY lang HAVING SUM(len(words)) > 0),
+        grams AS (
+            SELECT lang, size, array_to_string(words[spot : spot + size - 1], ' ') AS gram, COUNT(*) AS f
+            FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS spot
+                  FROM worded, range(1, 6) AS sizes(size)) GROUP BY ALL HAVING COUNT(*) >= 100),
+        candidates AS (SELECT lang, size, gram AS phrase, string_split(gram, ' ') AS words, f AS a FROM grams WHERE size > 1),
+        inside AS (
+            SELECT DISTINCT lang, array_to_string(words[spot : spot + part - 1], ' ') AS phrase, a AS held
+            FROM (SELECT *, unnest(range(1, size - part + 2)) AS spot
+                  FROM (SELECT *, unnest(range(2, size)) AS part FROM candidates))),
+        staying AS (
+            SELECT * FROM candidates c
+            WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * held >= 100 * a)),
+        cuts AS (
+            SELECT c.lang, phrase, a, cut, h.f AS l, t.f AS r, CAST(totals.n AS BIGINT) AS n,
+                   CAST((1000::HUGEINT * a * totals.n) // (h.f::HUGEINT * t.f) AS BIGINT) AS score
+            FROM (SELECT *, unnest(range(1, size)) AS cut FROM staying) c
+            JOIN grams h ON h.lang = c.lang AND h.gram = array_to_string(c.words[1 : cut], ' ')
+            JOIN grams t ON t.lang = c.lang AND t.gram = array_to_string(c.words[cut + 1 : c.size], ' ')
+            JOIN totals ON totals.lang = c.lang),
+        best AS (SELECT * FROM cuts QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+        SELECT lang, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+        FROM best QUALIFY rank <= 2000
+    """,
     "op13_prefix_trie": """
         WITH turns AS (
             SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
