@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.ann import nearest
 from ledgerlens.llm.collocations import collocations
 from ledgerlens.llm.exact_dedup import exact_dedup
+from ledgerlens.llm.html_extract import extract_text
 from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.near_dup import near_duplicates
 from ledgerlens.llm.packing import pack_documents
@@ -68,6 +69,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "end", "score", F.sha2("value", 256).alias("value_sha256"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_documents(spark, sf_dir))
 
@@ -79,7 +84,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_quality, op3_exact_dedup, op4_source_mix, op5_pii, op6_near_duplicates, op7_token_counts,
-        op8_packing, op9_nearest, op10_secrets, op12_collocations, op13_prefix_trie)
+        op8_packing, op9_nearest, op10_secrets, op11_html_text, op12_collocations, op13_prefix_trie)
 }
 
 SQL: dict[str, str] = {
