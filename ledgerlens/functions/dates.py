@@ -22,12 +22,13 @@ FISCAL_MONTHS = [
 
 # Written dates: the numbers or names in the order in which a form has them, an
 # optional time after them.  The month comes first; a day first is only read
-# where the month would be impossible.
-_TIME = r"(?:[T ]\s*([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?(?:\.[0-9]+)?\s*([AaPp])?[Mm.]*)?$"
-_NUMBERS = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + _TIME
+# where the month would be impossible.  A year of two digits is the one within
+# fifty years of today.  Seconds keep six digits of their fraction.
+_TIME = r"(?:[T ]\s*([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}(?:\.[0-9]{1,6})?))?(?:(?<=\.[0-9]{6})[0-9]+)?\s*([AaPp])?[Mm.]*)?$"
+_NUMBERS = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4}|[0-9]{2})" + _TIME
 _YEAR_FIRST = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + _TIME
-_DAY_NAME = r"^([0-9]{1,2})[- ]([A-Za-z]{3})[a-z]*[-, ]+([0-9]{4})" + _TIME
-_NAME_DAY = r"^([A-Za-z]{3})[a-z]*[- ]([0-9]{1,2})[-, ]+([0-9]{4})" + _TIME
+_DAY_NAME = r"^([0-9]{1,2})[- ]([A-Za-z]{3})[a-z]*[-, ]+([0-9]{4}|[0-9]{2})" + _TIME
+_NAME_DAY = r"^([A-Za-z]{3})[a-z]*[- ]([0-9]{1,2})[-, ]+([0-9]{4}|[0-9]{2})" + _TIME
 _SHORT_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 _EXCEL_EPOCH_UNIX_DAYS = 25569  # 1899-12-30 -> 1970-01-01
@@ -75,14 +76,18 @@ def _from_parts(parts: Column) -> Column:
     named = lambda i: ((F.instr(F.lit(_SHORT_MONTHS), F.lower(parts[i])) + 2) / 3).cast("int")
     swapped = (form == _NUMBERS) & (number(1) > 12)
     year = F.when(form == _YEAR_FIRST, number(1)).otherwise(number(3))
+    today = F.year(F.current_date())
+    near = year + 2000
+    near = F.when(near >= today + 50, near - 100).otherwise(near)
+    year = F.when((year < 100) & (form != _YEAR_FIRST), near).otherwise(year)
     month = F.when(form == _YEAR_FIRST, number(2)).when(form == _DAY_NAME, named(2)).when(form == _NAME_DAY, named(1)).when(
         swapped, number(2)).otherwise(number(1))
     day = F.when(form == _YEAR_FIRST, number(3)).when(form == _DAY_NAME, number(1)).when(form == _NAME_DAY, number(2)).when(
         swapped, number(1)).otherwise(number(2))
     hour, half = F.coalesce(number(4), F.lit(0)), F.lower(parts[7])
     hour = F.when(half == "a", hour % 12).when(half == "p", hour % 12 + 12).otherwise(hour)
-    second = F.coalesce(number(6), F.lit(0))
-    return F.try_make_timestamp(year, month, day, hour, F.coalesce(number(5), F.lit(0)), second.cast("decimal(8,6)"))
+    second = F.coalesce(parts[6].try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)"))
+    return F.try_make_timestamp(year, month, day, hour, F.coalesce(number(5), F.lit(0)), second)
 
 
 def month_name(ts: Column | str) -> Column:

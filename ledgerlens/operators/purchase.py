@@ -34,6 +34,7 @@ USE_COLUMNS = [
     "item price", "quantity", "marketing discount amount", "loyalty discount amount",
     "bill date time", "business day date",
 ]
+# Which of them are text, and which are numbers.
 TEXT_COLUMNS = [
     "bill no", "store code", "store name", "ordering channel", "source", "region",
     "product code", "product name",
@@ -46,6 +47,7 @@ NUMERIC_COLUMNS = [
 # Regions always offered by the dimension lists.
 PROMINENT_REGIONS = ["Bangalore", "Mumbai", "Delhi NCR", "Hyderabad", "Chennai", "Kolkata", "Pune", "Ahmedabad"]
 
+# Dimensions and measures of the rollup, columns of the purchase table.
 DIMENSIONS = ["COMP_NM", "COMP_STATE", "PROD_NM", "CUST_NM", "CUST_STATE", "MONTH", "YEAR"]
 MEASURES = ["INVOICE_AMT", "GST_AMT", "TOTAL_AMT", "DISCOUNT", "CALC_DISCOUNT", "DISC_DIFF"]
 PURCHASE_COLUMNS = [
@@ -77,14 +79,16 @@ def purchase_enrich(raw: DataFrame) -> DataFrame:
     text = {c: safe_text(F.col(f"`{c}`")) for c in TEXT_COLUMNS}
     num = {c: to_number(F.col(f"`{c}`")) if not _is_double(types[c]) else _clean_double(F.col(f"`{c}`"))
            for c in NUMERIC_COLUMNS}
-    bill_src = F.coalesce(F.col("`bill date time`"), F.col("`business day date`"))
-    day_src = F.coalesce(F.col("`business day date`"), F.col("`bill date time`"))
-    day = excel_date(day_src, types["business day date"])
+    # A date column that the source lacks is read from the other one; a cell that is missing stays missing.
+    given = [c.strip().lower() for c in raw.columns]
+    bill_col = "bill date time" if "bill date time" in given else "business day date"
+    day_col = "business day date" if "business day date" in given else "bill date time"
+    day = excel_date(F.col(f"`{day_col}`"), types[day_col])
     extra = [F.col(c) for c in ("_ord", "_line", "_nationkey") if c in df.columns]
     return df.select(
         *[text[c].alias(c) for c in TEXT_COLUMNS],
         *[num[c].alias(c) for c in NUMERIC_COLUMNS],
-        excel_date(bill_src, types["bill date time"]).alias("bill date time"),
+        excel_date(F.col(f"`{bill_col}`"), types[bill_col]).alias("bill date time"),
         day.alias("business day date"),
         month_name(day).alias("MONTH"),
         year_or_zero(day).alias("YEAR"),

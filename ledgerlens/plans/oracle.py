@@ -837,8 +837,8 @@ SELECT * FROM match WHERE COMP_NM IN ('NATION_3', 'NATION_11') AND "MONTH" IN ('
 # The text of V1: what is no date counts as no month, what is no number as 0.
 SQL["purchases_text"] = "WITH " + _purchases() + """
 SELECT INVOICE_NO, COMP_NM, COMP_STATE, PROD_NM, PROD_CODE, CUST_NM, CUST_STATE,
-  CASE WHEN ord % 11 IN (5, 6, 7) THEN 'Unknown' ELSE "MONTH" END AS "MONTH",
-  CAST(CASE WHEN ord % 11 IN (5, 6, 7) THEN 0 ELSE "YEAR" END AS INTEGER) AS "YEAR",
+  CASE WHEN ord % 13 IN (5, 6, 7) OR ord % 17 IN (2, 3) THEN 'Unknown' ELSE "MONTH" END AS "MONTH",
+  CAST(CASE WHEN ord % 13 IN (5, 6, 7) OR ord % 17 IN (2, 3) THEN 0 ELSE "YEAR" END AS INTEGER) AS "YEAR",
   CASE WHEN ord % 31 IN (3, 4) THEN 0.0::DOUBLE ELSE GST_RATE END AS GST_RATE,
   CASE WHEN ord % 31 IN (3, 4) THEN '0.0% CGST, 0.0% SGST' ELSE TAX_DESC END AS TAX_DESC,
   INVOICE_AMT, GST_AMT, TOTAL_AMT, DISCOUNT, CALC_DISCOUNT, DISC_DIFF
@@ -870,3 +870,6 @@ SQL["observations_upsert_dated"] = SQL["observations_upsert"].replace(
     "SELECT * FROM updated UNION ALL SELECT * FROM inserted",
     "SELECT *, CASE WHEN id IN (SELECT id FROM last_update) THEN '2024-03-01' ELSE '2024-01-01' END AS updated_at FROM updated "
     "UNION ALL SELECT *, '2024-03-01' AS updated_at FROM inserted")
+
+# ---------------------------------------------------- state, storage, sources --
+SQL["remarks_streamed"] = SQL["remarks"]

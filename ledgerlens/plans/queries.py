@@ -544,3 +544,19 @@ def q_observations_seeded(spark, sf):
 def q_observations_upsert_dated(spark, sf):
     table, _ = _dated(spark, sf)
     return O.observations_upsert(table, T.observation_changes_source(spark, sf), stamped=F.lit("2024-03-01"))
+
+
+# ---------------------------------------------------- state, storage, sources --
+import uuid  # noqa: E402
+
+from ledgerlens.session import shared_path  # noqa: E402
+from ledgerlens.streaming import remarks_stream as RS  # noqa: E402
+
+
+@query("remarks_streamed")
+def q_remarks_streamed(spark, sf):
+    """K7 as a stream over the log as files: a micro-batch per file, state per issue, changes appended, then read."""
+    base = shared_path(spark, f"remarks-{uuid.uuid4().hex}")
+    T.remark_log_source(spark, sf).repartition(3, F.pmod("seq", F.lit(3))).write.parquet(f"{base}/requests")
+    RS.start_remarks_stream(spark, f"{base}/requests", f"{base}/table", f"{base}/state", files_per_batch=1).awaitTermination()
+    return _ts_text(RS.current_remarks(spark, f"{base}/table"), "updated_at")

@@ -36,6 +36,17 @@ def exists(spark: SparkSession, name: str) -> bool:
     return fs.exists(path)
 
 
+def child_names(spark: SparkSession, name: str) -> list[str]:
+    """Names of what a folder holds; none where it doesn't exist."""
+    fs, path = _path(spark, name)
+    return [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def remove(spark: SparkSession, name: str) -> None:
+    fs, path = _path(spark, name)
+    fs.delete(path, True)
+
+
 def publish_tables(tables: dict[str, DataFrame], out_dir: str) -> list[str]:
     """K1: overwrite each named result table under ``out_dir`` as parquet."""
     written = []

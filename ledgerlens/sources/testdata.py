@@ -133,9 +133,11 @@ def purchase_source(spark: SparkSession, sf_dir: str, coarse: bool = False) -> D
 def purchase_text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1 as a loader gets it: every field is text, dates in many forms, some cells are no number or date.
 
-    By order key modulo 11 the date is a serial, month-first, ISO with zone, a
-    month's name, 'nan', a number out of range, or a word; modulo 31 the rates
-    are 'nan' or have a percent sign.  Store names have white space around them.
+    By order key modulo 13 the date is a serial, month-first, ISO with zone, a
+    month's name, 'nan', a number out of range, a word, or has a year of two
+    digits; modulo 17 the business day alone is null or blank, or the bill date
+    alone is null; modulo 31 the rates are 'nan' or have a percent sign.  Store
+    names have white space around them.
     """
     src = purchase_source(spark, sf_dir)
     k, day = F.col("_ord"), F.to_date("bill date time")
@@ -144,11 +146,13 @@ def purchase_text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(day, "yyyy-MM-dd'T10:00:00Z'"), F.date_format(day, "MMM d, yyyy"), F.date_format(day, "yyyy/MM/dd"),
         F.lit("nan"), F.lit("1e300"), F.lit("pending"), F.date_format(day, "dd-MMM-yyyy"),
         F.concat(F.date_format(day, "M/d/yyyy"), F.lit(" 10:05 pm")), F.date_format(day, "yyyy-MM-dd HH:mm:ss.SSS"),
+        F.date_format(day, "M/d/yy"), F.concat(F.date_format(day, "d MMM yy"), F.lit(" 23:59:59.123")),
     ]
-    date_text = _pick_column(forms, k % 11)
+    date_text = _pick_column(forms, k % 13)
+    day_text = F.when(k % 17 == 2, F.lit(None)).when(k % 17 == 3, F.lit(" ")).otherwise(date_text)
     rate = lambda c: F.when(k % 31 == 3, F.lit("nan")).when(k % 31 == 4, F.concat(c.cast("string"), F.lit("%"))).otherwise(c.cast("string"))
     changed = {
-        "bill date time": date_text, "business day date": date_text,
+        "bill date time": F.when(k % 17 != 4, date_text), "business day date": day_text,
         "product cgst rate": rate(F.col("product cgst rate")), "product sgst rate": rate(F.col("product sgst rate")),
         "store name": F.concat(F.lit("\u00a0 "), F.col("store name"), F.lit("\t")),
     }

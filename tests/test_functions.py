@@ -148,3 +148,26 @@ def test_excel_date_forms(spark):
     df = spark.createDataFrame([(k,) for k in want], "t string")
     got = {r.t: r.d for r in df.select("t", F.date_format(excel_date("t"), "yyyy-MM-dd HH:mm:ss").alias("d")).collect()}
     assert got == want
+
+
+def test_two_digit_years_and_fractions(spark):
+    from ledgerlens.functions.dates import excel_date
+
+    forms = {
+        "1/2/24": "2024-01-02 00:00:00", "5 Jan 24": "2024-01-05 00:00:00", "Jan 5, 24": "2024-01-05 00:00:00", "24-01-05": "2005-01-24 00:00:00",
+        "1.2.98": "1998-01-02 00:00:00", "2024-01-05 10:00:00.123": "2024-01-05 10:00:00.123", "1/2/2024 1:02:03.1234567 pm": "2024-01-02 13:02:03.123456",
+        "2024-1-5 7:08": "2024-01-05 07:08:00", "1/2/2024 10:00:61": None, "13/14/24": None, "1/2/245": None,
+    }
+    got = spark.createDataFrame([(k,) for k in forms], "t string").select("t", excel_date("t").cast("string").alias("d")).collect()
+    assert {r.t: r.d for r in got} == forms
+
+
+def test_a_missing_date_cell_stays_missing(spark):
+    from ledgerlens.operators.purchase import purchase_enrich
+
+    both = spark.createDataFrame([("1", "2024-05-01", None), ("2", "2024-05-01", ""), ("3", None, "2024-06-01")],
+                                 "`bill no` string, `bill date time` string, `business day date` string")
+    got = {r["bill no"]: (r["MONTH"], r["YEAR"], r["bill date time"] is None) for r in purchase_enrich(both).collect()}
+    assert got == {"1": ("Unknown", 0, False), "2": ("Unknown", 0, False), "3": ("June", 2024, True)}
+    one = purchase_enrich(both.drop("business day date").filter("`bill no` = '1'")).first()
+    assert (one["MONTH"], one["YEAR"]) == ("May", 2024)
