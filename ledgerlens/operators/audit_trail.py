@@ -175,7 +175,7 @@ def audit_vendor_buckets(audit: DataFrame) -> DataFrame:
 
 
 def audit_vendor_summary(audit: DataFrame) -> DataFrame:
-    """Per vendor name (blank dropped): the four field counts and all rows."""
+    """Per vendor name (blank dropped), in order of names: the four field counts and all rows."""
     keyed = audit.select(
         F.trim(F.coalesce(F.col("VendorName"), F.lit(""))).alias("vendorName"),
         F.lower(F.trim(F.coalesce(F.col("FieldChanged"), F.lit("")))).alias("_fc"),
@@ -183,12 +183,12 @@ def audit_vendor_summary(audit: DataFrame) -> DataFrame:
     return (
         keyed.groupBy(F.col("vendorName").alias("_vendor"))
         .agg(F.max("vendorName").alias("vendorName"), *_field_counts(F.col("_fc")), F.count(F.lit(1)).alias("grandTotal"))
-        .filter(F.col("vendorName") != "").drop("_vendor")
+        .filter(F.col("vendorName") != "").drop("_vendor").orderBy("vendorName")
     )
 
 
 def audit_field_risk(audit: DataFrame) -> DataFrame:
-    """Per field description (else field changed, else 'Unspecified'): high / low risk."""
+    """Per field description (else field changed, else 'Unspecified'), in order: high / low risk."""
     desc = F.trim(F.coalesce(F.col("FieldDescription"), F.lit("")))
     changed = F.trim(F.coalesce(F.col("FieldChanged"), F.lit("")))
     key = F.when((desc == "") | (desc == "Unspecified"),
@@ -198,7 +198,7 @@ def audit_field_risk(audit: DataFrame) -> DataFrame:
         F.count_if(high).alias("highRiskCount"),
         F.count_if(~high).alias("lowRiskCount"),
         F.count(F.lit(1)).alias("grandTotal"),
-    )
+    ).orderBy("fieldDescription")
 
 
 def audit_counts(audit: DataFrame, column: str) -> DataFrame:

@@ -66,7 +66,7 @@ def month_trend(rollup: DataFrame) -> DataFrame:
 
 
 def company_bar(rollup: DataFrame) -> DataFrame:
-    """Per company Σ amount, rows, Σ GST and average amount per row."""
+    """Per company Σ amount, rows, Σ GST and average amount per row; the largest amount first."""
     g = rollup.groupBy("COMP_NM").agg(
         money_sum(F.col("INVOICE_AMT"), 2, wide=True).alias("amt"),
         _money_sum("GST_AMT").alias("GST"),
@@ -76,7 +76,7 @@ def company_bar(rollup: DataFrame) -> DataFrame:
     return g.select(
         "COMP_NM", amount.alias("AMOUNT"), "ROWS", "GST",
         round2(F.col("amt").cast("double") / F.col("ROWS")).alias("AVG_AMOUNT"),
-    )
+    ).orderBy(F.desc("AMOUNT"), "COMP_NM")
 
 
 def ai_kpis(rollup: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Master-data hygiene checks (A4-A8 server form, H1-H5 filtered form, J4, P8).
 
-All checks are one ``groupBy`` each with map-side partial aggregation.
-Value lists (rates, codes, names) come from ``collect_set``: the list size
-is bounded by the number of *distinct* values in a group, not by its rows,
-so a group holding a third of all lines is reduced before the shuffle.
-Lists are emitted sorted (the reference's first-seen order is not stable).
+Checks are one ``groupBy`` each with map-side partial aggregation.  Lists of
+rates come from ``collect_set`` (rates have two decimals).  Lists of codes are
+not bounded: A5 and A6 show three, and H3 and H5, which show all, come in two
+forms, one row per issue as the report has it, and numbered chunks of bounded
+size (``prod_name_chunks``, ``dup_customers_chunks``), which hold no name in
+one task.  Lists are emitted sorted.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import number_text, rate_list, round2, strip
+from ledgerlens.operators.ranks import ranked_in_groups
 
 
 def _count() -> Column:
@@ -175,6 +177,34 @@ def dup_customers_filtered(rows: DataFrame) -> DataFrame:
     )
 
 
+def _in_chunks(rows: DataFrame, category: str, key: Column, code: Column, shown: str, listed: str, size: int) -> DataFrame:
+    """Issues of ``key`` with more than one ``code``: all codes, in numbered lists of ``size`` codes.
+
+    Rows become (key, code) pairs first.  Pairs are ranked by ranges, so that
+    neither the rows nor the codes of one key meet in one task or one list.
+    """
+    pairs = rows.groupBy(key.alias("k"), code.alias("code")).agg(F.count(F.lit(1)).alias("rows"))
+    ranked = ranked_in_groups(pairs, ["k"], ["code"])
+    lists = ranked.groupBy("k", F.floor(F.col("place") / size).alias("CHUNK")).agg(
+        F.array_sort(F.collect_list("code")).alias("held"), F.sum("rows").alias("rows"))
+    totals = lists.groupBy("k").agg(F.sum(F.size("held")).alias("CODES"), F.sum("rows").alias("COUNT")).filter("CODES > 1")
+    return lists.drop("rows").join(totals, "k").select(
+        *_issue(category, F.col("k")), F.col("k").alias(shown), F.col("CHUNK").cast("long").alias("CHUNK"),
+        F.array_join("held", ", ").alias(listed), "CODES", "COUNT")
+
+
+def prod_name_chunks(rows: DataFrame, size: int = 1000) -> DataFrame:
+    """H3 in chunks: product names with >1 code, ``size`` codes a row, numbered from 0."""
+    return _in_chunks(rows, "prod_name", _js_text(F.col("PROD_NM"), "Unknown Product"), _js_text(F.col("PROD_CODE"), "Unknown"),
+                      "PROD_NM", "PROD_CODE", size)
+
+
+def dup_customers_chunks(rows: DataFrame, size: int = 1000) -> DataFrame:
+    """H5 in chunks: customer names with >1 CUST_STATE, ``size`` states a row, numbered from 0."""
+    return _in_chunks(rows, "dup_cust", _js_text(F.col("CUST_NM"), "Unknown"), _js_text(F.col("CUST_STATE"), "Unknown"),
+                      "CUST_NM", "CUST_CD", size)
+
+
 FILTERED_CHECKS = {
     "multi_tax": multi_tax_filtered,
     "prod_gst": prod_gst_filtered,

@@ -139,11 +139,6 @@ def upload_accounting(raw: DataFrame, valid: list[str] = VALID_CATEGORIES, row_c
     )
 
 
-def categories_in_file(loaded: DataFrame) -> DataFrame:
-    """Categories a load replaces: valid categories present among the loaded rows."""
-    return loaded.select("category").distinct()
-
-
 def typed_view(obs: DataFrame) -> DataFrame:
     """Observation rows with declared types: blank -> null, dates / decimals / booleans parsed."""
     cols = []
@@ -205,7 +200,7 @@ def observations_store(current: DataFrame, loaded: DataFrame, stamped: Column, r
 
 
 def observations_upsert(snapshot: DataFrame, changes: DataFrame, order_col: str = "seq",
-                        stamped: Column | None = None) -> DataFrame:
+                        stamped: Column | None = None, highest: int | None = None) -> DataFrame:
     """K5: apply saved forms to the observation snapshot.
 
     ``changes`` has an optional ``id`` and the 35 fields (missing -> '').
@@ -213,6 +208,7 @@ def observations_upsert(snapshot: DataFrame, changes: DataFrame, order_col: str
     the id does not exist).  Without: a new row with the next free id.
     Several changes to one id: the last by ``order_col`` wins.  Rows that
     change or are new get ``stamped`` as ``updated_at`` where the table has it.
+    New ids follow ``highest``, or else the snapshot's largest.
     """
     fields = {f: F.coalesce(strip(F.col(f"`{f}`").cast("string")), F.lit("")) if f in changes.columns else F.lit("")
               for f in ALL_FIELDS}
@@ -234,7 +230,7 @@ def observations_upsert(snapshot: DataFrame, changes: DataFrame, order_col: str
         .select(*snapshot.columns)
     )
     # Next free id: a scalar subquery (evaluated once, shipped as a value).
-    max_id = snapshot.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    max_id = highest if highest is not None else snapshot.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
     inserts = dense_ids(ch.filter(F.col("id").isNull()).drop("id"), max_id, "_seq").drop("_seq")
     for c in keep:
         if c != "id" and c not in inserts.columns:

@@ -873,3 +873,100 @@ SQL["observations_upsert_dated"] = SQL["observations_upsert"].replace(
 
 # ---------------------------------------------------- state, storage, sources --
 SQL["remarks_streamed"] = SQL["remarks"]
+SQL["stored_match_full"] = SQL["three_way_match_full"]
+SQL["observations_upsert_parted"] = SQL["observations_upsert"]
+SQL["observations_delete_parted"] = SQL["observations_delete"]
+
+
+def _chunks(category: str, key: str, code: str, listed: str, size: int) -> str:
+    return "WITH " + _purchases() + f""",
+pairs AS (SELECT {key} AS k, {code} AS code, COUNT(*) AS n FROM purchases GROUP BY ALL),
+placed AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY k ORDER BY code) - 1) // {size} AS chunk FROM pairs),
+totals AS (SELECT k, COUNT(*) AS codes, CAST(SUM(n) AS BIGINT) AS total FROM pairs GROUP BY k HAVING COUNT(*) > 1)
+SELECT '{category}:' || k AS ISSUE_ID, '{category}' AS CATEGORY, k AS ENTITY_KEY, k AS {key}, chunk AS CHUNK,
+  string_agg(code, ', ' ORDER BY code) AS {listed}, ANY_VALUE(codes) AS CODES, ANY_VALUE(total) AS "COUNT"
+FROM placed JOIN totals USING (k) GROUP BY k, chunk"""
+
+
+SQL["hygiene_prod_name_chunks"] = _chunks("prod_name", "PROD_NM", "PROD_CODE", "PROD_CODE", 5)
+SQL["hygiene_dup_cust_chunks"] = _chunks("dup_cust", "CUST_NM", "CUST_STATE", "CUST_CD", 2)
+SQL["published_tables"] = " UNION ALL ".join(
+    f"""SELECT '{name}' AS "TABLE", COUNT(*) AS "ROWS" FROM ({SQL[name]}) t""" for name in (
+        "purchases", "po", "grn", "bank", "blocked_vendors", "multi_tax", "dup_customers", "prod_name_issues", "prod_gst_issues",
+        "prod_code_check", "gst_check", "disc_check"))
+
+
+# ------------------------------------------------- displays, headers, reports --
+def _whole(x: str) -> str:
+    return f"CAST(floor(CAST({x} AS DOUBLE) + 0.5) AS BIGINT)"
+
+
+def _grouped(n: str) -> str:
+    """Digits in threes, then in twos: from the right, so on the reversed text."""
+    rev = f"reverse(CAST(abs({n}) AS VARCHAR))"
+    return f"CASE WHEN {n} < 0 THEN '-' ELSE '' END || reverse({rev}[1:3] || regexp_replace({rev}[4:], '([0-9]{{1,2}})', ',\\1', 'g'))"
+
+
+def _inr(x: str) -> str:
+    return f"'₹' || {_grouped(_whole(f'coalesce({x}, 0)'))}"
+
+
+def _inr_short(x: str) -> str:
+    n = _whole(x)
+    return f"""CASE WHEN abs({n}) >= 10000000 THEN '₹' || printf('%.2f', {n} / 1e7) || ' Cr'
+    WHEN abs({n}) >= 100000 THEN '₹' || printf('%.2f', {n} / 1e5) || ' L' ELSE {_inr(x)} END"""
+
+
+SQL["display_amounts"] = f"""
+SELECT COMP_NM, replace(lower(COMP_NM), ' ', '-') || '-private-ltd' AS SLUG, {_inr('AMOUNT')} AS "FULL", {_inr_short('AMOUNT')} AS "SHORT",
+  '₹' || regexp_replace(printf('%.2f', {_whole('AMOUNT')} / 1e7), '\\.00$', '') || ' Cr' AS CRORE,
+  {_inr_short('AVG_AMOUNT')} AS AVERAGE, CAST({_whole('GST / AMOUNT * 100')} AS VARCHAR) || '%' AS GST_SHARE,
+  COMP_NM || ', ' || CAST("ROWS" AS VARCHAR) AS LISTED
+FROM ({SQL['company_bar']}) t"""
+SQL["multi_tax_percent"] = f"""
+SELECT PROD_CODE, array_to_string(list_transform(string_split(GST_RATE, ', '), lambda r: r || '%'), ', ') AS RATES, COUNT
+FROM ({SQL['multi_tax']}) t"""
+
+
+def _loan_texts() -> str:
+    def percent(x: str) -> str:
+        return f"CAST({_whole(f'CAST(coalesce({x}, 0) AS DOUBLE) * 100')} AS VARCHAR) || '%'"
+
+    measures = ["opening", "interest", "principal", "emi", "closing", "rate"]
+    cols = [f"CASE WHEN {side}_{m} IS NULL THEN '—' ELSE {percent(f'{side}_{m}') if m == 'rate' else _inr(f'{side}_{m}')} END AS {side}_{m}_text"
+            for side in ("calc", "bank") for m in measures]
+    cols += [f"{percent(f'diff_{m}') if m == 'rate' else _inr(f'diff_{m}')} AS diff_{m}_text" for m in measures]
+    return ", ".join(cols)
+
+
+SQL["loan_display"] = f"SELECT person, month, {_loan_texts()}, DIFF_HIT FROM ({SQL['loan_diff']}) t"
+# Labels and columns of the reports, as SURVEY's K8 has them.
+_LAYOUTS = {
+    "multi_tax": {"GST Rate (%)": "GST_RATE", "Tax Description": "TAX_DESC", "Count": "COUNT", "Remark": "REMARK"},
+    "prod_gst": {"Product Name": "PROD_NM", "GST Rate (%)": "GST_RATE", "Count": "COUNT", "Remark": "REMARK"},
+    "dup_cust": {"Customer Name": "CUST_NM", "Customer Code": "CUST_CD", "Count": "COUNT", "Remark": "REMARK"},
+    "prod_name": {"Product Name": "PROD_NM", "Product Code": "PROD_CODE", "Count": "COUNT", "Remark": "REMARK"},
+    "prod_code": {"Product Code": "PROD_CODE", "Status": "STATUS", "Remark": "REMARK"},
+}
+for _category, _layout in _LAYOUTS.items():
+    _shown = ", ".join(f'{column} AS "{label}"' for label, column in _layout.items())
+    SQL[f"hygiene_export_{_category}"] = f"SELECT {_shown} FROM ({SQL[f'hygiene_{_category}']}) m"
+SQL["report_workbooks"] = " UNION ALL ".join(
+    f"""SELECT '{c}' AS CATEGORY, concat_ws(' | ', {', '.join(layout.values())}) AS CELLS FROM ({SQL[f'hygiene_{c}']}) m"""
+    for c, layout in _LAYOUTS.items())
+SQL["audit_trail_aliased"] = "WITH " + _AUDIT + """
+SELECT * REPLACE ('M' || CAST(CAST(VendorNo AS BIGINT) % 5 AS VARCHAR) AS Process,
+  CASE WHEN CAST(VendorNo AS BIGINT) % 3 = 0 THEN 'Unspecified' ELSE 'Team' END AS Owner,
+  CASE WHEN CAST(VendorNo AS BIGINT) % 2 = 0 THEN '' ELSE 'last' END AS Remarks) FROM audit"""
+SQL["audit_trail_evolved"] = "WITH " + _AUDIT + """
+SELECT Process AS process, Control AS control, Status AS status, Owner AS owner, Department AS department, Remarks AS remarks,
+""" + ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in (
+    "vendor_no", "vendor_name", "field_changed", "field_description", "indicator", "old_value", "new_value", "changed_by", "risk",
+    "year", "quantity", "month_name")) + " FROM audit"
+SQL["audit_flagged"] = "WITH " + _AUDIT + """
+SELECT lower(trim(Risk)) = 'high' AS HIGH_RISK, CASE WHEN Indicator IN ('Deleted', 'Inserted') THEN Indicator ELSE '' END AS INDICATOR_FLAG,
+  COUNT(*) AS "ROWS" FROM audit GROUP BY ALL"""
+SQL["observations_flagged"] = f"""
+SELECT category, RiskType IN ('High', 'Critical') AS HIGH_RISK, COUNT(*) AS "ROWS" FROM ({SQL['observations_loaded']}) t GROUP BY ALL"""
+SQL["remarks_list"] = f"SELECT issue_id, remark FROM ({SQL['remarks']}) t"
+SQL["audit_trail_from_workbooks"] = "WITH " + _AUDIT + "\nSELECT * EXCLUDE (row_idx) FROM audit"

@@ -560,3 +560,170 @@ def q_remarks_streamed(spark, sf):
     T.remark_log_source(spark, sf).repartition(3, F.pmod("seq", F.lit(3))).write.parquet(f"{base}/requests")
     RS.start_remarks_stream(spark, f"{base}/requests", f"{base}/table", f"{base}/state", files_per_batch=1).awaitTermination()
     return _ts_text(RS.current_remarks(spark, f"{base}/table"), "updated_at")
+
+
+@query("hygiene_prod_name_chunks")
+def q_hygiene_prod_name_chunks(spark, sf):
+    return H.prod_name_chunks(I.purchases(spark, sf), size=5)
+
+
+@query("hygiene_dup_cust_chunks")
+def q_hygiene_dup_cust_chunks(spark, sf):
+    return H.dup_customers_chunks(I.purchases(spark, sf), size=2)
+
+
+from ledgerlens.sinks import parts as PT  # noqa: E402
+from ledgerlens.sinks import published as PB  # noqa: E402
+from ledgerlens.sinks.tables import materialize  # noqa: E402
+
+_INPUTS = ("lineitem", "orders", "customer", "part", "supplier", "nation", "region")
+
+
+def _scratch(spark, name: str) -> str:
+    return shared_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def _published(spark, sf, names):
+    """A publication of V1 and V2, then the tables as a second caller finds them: stored, as the inputs are the same."""
+    out, inputs = _scratch(spark, "published"), [f"{sf}/{n}.parquet" for n in _INPUTS]
+
+    def compute():
+        lines = materialize(I.enriched(spark, sf), "lines")
+        invoices = materialize(R.invoice_rollup(lines, line_col="_line", extra=["_ord", "_nationkey"]), "invoices")
+        made = PB.result_tables(lines, *T.recon_tables(invoices))
+        return {n: made[n] for n in names}
+
+    PB.stored_or_computed(spark, out, inputs, names, compute)
+    return PB.stored(spark, out, inputs, names)
+
+
+@query("published_tables")
+def q_published_tables(spark, sf):
+    """K1 + S4: rows of each of the twelve published tables."""
+    counts = [t.agg(F.lit(n).alias("TABLE"), F.count(F.lit(1)).alias("ROWS")) for n, t in _published(spark, sf, PB.ALL_TABLES).items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query("stored_match_full")
+def q_stored_match_full(spark, sf):
+    """J1 over the published tables: no exchange, as they are bucketed by invoice."""
+    return R.three_way_match(*PB.with_order(_published(spark, sf, list(PB.BY_INVOICE))), limit=None)
+
+
+def _parted(spark, sf):
+    folder = _scratch(spark, "observations")
+    PT.create_parts(_snapshot(spark, sf), folder)
+    return folder
+
+
+@query("observations_upsert_parted")
+def q_observations_upsert_parted(spark, sf):
+    folder = _parted(spark, sf)
+    PT.upsert_parts(spark, folder, T.observation_changes_source(spark, sf))
+    return PT.read_parts(spark, folder)
+
+
+@query("observations_delete_parted")
+def q_observations_delete_parted(spark, sf):
+    folder = _parted(spark, sf)
+    ids = T.table(spark, sf, "orders").filter(F.col("o_orderkey") % 17 == 0).select((F.col("o_orderkey") / 3).cast("long").alias("id"))
+    PT.delete_parts(spark, folder, ids)
+    return PT.read_parts(spark, folder)
+
+
+# ------------------------------------------------- displays, headers, reports --
+from ledgerlens import functions as FN  # noqa: E402
+from ledgerlens.sources import tables as ST  # noqa: E402
+
+
+@query("display_amounts")
+def q_display_amounts(spark, sf):
+    """A company's amounts as the cards write them."""
+    bar = D.company_bar(I.rollup(spark, sf))
+    return bar.select(
+        "COMP_NM", FN.issue_slug(F.concat(F.col("COMP_NM"), F.lit("  Private  Ltd"))).alias("SLUG"), FN.inr("AMOUNT").alias("FULL"),
+        FN.inr_short("AMOUNT").alias("SHORT"), FN.inr_crore("AMOUNT").alias("CRORE"), FN.inr_short(F.col("AVG_AMOUNT")).alias("AVERAGE"),
+        FN.percent_int(F.col("GST") / F.col("AMOUNT")).alias("GST_SHARE"),
+        FN.plus_to_comma(F.concat_ws("+", "COMP_NM", F.col("ROWS").cast("string"))).alias("LISTED"))
+
+
+@query("multi_tax_percent")
+def q_multi_tax_percent(spark, sf):
+    """F10 on A4: the rates of a code with percent signs."""
+    return H.multi_tax(I.enriched(spark, sf)).select("PROD_CODE", FN.percent_list("GST_RATE").alias("RATES"), "COUNT")
+
+
+@query("loan_display")
+def q_loan_display(spark, sf):
+    return L.loan_display(_loan_diff(spark, sf))
+
+
+def _export(category: str):
+    return lambda spark, sf: H.export_frame(QUERIES[f"hygiene_{category}"](spark, sf), category)
+
+
+for _cat in H.EXPORT_LAYOUTS:
+    QUERIES.setdefault(f"hygiene_export_{_cat}", _export(_cat))
+
+
+@query("audit_trail_aliased")
+def q_audit_trail_aliased(spark, sf):
+    """A workbook with columns of its own for process, owner and remarks; a blank one suppresses the chain."""
+    number = F.col("Vendor No").cast("long")
+    raw = T.audit_trail_source(spark, sf).withColumns({
+        "Module": F.concat(F.lit("M"), (number % 5).cast("string")), "Assigned To": F.when(number % 3 == 0, F.lit("")).otherwise(F.lit("Team")),
+        "Comments": F.lit("first"), "NOTES ": F.when(number % 2 == 0, F.lit("nan")).otherwise(F.lit(" last "))})
+    return A.audit_trail_normalize(raw)
+
+
+@query("audit_trail_evolved")
+def q_audit_trail_evolved(spark, sf):
+    """An old audit table of six columns with those it lacks added."""
+    old = _audit(spark, sf).select(*[F.col(c).alias(c.lower()) for c in A.AUDIT_FIELDS[:6]])
+    return A.schema_evolve(old)
+
+
+@query("audit_flagged")
+def q_audit_flagged(spark, sf):
+    flagged = A.audit_flags(_audit(spark, sf))
+    return flagged.groupBy("HIGH_RISK", "INDICATOR_FLAG").agg(F.count(F.lit(1)).alias("ROWS"))
+
+
+@query("observations_flagged")
+def q_observations_flagged(spark, sf):
+    return O.risk_flag(_loaded(spark, sf)).groupBy("category", "HIGH_RISK").agg(F.count(F.lit(1)).alias("ROWS"))
+
+
+@query("remarks_list")
+def q_remarks_list(spark, sf):
+    """Issue ids and their remarks."""
+    return K.remarks_scan(K.remarks_merge(T.remark_log_source(spark, sf)))
+
+
+from ledgerlens.sources import workbook_format as WF  # noqa: E402
+
+
+@query("audit_trail_from_workbooks")
+def q_audit_trail_from_workbooks(spark, sf):
+    """K8's writer, S1 and S6: the change log as workbooks, read, normalised and saved as the audit table's version."""
+    base = _scratch(spark, "audit")
+    WF.write_workbooks(T.audit_trail_source(spark, sf), f"{base}/books")
+    ST.audit_trail_current(spark, f"{base}/books", f"{base}/table")
+    stored = ST.audit_trail_current(spark, f"{base}/no-books", f"{base}/table")
+    return stored.select(*A.AUDIT_FIELDS)
+
+
+@query("report_workbooks")
+def q_report_workbooks(spark, sf):
+    """K8 + S1: the five reports written as workbooks and read back as a data source, all cells as text."""
+    out = None
+    for category, layout in H.EXPORT_LAYOUTS.items():
+        folder = f"{_scratch(spark, 'report')}/{category}"
+        WF.write_workbooks(H.export_frame(QUERIES[f"hygiene_{category}"](spark, sf), category), folder)
+        book = WF.read_workbooks(spark, folder, [label for label, _ in layout])
+        rows = book.select(F.lit(category).alias("CATEGORY"), F.concat_ws(" | ", *[F.col(f"`{label}`") for label, _ in layout]).alias("CELLS"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

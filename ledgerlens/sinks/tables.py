@@ -42,6 +42,19 @@ def child_names(spark: SparkSession, name: str) -> list[str]:
     return [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
 
 
+def list_files(spark: SparkSession, name: str) -> list[tuple[str, int, int]]:
+    """(path, length, time of change) of the data files of a file or folder; names with _ or . in front are none."""
+    fs, path = _path(spark, name)
+    found = []
+    if fs.exists(path):
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            status = files.next()
+            if status.getPath().getName()[0] not in "_.":
+                found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return found
+
+
 def remove(spark: SparkSession, name: str) -> None:
     fs, path = _path(spark, name)
     fs.delete(path, True)
