@@ -23,8 +23,14 @@ PY_WHITESPACE_CHARS = (
 
 
 def strip(col: Column | str) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.btrim(_c(col).cast("string"), F.lit(PY_WHITESPACE_CHARS))
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace.
+
+    ``btrim`` with a set of characters measures every character of a text, so
+    it is left to the texts that begin or end with anything but visible ASCII.
+    """
+    text = _c(col).cast("string")
+    clean = F.ascii(text).between(33, 126) & F.ascii(F.substring(text, -1, 1)).between(33, 126)
+    return F.when(clean, text).otherwise(F.btrim(text, F.lit(PY_WHITESPACE_CHARS)))
 
 
 def safe_value(col: Column | str) -> Column:

@@ -20,7 +20,6 @@ from ledgerlens.functions import (
     month_name,
     round2,
     safe_text,
-    strip,
     tax_desc,
     to_number,
     year_or_zero,
@@ -121,13 +120,15 @@ def _clean_double(col: Column) -> Column:
 
 
 def purchase_project(enriched: DataFrame, keep_order: bool = False) -> DataFrame:
-    """The published purchase table -- renamed, trimmed, measures rounded to 2."""
-    cols = [strip(F.col("`bill no`")).alias("INVOICE_NO")]
-    for c in ["COMP_NM", "COMP_STATE", "PROD_NM", "PROD_CODE", "CUST_NM", "CUST_STATE", "MONTH"]:
-        cols.append(strip(F.col(c)).alias(c))
+    """The published purchase table -- renamed, measures rounded to 2.
+
+    ``enriched`` is P1's output, whose texts are stripped already.
+    """
+    cols = [F.col("`bill no`").alias("INVOICE_NO")]
+    cols += [F.col(c) for c in ["COMP_NM", "COMP_STATE", "PROD_NM", "PROD_CODE", "CUST_NM", "CUST_STATE", "MONTH"]]
     cols.append(F.col("YEAR").cast("int").alias("YEAR"))
     cols.append(round2(F.col("GST_RATE")).alias("GST_RATE"))
-    cols.append(strip(F.col("TAX_DESC")).alias("TAX_DESC"))
+    cols.append(F.col("TAX_DESC"))
     for c in MEASURES:
         cols.append(round2(F.nanvl(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0))).alias(c))
     if keep_order and "_ord" in enriched.columns:
