@@ -152,8 +152,9 @@ def scan_secrets(
 
     ``labelled`` are findings as ``candidates`` gives them with a double column
     ``secret``; without it the documents' own findings are labelled by format.
-    Findings of a certain format are reported with score 1, also where there
-    are no findings of both labels to train on; others by the forest's score.
+    The forest's score decides about every finding, whatever its format.  Only
+    where there are no findings of both labels to train on, and so no forest,
+    are those of a certain format reported, with score 1.
     Null, empty and short texts have no findings; a text in several rows is
     reported for each.
     """
@@ -162,8 +163,7 @@ def scan_secrets(
     if forest is None:
         return found.filter(certain()).select("doc_id", "start", "end", F.lit(1.0).alias("score"), "value")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)
-    score = F.when(certain(), 1.0).otherwise(vector_to_array("probability")[1])
-    scored = forest.transform(rows).withColumn("score", score)
+    scored = forest.transform(rows).withColumn("score", vector_to_array("probability")[1])
     return scored.filter(F.col("score") >= F.lit(threshold)).select("doc_id", "start", "end", "score", "value")
 
 
