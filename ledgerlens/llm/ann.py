@@ -80,6 +80,10 @@ class CentroidGraph:
             for j in own:
                 back[j].append(i)
         self.neighbours = [np.unique(np.r_[own, back[i]]).astype(int) for i, own in enumerate(self.neighbours)]
+        most = max(map(len, self.neighbours), default=0)
+        self.table = np.full((n, most), -1)
+        for i, own in enumerate(self.neighbours):
+            self.table[i, : len(own)] = own
         self.entries = np.linspace(0, n - 1, min(n, max(8, math.isqrt(n)))).astype(int)
 
     def search(self, query: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,12 +114,52 @@ class CentroidGraph:
         ranked = sorted((-d, c) for d, c in best)
         return np.array([c for _, c in ranked]), np.array([d for d, _ in ranked])
 
-
-    def rank(self, query: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """As ``search``, from the distances of all centroids: less work where ``width`` is a large share of them."""
-        distance = np.sqrt(np.maximum(0.0, self.squares - 2 * self.centroids @ query + query @ query))
-        order = np.argsort(distance, kind="stable")[:width]
-        return order, distance[order]
+    def search_many(self, queries: np.ndarray, width: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """As ``search`` for many queries at once, which go on in step: each looks behind its nearest few not yet looked behind."""
+        n, rows = len(self.centroids), len(queries)
+        width = min(width, n)
+        lengths = (queries**2).sum(1)
+
+        def distances(row: np.ndarray, which: np.ndarray) -> np.ndarray:
+            out = np.empty(len(row))
+            for start in range(0, len(row), 1 << 16):
+                r, c = row[start : start + (1 << 16)], which[start : start + (1 << 16)]
+                out[start : start + (1 << 16)] = lengths[r] + self.squares[c] - 2 * np.einsum("ij,ij->i", queries[r], self.centroids[c])
+            return np.sqrt(np.maximum(0.0, out))
+
+        seen = np.zeros((rows, n), bool)
+        seen[:, self.entries] = True
+        every = np.repeat(np.arange(rows), len(self.entries))
+        found = np.tile(self.entries, (rows, 1))
+        far = distances(every, found.ravel()).reshape(rows, -1)
+        done = np.zeros(found.shape, bool)
+        going = np.arange(rows)
+        while len(going):
+            pick = np.argsort(np.where(done[going], np.inf, far[going]), axis=1, kind="stable")[:, :step]
+            at = np.repeat(going, pick.shape[1]).reshape(pick.shape)
+            fresh = ~done[at, pick] & np.isfinite(far[at, pick])
+            done[at, pick] = True
+            near = self.table[found[at, pick][fresh]]
+            row = np.repeat(at[fresh], near.shape[1])
+            pairs = np.unique(row[near.ravel() >= 0] * n + near.ravel()[near.ravel() >= 0])
+            row, which = pairs // n, pairs % n
+            new = ~seen[row, which]
+            row, which = row[new], which[new]
+            seen[row, which] = True
+            # The new ones of each row behind those it has; the nearest ``width`` stay.
+            count = np.bincount(row, minlength=rows)
+            more = int(count.max(initial=0))
+            place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+            wide_far = np.concatenate([far, np.full((rows, more), np.inf)], 1)
+            wide_found = np.concatenate([found, np.zeros((rows, more), found.dtype)], 1)
+            wide_done = np.concatenate([done, np.zeros((rows, more), bool)], 1)
+            wide_far[row, found.shape[1] + place] = distances(row, which)
+            wide_found[row, found.shape[1] + place] = which
+            order = np.argsort(wide_far, axis=1, kind="stable")[:, :width]
+            far, found, done = (np.take_along_axis(w, order, 1) for w in (wide_far, wide_found, wide_done))
+            going = np.flatnonzero((~done & np.isfinite(far)).any(1))
+        order = np.lexsort((found, far), axis=1)
+        return np.take_along_axis(found, order, 1), np.take_along_axis(far, order, 1)
 
 
 _GRAPHS: list[tuple] = []
@@ -140,18 +184,16 @@ def _lists(frame: DataFrame, shared, largest: float, width: int, ratio: float, s
     @F.pandas_udf("array<int>")
     def near(vectors: pd.Series) -> pd.Series:
         graph = _graph(shared)
-        find = graph.rank if 64 * max(width, 16) >= len(graph.centroids) else graph.search
-        out = []
-        for vector in vectors:
-            x = np.asarray(vector, float)
-            norm = math.sqrt(x @ x)
-            if scale_to is None:
-                x = np.r_[x, math.sqrt(max(0.0, largest * largest - norm * norm))]
-            else:
-                x = np.r_[x * (scale_to / norm), 0.0]
-            lists, distances = find(x, max(width, 16))
-            out.append(lists[:width][distances[:width] <= distances[0] * (1 + ratio)].tolist())
-        return pd.Series(out)
+        x = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, graph.centroids.shape[1] - 1))
+        norm = np.sqrt((x**2).sum(1))
+        if scale_to is None:
+            x = np.c_[x, np.sqrt(np.maximum(0.0, largest * largest - norm * norm))]
+        else:
+            x = np.c_[x * (scale_to / norm)[:, None], np.zeros(len(x))]
+        lists, far = graph.search_many(x, max(width, 16))
+        lists, far = lists[:, :width], far[:, :width]
+        within = far <= far[:, :1] * (1 + ratio)
+        return pd.Series([own[fine].tolist() for own, fine in zip(lists, within, strict=True)])
 
     return frame.withColumn("lists", near("vec"))
 
