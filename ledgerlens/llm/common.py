@@ -21,8 +21,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Rows in one Arrow batch: bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 512
-#: Entries a worker's word cache may hold before it starts anew.
-CACHE_ENTRIES = 400_000
+#: Bytes a worker's word cache may hold before it starts anew.
+CACHE_BYTES = 200 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -84,20 +84,53 @@ def unpacked(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-class Cache(dict):
-    """Remembers ``make(key)``; starts anew beyond ``limit`` entries, between batches."""
+#: What an entry of a cache is taken to need besides its key's and value's own bytes.
+ENTRY_BYTES = 200
 
-    def __init__(self, make: Callable, limit: int = CACHE_ENTRIES):
+
+class WordCache(dict):
+    """What a worker remembers of words; ``__missing__`` adds to ``bytes`` what an entry needs."""
+
+    def __init__(self, limit: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.limit, self.bytes = limit, 0
+
+    def forget(self) -> None:
+        self.clear()
+        self.bytes = 0
+
+    def trim(self) -> None:
+        """Start anew beyond ``limit`` bytes; called between batches."""
+        if self.bytes > self.limit:
+            self.forget()
+
+
+class Cache(WordCache):
+    """Remembers ``make(key)`` of bytes; ``make`` gives a few numbers."""
+
+    def __init__(self, make: Callable, limit: int = CACHE_BYTES):
+        super().__init__(limit)
+        self.make = make
 
     def __missing__(self, key):
         value = self[key] = self.make(key)
+        self.bytes += ENTRY_BYTES + len(key)
         return value
 
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
+
+_WORKER: dict[tuple, object] = {}
+
+
+def worker_cache(make: Callable, *key):
+    """``make(*key)``, kept by this Python worker from task to task until another operator asks for its own.
+
+    So a worker that serves one stage after another holds one operator's words.
+    """
+    name = (make.__name__, *key)
+    if name not in _WORKER:
+        _WORKER.clear()
+        _WORKER[name] = make(*key)
+    return _WORKER[name]
 
 
 #: Bytes that are hashed at once; a text is cut between words there.

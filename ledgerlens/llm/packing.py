@@ -13,17 +13,19 @@ Documents that fit nowhere whole are cut to fill the sequences of lowest cost.
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from operator import attrgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlens.llm.common import Cache, prepare, utf8
+from ledgerlens.llm.common import ENTRY_BYTES, WordCache, prepare, utf8, worker_cache
 
 SEQUENCE = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
@@ -33,58 +35,77 @@ BLOCK_ROWS = 20_000
 PIECE_SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class DocumentTokens:
+class DocumentTokens(WordCache):
     """Token ids of whole texts for a vocabulary that drops white space.
 
     White space always ends a token, so the parts between it are tokenised once
     and remembered, as 32-bit ids.  Of a part that is a word of
-    Latin letters and the marks after it, the word goes straight to the merges
-    of the library's model: normalising and splitting would not change it.
+    Latin letters and the marks after it, the word, in small letters, goes
+    straight to the merges of the library's model: normalising and splitting
+    would not change it.  That holds for vocabularies with ``NORMALIZER`` and
+    ``PATTERN``; of any other, all parts go to the library as they are.
     """
 
     #: Marks that the vocabulary's split pattern separates from letters before them.
     MARKS = b".,;:!?*#$%&|"
+    # What the vocabulary's file must say for the short way to be the library's.
+    NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
     def __init__(self, vocabulary: str, end_id: int):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.end = array("I", [end_id]).tobytes()
-        self.parts = Cache(self._part)
-        self.words = Cache(self._word)
-        self.marks = Cache(self._library)
+        described = json.loads(self.tokenizer.to_str())
+        split = (described.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.short_way = (
+            (described.get("normalizer") or {}).get("normalizers") == self.NORMALIZER
+            and split[0].get("pattern") == {"Regex": self.PATTERN} and [p.get("type") for p in split] == ["Split", "ByteLevel"]
+            and described["model"]["type"] == "BPE" and not any(t["content"].isalpha() for t in described["added_tokens"])
+        )
+        #: Ids of words in small letters, and of marks.
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
         self.model = self.tokenizer.model
         # Byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes follow from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(others)}
 
-    def _part(self, part: bytes) -> bytes:
+    def __missing__(self, part: bytes) -> bytes:
         word = part.rstrip(self.MARKS)
-        letters = self.words[word]
-        if letters is None:
-            return self._library(part)
-        return letters + (self.marks[part[len(word) :]] if len(word) < len(part) else b"")
-
-    def _word(self, word: bytes) -> bytes | None:
-        """The ids of Latin letters; None for anything else."""
         text = word.decode("utf-8")
-        if not text.isalpha() or max(text) >= "\u0100":
-            return None
-        tokens = self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.alphabet))
-        return array("I", [t.id for t in tokens]).tobytes()
+        if not self.short_way or not text.isalpha() or max(text) >= "\u0100":
+            ids = self._library(part)
+        else:
+            low = text.lower()
+            ids = self.words.get(low)
+            if ids is None:
+                tokens = self.model.tokenize(low.encode().decode("latin-1").translate(self.alphabet))
+                ids = self.words[low] = array("I", map(_token_id, tokens)).tobytes()
+                self.bytes += ENTRY_BYTES + len(low) + len(ids)
+            after = part[len(word) :]
+            if after not in self.marks:
+                self.marks[after] = self._library(after)
+                self.bytes += ENTRY_BYTES + 5 * len(after)
+            ids += self.marks[after]
+        self[part] = ids
+        self.bytes += ENTRY_BYTES + len(part) + len(ids)
+        return ids
 
     def _library(self, part: bytes) -> bytes:
         return array("I", self.tokenizer.encode(part.decode("utf-8"), add_special_tokens=False).ids).tobytes()
 
-    def trim(self) -> None:
-        self.parts.trim()
-        self.words.trim()
-        self.marks.trim()
+    def forget(self) -> None:
+        super().forget()
+        self.words.clear()
+        self.marks = {b"": b""}
 
     def __call__(self, text: bytes) -> bytes:
-        return b"".join(map(self.parts.__getitem__, text.split())) + self.end
+        return b"".join(map(self.__getitem__, text.split())) + self.end
 
 
-_TOKENS: dict[tuple[str, int], DocumentTokens] = {}
+_token_id = attrgetter("id")
 
 
 def cost(tokens: int) -> float:
@@ -184,9 +205,7 @@ def pack_documents(
     shards = max(1, int(size / shard_tokens))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (vocabulary, end_id) not in _TOKENS:
-            _TOKENS[vocabulary, end_id] = DocumentTokens(vocabulary, end_id)
-        tokens_of = _TOKENS[vocabulary, end_id]
+        tokens_of = worker_cache(DocumentTokens, vocabulary, end_id)
         width = 4 * sequence
         for batch in batches:
             tokens_of.trim()

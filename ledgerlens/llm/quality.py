@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Cache, prepare, stage, utf8
+from ledgerlens.llm.common import Cache, prepare, stage, utf8, worker_cache
 
 DIMENSIONS = 1 << 18
 SAMPLE_ROWS = 12_000
@@ -148,14 +148,10 @@ def _cutoff(tail: np.ndarray, good: np.ndarray) -> float:
     return float(best[np.argmin(abs(best - 0.5))])
 
 
-_FEATURES: list[Features] = []
-
-
 def _features() -> Features:
-    if not _FEATURES:
-        _FEATURES.append(Features())
-    _FEATURES[0].words.trim()
-    return _FEATURES[0]
+    features = worker_cache(Features)
+    features.words.trim()
+    return features
 
 
 def train_quality(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> OrdinalModel | None:

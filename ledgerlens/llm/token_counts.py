@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlens.llm.common import CACHE_ENTRIES, prepare, utf8
+from ledgerlens.llm.common import CACHE_BYTES, ENTRY_BYTES, prepare, utf8, worker_cache
 
 # A token always begins at a single blank that a non-space follows.  A text can
 # therefore be cut there, unless a blank is followed by white space (or by the
@@ -90,6 +90,7 @@ class DocumentCounter:
         self.first: dict[bytes, int] = {}  # pieces that begin a text
         self.later: dict[bytes, int] = {}  # pieces that follow a blank
         self.whole: dict[bytes, int] = {}  # texts that cannot be cut
+        self.bytes = 0  # what the first two need
 
     def _learn(self, pieces: list[tuple[dict, bytes, bytes]]) -> None:
         tokens = [self.merger.pretokens(text) for _, _, text in pieces]
@@ -100,11 +101,13 @@ class DocumentCounter:
         counts = self.merger.count(list(number))
         for (cache, key, _), own in zip(pieces, tokens, strict=True):
             cache[key] = int(sum(counts[number[t]] for t in own))
+            self.bytes += (ENTRY_BYTES + len(key)) if cache is not self.whole else 0
 
     def batch(self, texts: list[bytes]) -> list[int]:
-        if len(self.first) + len(self.later) > CACHE_ENTRIES:
+        if self.bytes > CACHE_BYTES:
             self.first.clear()
             self.later.clear()
+            self.bytes = 0
         self.whole.clear()
         special = self.merger.special
         segments = [special.split(t) if special and b"<|" in t else [t] for t in texts]
@@ -128,9 +131,6 @@ class DocumentCounter:
         ]
 
 
-_COUNTERS: dict[str, DocumentCounter] = {}
-
-
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row's whole text.
 
@@ -142,9 +142,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
     prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _COUNTERS:
-            _COUNTERS[vocabulary] = DocumentCounter(vocabulary)
-        counter = _COUNTERS[vocabulary]
+        counter = worker_cache(DocumentCounter, vocabulary)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             tokens = counter.batch(texts)
