@@ -17,12 +17,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Cache, prepare, stage, utf8, worker_cache
+from ledgerlens.llm.common import CACHE_BYTES, Cache, prepare, stage, utf8, worker_cache
 
 DIMENSIONS = 1 << 18
 SAMPLE_ROWS = 12_000
@@ -47,7 +48,7 @@ class Features:
     """Slots of the features present in a text; those of a word are remembered."""
 
     def __init__(self):
-        self.words = Cache(_word_slots)
+        self.words = Cache(_word_slots, CACHE_BYTES // 2)  # five numbers a word need about twice what a cache counts
 
     def __call__(self, text: bytes) -> set[int]:
         words = text.split()
@@ -168,6 +169,7 @@ def train_quality(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE
             found = [sorted(features(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("grade"), pa.array(found, pa.list_(pa.int32()))], names=["grade", "slots"])
+        features.words.forget()
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, grades = [], []
@@ -210,18 +212,20 @@ def score_quality(docs: DataFrame, model: OrdinalModel | None, into: str = "qual
     shared = spark.sparkContext.broadcast((model.weights, model.thresholds.tolist()))
 
     @F.pandas_udf("struct<expected_grade:double,top_probability:double,keep:boolean>")
-    def score(texts):
-        import pandas as pd
-
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         weights, thresholds = shared.value
         features = _features()
-        out = []
-        for text in texts:
-            slots = features(bytes(text))
-            total = math.fsum(weights[np.fromiter(slots, np.int64, len(slots))].tolist())
-            tails = [0.5 * (1.0 + math.tanh(0.5 * (total - t))) for t in thresholds]
-            out.append((sum(tails), tails[-1], tails[-1] >= cutoff))
-        return pd.DataFrame(out, columns=["expected_grade", "top_probability", "keep"])
+        for texts in batches:
+            out = []
+            for text in texts:
+                slots = features(bytes(text))
+                total = math.fsum(weights[np.fromiter(slots, np.int64, len(slots))].tolist())
+                tails = [0.5 * (1.0 + math.tanh(0.5 * (total - t))) for t in thresholds]
+                out.append((sum(tails), tails[-1], tails[-1] >= cutoff))
+            features.words.trim()
+            yield pd.DataFrame(out, columns=["expected_grade", "top_probability", "keep"])
+        # The worker serves other operators next, which need the memory.
+        features.words.forget()
 
     return docs.withColumn(into, score(utf8()))
 
