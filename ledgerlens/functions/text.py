@@ -23,14 +23,21 @@ PY_WHITESPACE_CHARS = (
 
 
 def strip(col: Column | str) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace.
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
+    return F.btrim(_c(col).cast("string"), F.lit(PY_WHITESPACE_CHARS))
+
+
+def strip_mostly_clean(col: Column | str) -> Column:
+    """``strip`` for texts that seldom have white space at their ends.
 
     ``btrim`` with a set of characters measures every character of a text, so
     it is left to the texts that begin or end with anything but visible ASCII.
+    The longer expression is not for plans that clean dozens of columns: their
+    generated code would grow too large to compile.
     """
     text = _c(col).cast("string")
     clean = F.ascii(text).between(33, 126) & F.ascii(F.substring(text, -1, 1)).between(33, 126)
-    return F.when(clean, text).otherwise(F.btrim(text, F.lit(PY_WHITESPACE_CHARS)))
+    return F.when(clean, text).otherwise(strip(text))
 
 
 def safe_value(col: Column | str) -> Column:
@@ -43,7 +50,7 @@ def safe_value(col: Column | str) -> Column:
 
 def safe_text(col: Column | str, default: str = "") -> Column:
     """null -> default, else stripped text (does not blank 'nan')."""
-    return F.coalesce(strip(col), F.lit(default))
+    return F.coalesce(strip_mostly_clean(col), F.lit(default))
 
 
 def blank_default(col: Column | str, default: str) -> Column:
