@@ -111,3 +111,18 @@ def test_pipeline_stages_do_their_work(spark):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     tokens = sum(len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in seen["mix"])
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).agg(F.sum("length")).first()[0] == tokens
+
+
+def test_many_vectors_search_the_graph_at_once():
+    """Each finds nearly all of its nearest centroids, in order, with their distances; there is no direct ranking beside it."""
+    rng = np.random.default_rng(8)
+    graph = CentroidGraph(rng.normal(size=(600, 24)))
+    queries = rng.normal(size=(70, 24))
+    found, far = graph.search_many(queries, 64)
+    exact = np.sqrt(((queries[:, None, :] - graph.centroids[None, :, :]) ** 2).sum(2))
+    want = np.argsort(exact, axis=1)[:, :64]
+    assert np.mean([len(set(a) & set(b)) / 64 for a, b in zip(found, want, strict=True)]) > 0.95
+    assert np.allclose(far, np.take_along_axis(exact, found, 1)) and (np.diff(far, axis=1) >= 0).all()
+    assert all(len(set(row)) == 64 for row in found.tolist())
+    few = CentroidGraph(rng.normal(size=(3, 24))).search_many(queries[:2], 64)[0]
+    assert [sorted(r) for r in few.tolist()] == [[0, 1, 2]] * 2 and not hasattr(graph, "rank")
