@@ -10,16 +10,20 @@ contain their first common one when each keeps, of its n shingles, the first
 n - ceil(threshold * n) + 1 in that order.  So a set is replicated into the
 cells of that window, and every wanted pair meets in a cell.  The order is by
 hash, with shingles that occur in very many windows moved to the end, which
-keeps text that unrelated documents repeat out of the windows.
+keeps text that unrelated documents repeat out of the windows.  Shingles with
+the same points are one cell, which weighs as many as it stands for.
 
 Regions.  Within the cells, documents are pivots: the one that shares most of
 its cells with others.  Each point goes to the region of the pivot it shares
 most cells with, its distance to it is computed, and it is linked to it when
 within the radius.  This is repeated for points that are not linked to the
 pivot, and then the cells whose points are not yet one component are joined
-directly.  Pairs there are left out only by bounds on their distance: by their
-sizes, by the triangle inequality through their pivot, and by the parities of
-their shingles over classes, whose difference never exceeds that of the sets.
+directly.  Each point has its cells in one order, and a pair is passed over in
+a cell where both have the same cell among the last few before: it meets there
+already, so its first common cell never drops it.  Other pairs are left out
+only by bounds on their distance: by their sizes, by the triangle inequality
+through their pivot, and by the parities of their shingles over classes, whose
+difference never exceeds that of the sets.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import discard, distinct_sorted, gram_hashes, packed_texts, prepare, stage, unpacked, utf8, word_array
@@ -44,6 +48,8 @@ HOT_SHINGLES = 1_000_000
 HOT_LEAST = 100
 ORDER_ROUNDS = 2
 PIVOT_ROUNDS = 2
+#: Cells before this one that a point of a cell remembers.
+EARLIER = 8
 SKETCH_WORDS = 4
 SHORT = [f"k{i}" for i in range(SKETCH_WORDS)]
 
@@ -189,7 +195,7 @@ def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _cells(docs: DataFrame, table: DataFrame, points: DataFrame, length: int, percent: int) -> DataFrame:
-    """(shingle, id) of every cell with at least two points, written."""
+    """(shingle, weight, id) of every cell with at least two points, written; weight: shingles with these points."""
     mine = points.select("id", F.col("text_hash").alias("own"))
     n = F.col("n")
     total = points.agg(F.sum(n - F.ceil(F.lit(percent) * n / 100) + 1)).first()[0] or 0
@@ -212,8 +218,10 @@ def _cells(docs: DataFrame, table: DataFrame, points: DataFrame, length: int, pe
         discard(windows)
         windows = of_points(_windows(docs, length, percent, last))
     held = windows.select("id", F.explode("shingles").alias("shingle"))
-    several = held.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("shingle")
-    cells = stage(held.join(stage(several, "shingle-several"), "shingle"), "shingle-cells")
+    several = held.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("points"), *[
+        F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"mark{seed}") for seed in (0, 1)]).filter("low < high")
+    alike = several.groupBy("low", "high", "points", "mark0", "mark1").agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight"))
+    cells = stage(held.join(stage(alike.select("shingle", "weight"), "shingle-several"), "shingle"), "shingle-cells")
     discard(windows)
     return cells
 
@@ -232,7 +240,7 @@ def link_components(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
     cells = _cells(docs, table, points, length, percent)
     discard(table)
     # Points that share no cell are alone; the others are compared.
-    weight = cells.groupBy("id").agg(F.count("*").alias("cells"))
+    weight = cells.groupBy("id").agg(F.sum("weight").alias("cells"))
     known = stage(points.join(weight, "id"), "shingle-active")
     discard(points)
     active = known.select("id", F.col("text_hash").alias("own"))
@@ -244,12 +252,12 @@ def link_components(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
         open_ = cells
         if labels is not None:
             open_ = open_.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            open_ = stage(open_.join(reached, "shingle").filter("component != pivot_component").select("shingle", "id"), "cells-left")
+            open_ = stage(open_.join(reached, "shingle").filter("component != pivot_component").select("shingle", "weight", "id"), "cells-left")
         ranked = open_.join(known.select("id", "cells"), "id").groupBy("shingle")
         pivots = ranked.agg(F.max(F.struct("cells", (-F.col("id")).alias("order"))).alias("p"))
         pivots = stage(pivots.select("shingle", (-F.col("p.order")).alias("b")), "pivots")
         # A point belongs to the region of the pivot that it shares most cells with.
-        region = open_.join(pivots, "shingle").filter("id != b").groupBy("id", "b").agg(F.count("*").alias("shared"))
+        region = open_.join(pivots, "shingle").filter("id != b").groupBy("id", "b").agg(F.sum("weight").alias("shared"))
         region = region.groupBy("id").agg(F.max(F.struct("shared", (-F.col("b")).alias("order"))).alias("r"))
         region = _likely(region.select(F.col("id").alias("a"), (-F.col("r.order")).alias("b")), known, percent)
         measured = stage(_distances(region, sets, percent), "regions")
@@ -272,12 +280,13 @@ def _rest(cells: DataFrame, known: DataFrame, labels: DataFrame, distances: Data
     # The distance to the first pivot that was measured, for the bound by the triangle inequality.
     pivot = distances.groupBy("a").agg(F.min(F.struct("b", "distance")).alias("p"))
     held = held.join(pivot.select(F.col("a").alias("id"), F.col("p.b").alias("pivot"), F.col("p.distance").alias("far")), "id", "left")
-    held = stage(held, "cells-mixed")
+    before = Window.partitionBy("id").orderBy("shingle").rowsBetween(-EARLIER, -1)
+    held = stage(held.withColumn("earlier", F.collect_list("shingle").over(before)), "cells-mixed")
     left, right = (held.select("shingle", *[F.col(c).alias(c + x) for c in held.columns if c != "shingle"]) for x in ("a", "b"))
     near = (F.col("pivota") != F.col("pivotb")) | (F.abs(F.col("fara") - F.col("farb")) <= F.lit((100 - percent) / 100 + 1e-9))
     pairs = left.join(right, "shingle").filter(
         (F.col("ida") < F.col("idb")) & (F.col("componenta") != F.col("componentb"))
-        & _may_link("a", "b", percent) & F.coalesce(near, F.lit(True)))
+        & _may_link("a", "b", percent) & F.coalesce(near, F.lit(True)) & ~F.arrays_overlap("earliera", "earlierb"))
     pairs = _likely(pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), known, percent)
     return _distances(pairs, sets, percent).filter("linked").select("a", "b")
 

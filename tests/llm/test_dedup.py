@@ -105,6 +105,26 @@ def test_near_duplicates_threshold_chains_and_hot_passage(spark):
     assert kept.columns == frame(spark, rows).columns
 
 
+@pytest.mark.parametrize("edits", [3, 9])
+def test_near_duplicates_of_families_around_the_radius(spark, edits):
+    # Texts of a family share many cells, are mostly farther apart than the radius, and link in chains.
+    rng = random.Random(edits)
+    rows, passage = [], text_of(rng, 60)
+    for family in range(4):
+        words = f"{passage} {text_of(rng, 90 + 60 * family)}".split()
+        for _ in range(35):
+            copy = list(words)
+            for _ in range(rng.randrange(1, edits)):
+                copy[rng.randrange(len(copy))] = rng.choice("pqrst") + str(rng.randrange(99))
+            rows.append((len(rows), " ".join(copy)))
+            if rng.random() < 0.3:
+                words = copy
+    want = near_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+    assert len({c for _, c in want.values()}) >= (4 if edits == 3 else 20)
+
+
 def test_near_duplicates_nulls_repeated_rows_and_empty_table(spark):
     rows = [(None, "a b c"), (7, "A B C"), (7, "A B C"), (4, "a b c"), (5, None), (None, "")]
     got = sorted(((r.doc_id, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()), key=str)
