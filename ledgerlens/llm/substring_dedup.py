@@ -6,9 +6,10 @@ rule out the windows around them; then all grams of the windows left do so.
 What remains is cut into segments whose windows share their least gram; equal
 windows thus meet in one shard.  A shard
 holds each distinct segment once, with the smallest document it occurs in, in
-a compressed FM-index.  Streaming the segments through backward search gives,
-for every window that matches elsewhere, the interval of all its places, and
-the smallest document among them.
+a compressed FM-index.  Streaming the segments through it backward gives the
+matching statistics: how many words from each one on occur elsewhere too.
+Where they reach a window, the interval of all its places is reported, they are
+located from sampled positions, and the smallest document among them is taken.
 
 Copies in any number become one segment, and text that is a document's own is
 cut away before, so no shard grows with the size of a group of copies.
@@ -150,17 +151,22 @@ def _search_shard(pieces: list[bytes], owners: list[int], window: int) -> list[l
     number: dict[bytes, int] = {}
     texts = [np.array([number.setdefault(w, len(number) + 1) for w in p.split(b" ")], np.int64) for p in pieces]
     index = FMIndex(texts, window)
-    counts = np.array([len(t) - window + 1 for t in texts])
-    of = np.repeat(np.arange(len(texts)), counts)
-    within = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    length, low, high = index.matches(texts, 2)
+    sizes = np.array([len(t) for t in texts])
     owner = np.asarray(owners, np.int64)
-    smallest = owner[of]
-    low, high = index.search(index.starts[of] + within, window)
-    found = np.flatnonzero(high > low)
-    if len(found):
-        holders = np.r_[owner[index.owner[index.order]], np.iinfo(np.int64).max]
-        bounds = np.c_[low[found], high[found]].ravel()
-        smallest[found] = np.minimum.reduceat(holders, bounds)[::2]
+    smallest = np.repeat(owner, sizes)
+    long = np.flatnonzero(length >= window)
+    if len(long):
+        # Intervals of one length do not overlap: every place in the order is looked up once at most.
+        lows, first, which = np.unique(low[long], return_index=True, return_inverse=True)
+        counts = high[long][first] - lows
+        begins = np.cumsum(counts) - counts
+        rows = np.arange(counts.sum()) + np.repeat(lows - begins, counts)
+        holders = owner[index.texts_at(index.locate(rows))]
+        smallest[long] = np.minimum.reduceat(holders, begins)[which]
+    within = np.arange(len(smallest)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    smallest = smallest[within <= np.repeat(sizes - window, sizes)]
+    counts = sizes - window + 1
     return np.split(smallest, np.cumsum(counts)[:-1])
 
 

@@ -52,15 +52,40 @@ def test_slide_and_grams():
         assert len(grams) == 81 - width and (grams[: 41 - width] == grams[40 : 81 - width]).all()
 
 
-def test_fm_index_finds_all_places():
-    rng = np.random.default_rng(3)
-    texts = [rng.integers(1, 4, rng.integers(8, 30)) for _ in range(20)]
-    index = FMIndex(texts, 6)
-    places = np.concatenate([s + np.arange(len(t) - 5) for s, t in zip(index.starts, texts, strict=True)])
-    low, high = index.search(places, 6)
-    for p, lo, hi in zip(places, low, high, strict=True):
-        same = [q for q in places if (index.text[q : q + 6] == index.text[p : p + 6]).all()]
-        assert sorted(index.order[lo:hi]) == (same if len(same) > 1 else [])
+@pytest.mark.parametrize("symbols,depth", [(2, 6), (4, 6), (4, 13), (1, 9), (40, 3)])
+def test_fm_index_gives_matching_statistics_and_all_places(symbols, depth):
+    rng = np.random.default_rng(symbols * depth)
+    texts = [rng.integers(1, symbols + 1, rng.integers(1, 90)) for _ in range(9)]
+    texts.append(np.r_[texts[0], texts[1]])
+    index = FMIndex(texts, depth)
+    held = [t.tobytes() for t in texts]
+    foreign = [rng.integers(1, symbols + 2, 60) for _ in range(3)]
+    for asked, least in ((texts, 2), (foreign, 1)):
+        length, low, high = index.matches(asked, least)
+        at = 0
+        for text in asked:
+            for k in range(len(text)):
+                want = 0
+                for n in range(1, min(depth, len(text) - k) + 1):
+                    part = text[k : k + n].tobytes()
+                    places = [s + i // 8 for s, t in zip(index.starts.tolist(), held, strict=True)
+                              for i in range(0, len(t), 8) if t[i : i + 8 * n] == part]
+                    if len(places) < least:
+                        break
+                    want, found = n, places
+                assert length[at] == want
+                if want:
+                    assert sorted(index.locate(np.arange(low[at], high[at])).tolist()) == found
+                at += 1
+
+
+def test_fm_index_is_small():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(1, 3000, 75) for _ in range(1000)]
+    index = FMIndex(texts, 50)
+    arrays = [index.starts, index.first, index.positions, index.sampled.words, index.sampled.before, index.bwt.base, *index.common.levels]
+    arrays += [a for _, bits, _ in index.bwt.levels for a in (bits.words, bits.before)]
+    assert sum(a.nbytes for a in arrays) < 8 * index.size and not hasattr(index, "order")
 
 
 @pytest.mark.parametrize("seed,window", [(3, 50), (4, 10)])
