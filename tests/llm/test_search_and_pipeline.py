@@ -1,5 +1,8 @@
 """Nearest neighbours against brute force, and the corpus pipeline stage by stage."""
 
+import math
+import zlib
+from collections import defaultdict
 from dataclasses import replace
 
 import numpy as np
@@ -10,6 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ledgerlens.llm.ann import CentroidGraph, IndexSettings, balanced_centroids, nearest
+from ledgerlens.llm.quality import Features, ratings_from_labels, train_quality
 from samples import near_components
 
 SMALL = "/root/testdata/sf0.001"
@@ -113,6 +117,65 @@ def test_pipeline_stages_do_their_work(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).agg(F.sum("length")).first()[0] == tokens
 
 
+def _plain_mix(rows, place):
+    """(doc_id, text) of every repetition: capped water-filling by hand, the fraction drawn in the order of ``place``."""
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.source] += len((r.text or "").encode().split())
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    target, free, budget = {s: 0.0 for s in names}, [s for s in names if sizes[s]], 1.5 * sum(sizes.values())
+    while free:
+        level = budget / sum(weight[s] for s in free)
+        over = [s for s in free if weight[s] * level > 2 * sizes[s]]
+        for s in over or free:
+            target[s] = 2.0 * sizes[s] if over else weight[s] * level
+            budget -= target[s]
+        free = [s for s in free if s not in over] if over else []
+    for s in names:
+        own = sorted((r for r in rows if r.source == s), key=lambda r: place[r.doc_id])
+        whole = int(target[s] // sizes[s]) if sizes[s] else 0
+        left = round(target[s] - whole * sizes[s])
+        for r in own:
+            words = (r.text or "").encode().split()
+            extra = min(left, len(words))
+            left -= extra
+            if words:
+                yield from [(r.doc_id, r.text)] * (whole + (extra == len(words)))
+                if 0 < extra < len(words):
+                    yield r.doc_id, b" ".join(words[:extra]).decode()
+
+
+def test_run_equals_five_plain_stages(spark):
+    """Every piece of run() against a plain version of all five stages; only the model's fit and the draw's hash are Spark's."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = train_quality(docs, ratings_from_labels(spark.read.parquet(f"{SMALL}/labels.parquet")))
+    features, rows = Features(), []
+    for r in docs.collect():
+        total = math.fsum(float(model.weights[k]) for k in features((r.text or "").encode()))
+        if 0.5 * (1 + math.tanh(0.5 * (total - model.thresholds[-1]))) >= model.cutoff:
+            rows.append(r)
+    stays = {}
+    for r in sorted(rows, key=lambda r: (-len(r.text or ""), r.doc_id)):
+        stays.setdefault((r.text or "").encode().translate(None, b" \t\n\v\f\r"), r)
+    parts = near_components([(r.doc_id, r.text) for r in stays.values()])
+    rows = [r for r in stays.values() if parts[r.doc_id][1] == r.doc_id]
+    drawn = docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", F.xxhash64("text")).alias("place")).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = defaultdict(list)
+    for doc, text in _plain_mix(rows, {r.doc_id: r.place % 2**64 for r in drawn}):
+        ids = np.array(library.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        want[doc, len(ids)].append(ids)
+    got = corpus_pipeline.run(spark, SMALL).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in got} == set(want) and len(want) > 50
+    times = {key: np.zeros(key[1], int) for key in want}
+    for r in got:
+        own = slice(r.start, r.start + r.length)
+        assert r.ids_crc32 in {zlib.crc32(ids[own].tobytes()) for ids in want[r.doc_id, r.doc_tokens]}
+        times[r.doc_id, r.doc_tokens][own] += 1
+    assert all((times[key] == len(copies)).all() for key, copies in want.items())
+
+
 def test_many_vectors_search_the_graph_at_once():
     """Each finds nearly all of its nearest centroids, in order, with their distances; there is no direct ranking beside it."""
     rng = np.random.default_rng(8)

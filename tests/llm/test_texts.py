@@ -8,12 +8,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerlens.llm.mixing import apply_mix, mix_sources
 from ledgerlens.llm.packing import capacities, pack, pack_documents
 from ledgerlens.llm.pii import find_spans, luhn, mod97, pii_digest, pii_spans
-from ledgerlens.llm.quality import drop_poor, fit_ordinal, quality_decisions, ratings_from_labels, train_quality
+from ledgerlens.llm.quality import drop_poor, fit_ordinal, quality_decisions, ratings_from_labels, score_quality, train_quality
 from ledgerlens.llm import secret_scan
 from ledgerlens.llm.secret_scan import FEATURES, scan_secrets
 from ledgerlens.llm.token_counts import RankMerger, token_counts
@@ -184,6 +185,21 @@ def test_quality_on_held_out_rows(spark):
     assert quality_decisions(docs.limit(0), known).count() == 0
 
 
+def test_quality_on_held_out_labels(spark):
+    """A fifth of the labelled texts of sf0.1 is held out, copies of a text on one side."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").join(docs.select("doc_id", F.xxhash64("text").alias("h")), "doc_id")
+    held = F.pmod("h", F.lit(5)) == 0
+    model = train_quality(docs, ratings_from_labels(labels.filter(~held)))
+    asked = ratings_from_labels(labels.filter(held)).dropDuplicates(["doc_id"])
+    rows = score_quality(docs.join(asked, "doc_id"), model).select("grade", "quality.*").toPandas()
+    good, place = (rows.grade == 2).to_numpy(), rows.top_probability.rank().to_numpy()
+    auc = (place[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    assert len(rows) > 700 and auc > 0.97
+    assert rows.keep[good].mean() > 0.95
+    assert 1 - rows.keep[rows.grade == 0].mean() > 0.95 and 1 - rows.keep[rows.grade == 1].mean() > 0.75
+
+
 def test_thresholds_are_ordered():
     rng = np.random.default_rng(1)
     grades = rng.integers(0, 4, 300)
