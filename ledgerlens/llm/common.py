@@ -66,6 +66,14 @@ def utf8(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def own_prefix(docs: DataFrame) -> str:
+    """What an operator's helper columns begin with: no column of ``docs`` does, in any case of letters."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def packed_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, packed): texts compressed where they are read, for joins that must move them."""
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import SPACES, prepare, shuffle_width, stage, utf8
+from ledgerlens.llm.common import SPACES, own_prefix, prepare, shuffle_width, stage, utf8
 
 DIGEST_SCHEMA = "row long, doc_id {id}, text_hash long, n_chars long, n_norm long, sha binary"
 RUN_FIELDS = ("range", "run", "sha", "n_norm", "n_chars", "doc_id", "row", "n_rows")
@@ -82,7 +82,7 @@ def merge_runs(table: DataFrame, fan_in: int = 8) -> DataFrame:
     """The single run that all partitions' runs merge to: a row per digest."""
     spark = table.sparkSession
     width = shuffle_width(spark)
-    # The high bits of the digest number its range.
+    # Ranges are classes of the digest's head modulo the width; runs are sorted within each.
     head = F.conv(F.hex(F.substring("sha", 1, 4)), 16, 10).cast("long")
     runs = stage(_merged(table.select(
         "*", (head % width).cast("int").alias("range"), F.spark_partition_id().alias("run"),
@@ -118,14 +118,16 @@ def drop_copies(docs: DataFrame, fan_in: int = 8) -> DataFrame:
     """The documents that stay, with all their columns.
 
     Rows that agree in doc_id and text are one row here: the first stays.
+    Columns of any name are kept as they are.
     """
+    own = own_prefix(docs)
     table = exact_dedup(docs, fan_in)
     staying = stage(table.filter("kept").select("doc_id", "text_hash", "group_size"), "staying")
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
+    keyed = docs.withColumn(f"{own}hash", F.xxhash64("text"))
     stays = keyed.join(
-        staying.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("group_size").alias("__n")),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")))
-    alone = stays.filter("__n = 1").select(*docs.columns)
+        staying.select(F.col("doc_id").alias(f"{own}id"), F.col("text_hash").alias(f"{own}text"), F.col("group_size").alias(f"{own}n")),
+        F.col("doc_id").eqNullSafe(F.col(f"{own}id")) & (F.col(f"{own}hash") == F.col(f"{own}text")))
+    alone = stays.filter(F.col(f"{own}n") == 1).select(*docs.columns)
     # Only a text that occurred more than once can have a second row of the same id.
-    several = stays.filter("__n > 1").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    several = stays.filter(F.col(f"{own}n") > 1).dropDuplicates([f"{own}id", f"{own}hash"]).select(*docs.columns)
     return alone.unionByName(several)

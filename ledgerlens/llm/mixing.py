@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WORD_PATTERN, prepare, stage
+from ledgerlens.llm.common import WORD_PATTERN, own_prefix, prepare, stage
 
 BUCKETS = 1024
 
@@ -126,22 +126,25 @@ def _boundary(sized: DataFrame, plan: DataFrame, bucket: str, within: list[str])
 def apply_mix(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """The mixed documents: each text as often as the mix repeats it, its last repetition cut to ``extra`` words.
 
-    Columns are those of ``docs``; where there is ``n_chars``, it follows the text.
+    Columns are those of ``docs``, of any name; where there is ``n_chars``, it follows the text.
+    Rows that agree in doc_id, text and source repeat alike, as the one of them that the mix takes
+    most of: with such rows, more words may come out than ``taken`` adds up to.
     """
+    own = own_prefix(docs)
     plan = taken.filter("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("source").alias("__source"),
-        F.col("whole").alias("__whole"), F.col("extra").alias("__extra"), F.col("size").alias("__size"))
+        F.col("doc_id").alias(f"{own}id"), F.col("text_hash").alias(f"{own}text"), F.col("source").alias(f"{own}source"),
+        F.col("whole").alias(f"{own}whole"), F.col("extra").alias(f"{own}extra"), F.col("size").alias(f"{own}size"))
     # Rows equal in all three columns share one plan row; the repetitions of each are the same or differ by a fraction.
-    plan = plan.groupBy("__id", "__text", "__source").agg(
-        F.max("__whole").alias("__whole"), F.max("__extra").alias("__extra"), F.max("__size").alias("__size"))
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
-                        & F.col("source").eqNullSafe(F.col("__source")))
-    copies = F.col("__whole").cast("int") + (F.col("__extra") > 0).cast("int")
-    rows = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    partial = (F.col("__copy") > F.col("__whole")) & (F.col("__extra") < F.col("__size"))
+    plan = plan.groupBy(f"{own}id", f"{own}text", f"{own}source").agg(
+        F.max(f"{own}whole").alias(f"{own}whole"), F.max(f"{own}extra").alias(f"{own}extra"), F.max(f"{own}size").alias(f"{own}size"))
+    keyed = docs.withColumn(f"{own}hash", F.xxhash64("text"))
+    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col(f"{own}id")) & (F.col(f"{own}hash") == F.col(f"{own}text"))
+                        & F.col("source").eqNullSafe(F.col(f"{own}source")))
+    copies = F.col(f"{own}whole").cast("int") + (F.col(f"{own}extra") > 0).cast("int")
+    rows = joined.withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1), copies)))
+    partial = (F.col(f"{own}copy") > F.col(f"{own}whole")) & (F.col(f"{own}extra") < F.col(f"{own}size"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"), F.lit(1))
-    text = F.when(partial, F.array_join(F.slice(words, 1, F.col("__extra").cast("int")), " ")).otherwise(F.col("text"))
+    text = F.when(partial, F.array_join(F.slice(words, 1, F.col(f"{own}extra").cast("int")), " ")).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(partial, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))

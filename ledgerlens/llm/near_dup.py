@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import discard, distinct_sorted, gram_hashes, packed_texts, prepare, stage, unpacked, utf8, word_array
+from ledgerlens.llm.common import discard, distinct_sorted, gram_hashes, own_prefix, packed_texts, prepare, stage, unpacked, utf8, word_array
 from ledgerlens.llm.components import joined_components
 
 SHINGLE = 5
@@ -308,9 +308,10 @@ def near_duplicates(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
 
 
 def drop_near_duplicates(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents whose doc_id is their component's: one of each group of near duplicates, with all columns."""
+    """The documents whose doc_id is their component's: one of each group of near duplicates, with all columns, of any name."""
+    own = own_prefix(docs)
     found = near_duplicates(docs, length, percent)
-    gone = stage(found.filter("component_id < doc_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"))
+    gone = stage(found.filter("component_id < doc_id").select(F.col("doc_id").alias(f"{own}id"), F.col("text_hash").alias(f"{own}text"))
                  .distinct(), "near-duplicates")
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    return keyed.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__text")), "left_anti").select(*docs.columns)
+    keyed = docs.withColumn(f"{own}hash", F.xxhash64("text"))
+    return keyed.join(gone, (F.col("doc_id") == F.col(f"{own}id")) & (F.col(f"{own}hash") == F.col(f"{own}text")), "left_anti").select(*docs.columns)

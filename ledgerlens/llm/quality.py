@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import CACHE_BYTES, Cache, prepare, stage, utf8, worker_cache
+from ledgerlens.llm.common import CACHE_BYTES, Cache, own_prefix, prepare, stage, utf8, worker_cache
 
 DIMENSIONS = 1 << 18
 SAMPLE_ROWS = 12_000
@@ -242,5 +242,6 @@ def quality_decisions(docs: DataFrame, labels: DataFrame, sample_rows: int = SAM
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns."""
-    return quality_decisions(docs, labels, sample_rows, "__quality").filter("__quality.keep").select(*docs.columns)
+    """The documents that the classifier keeps, with all their columns, of any name."""
+    into = f"{own_prefix(docs)}quality"
+    return quality_decisions(docs, labels, sample_rows, into).filter(F.col(into)["keep"]).select(*docs.columns)

@@ -13,7 +13,10 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ledgerlens.llm.ann import CentroidGraph, IndexSettings, balanced_centroids, nearest
-from ledgerlens.llm.quality import Features, ratings_from_labels, train_quality
+from ledgerlens.llm.exact_dedup import drop_copies
+from ledgerlens.llm.mixing import apply_mix, mix_sources
+from ledgerlens.llm.near_dup import drop_near_duplicates
+from ledgerlens.llm.quality import Features, drop_poor, ratings_from_labels, train_quality
 from samples import near_components
 
 SMALL = "/root/testdata/sf0.001"
@@ -117,6 +120,21 @@ def test_pipeline_stages_do_their_work(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).agg(F.sum("length")).first()[0] == tokens
 
 
+def test_stages_keep_columns_named_like_helpers(spark):
+    names = ["__hash", "__id", "__text", "__N", "__quality", "__copy", "__whole", "__extra", "__size", "__source", "___hash", "keep", "taken"]
+    plain = spark.createDataFrame(
+        [(i, " ".join(f"w{i % 3}x{k}" for k in range(9 + i // 3 % 2)) if i else None, "en", f"s{i % 2}", 5) for i in range(9)],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    docs = plain.select("*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id")).alias(n) for n in names])
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for work in (lambda d: drop_poor(d, labels), drop_copies, drop_near_duplicates, lambda d: apply_mix(d, mix_sources(d))):
+        got, want = work(docs), work(plain)
+        rows = got.collect()
+        assert got.columns == docs.columns and rows
+        assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((r.doc_id, r.text or "") for r in want.collect())
+        assert all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names)
+
+
 def _plain_mix(rows, place):
     """(doc_id, text) of every repetition: capped water-filling by hand, the fraction drawn in the order of ``place``."""
     sizes = defaultdict(int)
