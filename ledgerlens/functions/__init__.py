@@ -37,6 +37,7 @@ from ledgerlens.functions.text import (
     python_title,
     safe_text,
     safe_value,
+    safe_values,
     slug,
     strip,
     vendor_title_case,

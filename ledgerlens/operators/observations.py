@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlens.functions import canonical_header_name, entity_key, safe_value, strip
+from ledgerlens.functions import canonical_header_name, entity_key, safe_value, safe_values, strip
 from ledgerlens.sinks.tables import materialize
 
 # The 35 observation fields, in table order.
@@ -106,10 +106,13 @@ def classify_rows(raw: DataFrame, valid: list[str] = VALID_CATEGORIES, row_col:
     if fill_missing:
         df = fill_columns(df)
     required_columns(df)
-    # Step 1: clean each field once (its own projection, so the cleaned
-    # values are computed once and referenced by name afterwards).
-    cleaned = df.select(*[safe_value(F.col(f"`{f}`")).alias(f) for f in ALL_FIELDS], F.col(row_col))
-    blank = F.concat_ws("", *[F.col(f) for f in ALL_FIELDS]) == ""
+    # Step 1: clean all fields once (one array in its own projection, so the
+    # cleaned values are computed once and referenced by place afterwards).
+    # The category has a column of its own: filters by it don't need the others.
+    cleaned = df.select(safe_value("category").alias("category"), safe_values([F.col(f"`{f}`") for f in ALL_FIELDS]).alias("_values"), F.col(row_col))
+    cleaned = cleaned.select(*[(F.col("category") if f == "category" else F.col("_values")[i]).alias(f) for i, f in enumerate(ALL_FIELDS)],
+                             F.col(row_col), F.forall("_values", lambda value: value == "").alias("_blank"))
+    blank = F.col("_blank")
     valid_cat = F.col("category").isin(valid)
     outcome = F.when(blank, F.lit("blank")).when(~valid_cat, F.lit("skipped")).otherwise(F.lit("inserted"))
     row_num = F.col(row_col) + 2
@@ -125,7 +128,13 @@ def observations_load(raw: DataFrame, valid: list[str] = VALID_CATEGORIES, row_c
 
     ``fill_missing`` (seeding): fields the upload lacks are blank, not an error.
     """
-    return classify_rows(raw, valid, row_col, fill_missing).filter(F.col("_outcome") == "inserted").drop("_outcome")
+    raw = canon_headers(raw)
+    if fill_missing:
+        raw = fill_columns(raw)
+    required_columns(raw)
+    # Rows of other categories go before the rest is cleaned; a row of a category that is not blank is no blank row.
+    rows = classify_rows(raw.filter(safe_value("category").isin(valid)), valid, row_col)
+    return (rows.filter(F.col("_outcome") == "inserted") if "" in valid else rows).drop("_outcome")
 
 
 def upload_accounting(raw: DataFrame, valid: list[str] = VALID_CATEGORIES, row_col: str = "row_idx") -> DataFrame:
@@ -161,14 +170,17 @@ def dense_ids(df: DataFrame, start: Column | int, order_col: str) -> DataFrame:
     """Assign ids ``start+1 .. start+n`` in ``order_col`` order (a unique key).
 
     Rows are range-partitioned by ``order_col``, whose bounds Spark samples, so
-    partitions are even however the keys bunch; the partitioned rows are
-    written with their partition's number.  An id is the number of rows in
-    earlier partitions, plus the rank inside its own.  The counts per partition
-    travel as one scalar, bounded by the number of partitions.  No single-task
-    sort; the input is computed once.
+    partitions are even however the keys bunch; each is sorted and written
+    with its number and every row's place in it (the low 33 bits of Spark's
+    increasing id).  An id is the number of rows in earlier partitions, plus
+    that place.  The counts per partition travel as one scalar, bounded by the
+    number of partitions.  No single-task sort, and one shuffle.  Sampling
+    computes the input once more, so an input that is dear is best a written table.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(df.repartitionByRange(n, order_col).withColumn("_b", F.spark_partition_id()), "dense-ids")
+    placed = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col).withColumns(
+        {"_b": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    ranged = materialize(placed, "dense-ids")
     counts = ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -176,9 +188,9 @@ def dense_ids(df: DataFrame, start: Column | int, order_col: str) -> DataFrame:
         .agg(F.map_from_entries(F.collect_list(F.struct("_b", "_off"))).alias("m"))
         .scalar()
     )
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(order_col))
     start_col = start if isinstance(start, Column) else F.lit(start)
-    return ranged.withColumn("id", (start_col + F.element_at(offsets, F.col("_b")) + rank).cast("long")).drop("_b")
+    ids = (start_col + F.element_at(offsets, F.col("_b")) + F.col("_place") + 1).cast("long")
+    return ranged.withColumn("id", ids).drop("_b", "_place")
 
 
 def observations_store(current: DataFrame, loaded: DataFrame, stamped: Column, replace: bool = True,
@@ -191,6 +203,7 @@ def observations_store(current: DataFrame, loaded: DataFrame, stamped: Column, r
     as ``updated_at``; rows that stay keep theirs.
     """
     highest = current.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    loaded = materialize(loaded, "observations-load")  # read for its order, its rows and its categories
     fresh = dense_ids(loaded, highest, order_col).withColumn("updated_at", stamped)
     if replace:
         # At most as many rows as there are valid categories.

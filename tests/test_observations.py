@@ -1,6 +1,7 @@
 """Observation load / upsert / delete / list."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import observations as O
 
@@ -78,3 +79,40 @@ def test_dense_ids_many_partitions(spark):
     assert tuple(got) == (101, 5100, 5000)
     first = O.dense_ids(df, 0, "k").filter("k = 3").first()["id"]
     assert first == 1
+
+
+def test_values_cleaned_together_as_one_by_one(spark):
+    from ledgerlens.functions import safe_value, safe_values
+
+    texts = [None, "", " ", "nan", "NaN", " nan\u00a0", "nan.", "\u3000x y\t", "plain", "\u00e9 ", "n\u00e4n", "-", "a", " a"]
+    df = spark.createDataFrame([(t, t[::-1] if t else t, len(t) if t else None) for t in texts], "a string, b string, c int")
+    got = df.select(safe_values(["a", "b", F.col("c")]).alias("v"), *[safe_value(c).alias(c) for c in "abc"]).collect()
+    assert [tuple(r.v) for r in got] == [(r.a, r.b, r.c) for r in got]
+
+
+def test_load_cleans_once_and_ids_take_one_shuffle(spark):
+    raw = _raw(spark, ROWS)
+    plan = O.observations_load(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") <= 2  # not again in a filter
+    ids = O.dense_ids(spark.range(100).select((F.col("id") % 50).alias("k")), 0, "k")
+    got = [(r.id, r.k) for r in ids.orderBy("id").collect()]
+    assert got == [(i + 1, i // 2) for i in range(100)]
+    assert "row_number" not in ids._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_store_reads_a_load_once(spark, monkeypatch):
+    stored, write = [], O.materialize
+    monkeypatch.setattr(O, "materialize", lambda df, name: stored.append(df) or write(df, name))
+    loaded = O.observations_load(_raw(spark, ROWS))
+    table = O.dense_ids(loaded, 0, "row_idx").withColumn("updated_at", F.lit("old"))
+    stored.clear()
+    got = O.observations_store(table, loaded, F.lit("new"))
+    assert got.filter("updated_at = 'new'").count() == got.count() == loaded.count()
+    assert stored[0] is loaded  # written before its order, rows and categories are read
+
+
+def test_blank_rows_of_a_blank_category_stay_out(spark):
+    raw = spark.createDataFrame([(0, " ", None), (1, "nan", "T"), (2, "dup_cust", "")], "row_idx long, category string, ObservationTitle string")
+    raw = raw.withColumns({f: F.lit("") for f in O.ALL_FIELDS if f not in ("category", "ObservationTitle")})
+    got = O.observations_load(raw, ["", "dup_cust"]).orderBy("row_idx").collect()
+    assert [(r.row_idx, r.category, r.entity_key) for r in got] == [(1, "", "t"), (2, "dup_cust", "row_4")]
