@@ -710,7 +710,8 @@ from ledgerlens.sources import workbook_format as WF  # noqa: E402
 def q_audit_trail_from_workbooks(spark, sf):
     """K8's writer, S1 and S6: the change log as workbooks, read, normalised and saved as the audit table's version."""
     base = _scratch(spark, "audit")
-    WF.write_workbooks(T.audit_trail_source(spark, sf), f"{base}/books")
+    # Dealt out by row, so that writing and reading spread however few parts the scan has.
+    WF.write_workbooks(T.audit_trail_source(spark, sf).repartition("row_idx"), f"{base}/books")
     ST.audit_trail_current(spark, f"{base}/books", f"{base}/table")
     stored = ST.audit_trail_current(spark, f"{base}/no-books", f"{base}/table")
     return stored.select(*A.AUDIT_FIELDS)

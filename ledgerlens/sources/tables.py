@@ -13,8 +13,8 @@ from ledgerlens.operators.audit_trail import audit_trail_normalize
 from ledgerlens.operators.observations import dense_ids, observations_list  # noqa: F401  (S5)
 from ledgerlens.operators.purchase import purchase_scan  # noqa: F401  (S2)
 from ledgerlens.operators.remarks import remarks_scan  # noqa: F401  (S7)
-from ledgerlens.sinks.tables import audit_trail_replace, child_names, current_snapshot
-from ledgerlens.sources.workbook import workbook_table
+from ledgerlens.sinks.tables import audit_trail_replace, child_names, current_snapshot, materialize
+from ledgerlens.sources.workbook import workbook_columns, workbook_headers
 
 # Tokens pandas reads as missing in an all-text read.
 NA_TOKENS = ["", "#N/A", "N/A", "NA", "NULL", "NaN", "nan", "null", "None", "<NA>", "n/a", "-NaN", "-nan"]
@@ -55,14 +55,14 @@ def audit_trail_current(spark: SparkSession, books_dir: str, table_dir: str) ->
     neither rows nor a table.
     """
     if any(name.endswith(".xlsx") for name in child_names(spark, books_dir)):
-        table = workbook_table(spark, books_dir)
-        names = table.select("path", "row_idx", F.map_keys("values").alias("names"))
-        first = names.orderBy("path", "row_idx").first()
+        heads = materialize(workbook_headers(spark, books_dir), "workbook-headers")
+        first = heads.orderBy("path").first()
         if first is not None:
             # Headers in the first workbook's order (of two that mean one field the last counts), then those of others.
-            others = names.select(F.explode("names").alias("name")).distinct().collect()
+            others = heads.select(F.explode("names").alias("name")).distinct().collect()
             headers = [*first.names, *sorted({r.name for r in others} - set(first.names))]
-            rows = table.select(F.struct("path", "row_idx").alias("_at"), *[F.col("values")[h].alias(h) for h in headers])
+            # Stored before the ids, which read their input twice: every workbook is parsed once.
+            rows = materialize(workbook_columns(spark, books_dir, headers), "workbook-rows")
             fresh = audit_trail_normalize(dense_ids(rows, 0, "_at"))
             return audit_trail_replace(fresh, books_dir.rstrip("/").rsplit("/", 1)[-1], table_dir)
     return current_snapshot(spark, table_dir)

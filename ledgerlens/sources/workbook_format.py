@@ -14,6 +14,7 @@ can open are read by ``workbook.workbook_table`` instead.
 from __future__ import annotations
 
 import io
+import re
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ from ledgerlens.sources.workbook import Workbook
 #: Data rows of one sheet; the format allows 1,048,576 with the header.
 SHEET_ROWS = 1_000_000
 _OWN = ("path", "row_idx")
+_UNWRITABLE = re.compile(r"[\x00-\x08\x0b-\x1f]")
 
 # The parts of a workbook file besides its sheet.
 _PARTS = {
@@ -78,7 +80,7 @@ def _cell(value: object) -> str:
         return f"<c><v>{value!r}</v></c>"
     text = "" if value is None else str(value)
     # What XML can't hold is written as the format's escapes are.
-    text = "".join(c if c >= " " or c in "\t\n" else f"_x{ord(c):04X}_" for c in text)
+    text = _UNWRITABLE.sub(lambda c: f"_x{ord(c[0]):04X}_", text)
     return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 

@@ -1,7 +1,9 @@
 """Published tables (K1, S4), tables kept by category (K5, K6), workbooks as a data source (S1, K8), S6, ranks and chunks (H3, H5)."""
 
 import glob
+import io
 import os
+import zipfile
 import random
 
 import pytest
@@ -235,3 +237,44 @@ def test_audit_trail_from_workbooks_else_table(spark, tmp_dir):
     assert _sorted(stored) == sorted(map(tuple, [[r[c] for c in sorted(stored.columns)] for r in got]), key=str)
     WF.write_workbooks(rows.limit(0), os.path.join(tmp_dir, "hollow"))
     assert ST.audit_trail_current(spark, os.path.join(tmp_dir, "hollow"), table).count() == 2
+
+
+def test_workbooks_of_other_headers_are_parsed_once_for_all_rows(spark, tmp_dir, monkeypatch):
+    books = os.path.join(tmp_dir, "books")
+    os.makedirs(books)
+    rows = {"a": (["Risk", "path", "row_idx", " Risk "], [("High", "p", "1", "Low"), ("High",)]), "b": (["Notes", "Risk"], [("n", "High")]),
+            "c": (["Unused"], [])}
+    for name, (head, cells) in rows.items():
+        with open(os.path.join(books, f"{name}.xlsx"), "wb") as out:
+            out.write(WF.workbook_bytes(head, iter(cells)))
+    heads = W.workbook_headers(spark, books).orderBy("path").collect()
+    assert [r.names for r in heads] == [["Risk", "path", "row_idx"], ["Notes", "Risk"]]
+    plans, ids = [], ST.dense_ids
+
+    def watched(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return ids(df, *rest)
+
+    monkeypatch.setattr(ST, "dense_ids", watched)
+    got = ST.audit_trail_current(spark, books, os.path.join(tmp_dir, "table")).orderBy("id").collect()
+    assert [(r.id, r.row_idx, r.Risk, r.Remarks) for r in got] == [(1, "1", "Low", ""), (2, "", "Unspecified", ""), (3, None, "High", "n")]
+    # The ids read their input twice: a written table, not the workbooks.
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
+
+
+def test_headers_need_only_the_beginning_of_a_sheet(spark, tmp_dir):
+    rows = (f"<row><c><v>{k}</v></c></row>" for k in range(100_000))
+    sheet = f'<worksheet xmlns="{W.MAIN[1:-1]}"><sheetData><row><c t="inlineStr"><is><t>n</t></is></c></row>{"".join(rows)}<broken'
+    with zipfile.ZipFile(os.path.join(tmp_dir, "a.xlsx"), "w") as archive:
+        archive.writestr("xl/worksheets/sheet1.xml", sheet)
+    assert [r.names for r in W.workbook_headers(spark, tmp_dir).collect()] == [["n"]]
+
+
+def test_cells_of_several_runs_and_characters_that_are_escaped():
+    sheet = (f'<worksheet xmlns="{W.MAIN[1:-1]}"><sheetData><row><c t="inlineStr"><is><r><t>a</t></r><r><t>b</t></r></is></c><x/>'
+             '<c r="D1"><v>1</v></c><c t="inlineStr"><is><t/></is></c><c t="inlineStr"><is><t>z</t></is></c></row></sheetData></worksheet>')
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as archive:
+        archive.writestr("xl/worksheets/sheet1.xml", sheet)
+    assert list(W.Workbook(content.getvalue()).rows()) == [["ab", "", "", "1", "", "z"]]
+    assert list(W.Workbook(WF.workbook_bytes(["a\x01\tb\x1f\n"], iter([]))).rows()) == [["a_x0001_\tb_x001F_\n"]]
