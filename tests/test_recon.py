@@ -42,3 +42,12 @@ def test_exceptions_and_summaries(spark):
     assert k["TOTAL_INVOICES"] == 6 and k["INVOICE_AMOUNT"] == 160.0
     d = {r["INVOICE_NO"]: r["DIFF_STATUS"] for r in R.display_diff(R.three_way_match(po, grn, bank, None)).collect()}
     assert d["I1"] == "OK" and d["I2"] == "Missing"
+
+
+def test_matches_read_the_invoices_from_one_table(spark):
+    from ledgerlens.plans.queries import QUERIES
+
+    for name in ("three_way_match", "three_way_match_full", "match_counts", "po_kpis", "three_way_diff", "three_way_match_filtered"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        # The lines are joined and rolled up once, before the match.
+        assert "l_orderkey" not in plan and "Join" not in plan, name
