@@ -16,6 +16,7 @@ from ledgerlens.operators.ranks import ranked_in_groups
 from ledgerlens.plans import inputs as I
 from ledgerlens.sinks import parts as PT
 from ledgerlens.sinks import published as PB
+from ledgerlens.sinks.tables import materialize
 from ledgerlens.sources import tables as ST
 from ledgerlens.sources import testdata as T
 from ledgerlens.sources import workbook as W
@@ -278,3 +279,10 @@ def test_cells_of_several_runs_and_characters_that_are_escaped():
         archive.writestr("xl/worksheets/sheet1.xml", sheet)
     assert list(W.Workbook(content.getvalue()).rows()) == [["ab", "", "", "1", "", "z"]]
     assert list(W.Workbook(WF.workbook_bytes(["a\x01\tb\x1f\n"], iter([]))).rows()) == [["a_x0001_\tb_x001F_\n"]]
+
+
+def test_written_tables_are_compressed_well(spark, tmp_dir):
+    PB.publish(spark, {"po": spark.createDataFrame([("I1",)], "INVOICE_NO string"), "multi_tax": spark.range(3)}, tmp_dir, [], buckets=2)
+    files = glob.glob(f"{tmp_dir}/v000001/*/*.parquet")
+    assert files and all(".zstd" in f for f in files)
+    assert all(".zstd" in f for f in materialize(spark.range(3), "small").inputFiles())
