@@ -83,6 +83,18 @@ def window_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def window_of(own: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+    """The first ``size`` of the shingles when those in ``last`` (sorted) come after all others; only as many as it takes are looked up."""
+    if not len(last):
+        return own[:size]
+    for seen in (own[:size], own[: 2 * size], own):
+        late = last[np.minimum(np.searchsorted(last, seen), len(last) - 1)] == seen
+        others = seen[~late]
+        if len(others) >= size:
+            return others[:size]
+    return np.concatenate([others, own[late]])[:size]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), utf8().alias("text"))
 
@@ -124,10 +136,7 @@ def _windows(docs: DataFrame, length: int, percent: int, last: np.ndarray) -> Da
                 if not len(own):
                     found.append(None)
                     continue
-                if len(hot):
-                    late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
-                    own = np.r_[own[~late], own[late]]
-                found.append(own[: window_size(len(own), percent)].view(np.int64))
+                found.append(window_of(own, hot, window_size(len(own), percent)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.list_(pa.int64()))],
                 names=["doc_id", "text_hash", "shingles"])

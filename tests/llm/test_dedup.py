@@ -6,11 +6,11 @@ import random
 import numpy as np
 import pytest
 
-from ledgerlens.llm.common import gram_hashes, slide
+from ledgerlens.llm.common import distinct_sorted, gram_hashes, slide, word_array
 from ledgerlens.llm.components import components, joined_components
 from ledgerlens.llm.exact_dedup import drop_copies, exact_dedup
 from ledgerlens.llm.fm_index import FMIndex
-from ledgerlens.llm.near_dup import drop_near_duplicates, near_duplicates, parity_sketch, short_sketch, window_size
+from ledgerlens.llm.near_dup import drop_near_duplicates, near_duplicates, parity_sketch, short_sketch, window_of, window_size
 from ledgerlens.llm.substring_dedup import substring_dedup
 from samples import corpus, frame, kept_words, near_components, text_of
 
@@ -177,3 +177,23 @@ def test_components_of_chains_and_stars(spark):
     more = joined_components(labels, spark.createDataFrame([(140, 30), (500, 501)], "a long, b long"))
     got = {r.id: r.component for r in more.collect()}
     assert got[120] == 1 and got[501] == 500 and len(got) == 41 + 39 + 2
+
+
+def test_windows_with_shingles_moved_to_the_end():
+    rng = random.Random(8)
+    for n in (1, 2, 5, 40):
+        own = np.array(sorted(rng.sample(range(100), n)), np.uint64)
+        for moved in (0, 1, 30, 90, 100):
+            last = np.array(sorted(rng.sample(range(100), moved)), np.uint64)
+            for size in {1, window_size(n, 80), n}:
+                late = set(last.tolist())
+                want = sorted(own.tolist(), key=lambda v: (v in late, v))[:size]
+                assert window_of(own, last, size).tolist() == want
+
+
+def test_words_and_distinct_values_of_short_texts():
+    for text in (b"", b" ", b"a", b" a", b"a ", b"a b", b"\ta\r\nbb  a", b"\x1fa\x0b\xc3\xa9"):
+        words = word_array(text)
+        alone = [word_array(w)[0] for w in text.replace(b"\x0b", b" ").split()]
+        assert words.tolist() == [int(w) for w in alone]
+        assert distinct_sorted(words).tolist() == sorted({int(w) for w in alone})
