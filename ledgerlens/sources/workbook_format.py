@@ -116,7 +116,9 @@ class WorkbookFormat(DataSource):
         return WorkbookReader(self.options["path"], [n for n in schema.names])
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return WorkbookWriter(self.options["path"], schema.names, overwrite)
+        writer = WorkbookWriter(self.options["path"], schema.names, overwrite)
+        writer.begin()
+        return writer
 
 
 @dataclass
@@ -153,6 +155,11 @@ class WorkbookWriter(DataSourceWriter):
         self.folder, self.names, self.overwrite = folder, names, overwrite
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
+    def begin(self) -> None:
+        """Make the folder that tasks write into; a task that goes on after an abort finds none and fails, and leaves nothing."""
+        store, path = _store(self.folder)
+        store.create_dir(f"{path}/{self.staging}", recursive=True)
+
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
@@ -160,7 +167,6 @@ class WorkbookWriter(DataSourceWriter):
         task, files = TaskContext.get(), []
         rows = (tuple(r) for r in iterator)
         while (first := next(rows, None)) is not None:
-            store.create_dir(f"{path}/{self.staging}", recursive=True)
             # Attempts of one task write apart; the files of the one that commits count.
             name = f"{path}/{self.staging}/{task.partitionId():05d}-{task.taskAttemptId()}-{len(files):03d}.xlsx"
             rest = chain([first], rows)
