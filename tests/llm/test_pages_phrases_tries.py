@@ -5,11 +5,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.llm import collocations as phrase_module
 from ledgerlens.llm.boosting import BoostedTrees
 from ledgerlens.llm.collocations import collocations, compacted, gram_counts, nodes_of, shorter_counts
 from ledgerlens.llm.dom import Page
@@ -180,6 +183,41 @@ def test_gram_counts_are_complete(spark):
     assert [tuple(r) for r in totals.collect()] == [("en", 14)]
 
 
+def test_grams_around_rare_triples_stay_out_of_the_graph(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for k in range(250):
+        noise = [rng.choice("abcdefgh") for _ in range(20)]
+        at = rng.randrange(20)
+        rows.append(" ".join(noise[:at] + "the same six words come again".split() * (k % 3 == 0) + noise[at:]) + rng.choice([".", "", "\na b"]))
+    want = Counter()
+    for piece in (p.split() for r in rows for p in re.split(r"[.\n]", r)):
+        want.update((" ".join(piece[k : k + size]), size) for size in range(1, 6) for k in range(len(piece) - size + 1))
+    edges, compact = [], compacted
+    monkeypatch.setattr(phrase_module, "compacted", lambda e, n: edges.append(e.count()) or compact(e, n))
+    texts = spark.createDataFrame([("en", r.encode()) for r in rows], "lang string, text binary").repartition(3)
+    grams, _ = gram_counts(texts, 40)
+    assert Counter({(r.gram, r["size"]): r.n for r in grams.collect()}) == {g: n for g, n in want.items() if n >= 40}
+    assert sum(n >= 40 for (_, size), n in want.items() if size == 2) > 60
+    # Two edges of the passage; nearly every five words of the noise were one, too, when only rare pairs were cut at.
+    assert edges[0] < 20
+
+
+def test_a_task_adds_up_grams_of_its_chunks(monkeypatch):
+    every = SimpleNamespace(value=b"\xff" * (phrase_module.MAP_BITS // 8))
+    monkeypatch.setattr(phrase_module, "CHUNK_BYTES", 20)
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"] * 20, "text": [b"a b c d e f. g", b"a b c d e f"] * 20})
+    for most, parts in ((1 << 18, 1), (5, 20)):
+        monkeypatch.setattr(phrase_module, "MERGE_GRAMS", most)
+        rows = [r for b in phrase_module._gram_counter([every] * 3)(iter([batch])) for r in b.to_pylist()]
+        sums = Counter()
+        for r in rows:
+            sums[r["lang"], r["gram"], r["size"], r["kind"]] += r["n"]
+        assert sums == {("en", b"g", 1, "end"): 20} | {
+            (lang, *g): 20 for lang in ("en", "de") for g in ((b"a b c d e", 5, "edge"), (b"b c d e f", 5, "edge"), (b"c d e f", 4, "end"))}
+        assert len(rows) == len(sums) if parts == 1 else len(sums) < len(rows) <= parts * len(sums)
+
+
 # ---- conversations
 
 def trie(rows):
