@@ -218,6 +218,39 @@ def test_a_task_adds_up_grams_of_its_chunks(monkeypatch):
         assert len(rows) == len(sums) if parts == 1 else len(sums) < len(rows) <= parts * len(sums)
 
 
+def test_words_pairs_and_triples_are_counted_once(spark, monkeypatch):
+    """Pieces of one to three words have no edge and no node: the step that counts grams of tasks makes no row of them."""
+    rng = random.Random(8)
+    pieces = [[rng.choice("abcdefghij") for _ in range(rng.randrange(1, 4))] for _ in range(3000)] + ["a long one of six words".split()] * 30
+    rng.shuffle(pieces)
+    want = Counter()
+    for p in pieces:
+        want.update((" ".join(p[k : k + size]), size) for size in range(1, 6) for k in range(len(p) - size + 1))
+    made, written = [], phrase_module.stage
+    monkeypatch.setattr(phrase_module, "stage", lambda df, name: written(df, name) if name != "grams-counted" else made.append(written(df, name)) or made[0])
+    texts = spark.createDataFrame([("en", ". ".join(map(" ".join, pieces[k : k + 100])).encode()) for k in range(0, len(pieces), 100)], "lang string, text binary")
+    grams, _ = gram_counts(texts, 5)
+    assert Counter({(r.gram, r["size"]): r.n for r in grams.collect()}) == {g: n for g, n in want.items() if n >= 5}
+    assert sorted((r.kind, r.gram, r.n) for r in made[0].collect()) == [
+        ("edge", "a long one of six", 30), ("edge", "long one of six words", 30), ("end", "one of six words", 30)]
+
+
+def test_words_that_share_a_hash_are_counted_apart(spark):
+    # Thue-Morse words of 2048 letters and their complements have one polynomial hash modulo 2 ** 64, whatever its base.
+    one = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    known = phrase_module.Words([f"{one} {two}".encode()], [0]).ids(["en"], {})
+    assert known[0] == known[1]
+    texts = [f"{one} x y", f"{two} x y", f"{one} x y", f"{two} x z", f"{two} x z", f"{one} q"]
+    want = Counter()
+    for p in (t.split() for t in texts):
+        want.update((" ".join(p[k : k + size]), size) for size in range(1, 6) for k in range(len(p) - size + 1))
+    for lang in ("en", "de"):
+        docs = spark.createDataFrame([(lang, t.encode()) for t in texts] + [("fr", two.encode())], "lang string, text binary").repartition(3)
+        grams, _ = gram_counts(docs, 2)
+        assert Counter({(r.gram, r["size"]): r.n for r in grams.collect() if r.lang == lang}) == {g: n for g, n in want.items() if n >= 2}
+
+
 # ---- conversations
 
 def trie(rows):
