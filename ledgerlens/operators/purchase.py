@@ -83,6 +83,7 @@ def purchase_enrich(raw: DataFrame) -> DataFrame:
     bill_col = "bill date time" if "bill date time" in given else "business day date"
     day_col = "business day date" if "business day date" in given else "bill date time"
     day = excel_date(F.col(f"`{day_col}`"), types[day_col])
+    made = measures(num)
     extra = [F.col(c) for c in ("_ord", "_line", "_nationkey") if c in df.columns]
     return df.select(
         *[text[c].alias(c) for c in TEXT_COLUMNS],
@@ -91,15 +92,9 @@ def purchase_enrich(raw: DataFrame) -> DataFrame:
         day.alias("business day date"),
         month_name(day).alias("MONTH"),
         year_or_zero(day).alias("YEAR"),
-        (num["product cgst rate"] + num["product sgst rate"]).alias("GST_RATE"),
+        made["GST_RATE"].alias("GST_RATE"),
         tax_desc(num["product cgst rate"], num["product sgst rate"]).alias("TAX_DESC"),
-        num["net sale"].alias("INVOICE_AMT"),
-        (num["product cgst amount"] + num["product sgst amount"]).alias("GST_AMT"),
-        num["gross sale"].alias("TOTAL_AMT"),
-        (num["marketing discount amount"] + num["loyalty discount amount"]).alias("DISCOUNT"),
-        (num["item price"] * num["quantity"] - num["net sale"]).alias("CALC_DISCOUNT"),
-        ((num["marketing discount amount"] + num["loyalty discount amount"])
-         - (num["item price"] * num["quantity"] - num["net sale"])).alias("DISC_DIFF"),
+        *[made[c].alias(c) for c in MEASURES],
         blank_default(text["store name"], "Unknown Store").alias("COMP_NM"),
         blank_default(text["region"], "Unknown").alias("COMP_STATE"),
         blank_default(text["ordering channel"], "Unknown").alias("CUST_NM"),
@@ -110,6 +105,21 @@ def purchase_enrich(raw: DataFrame) -> DataFrame:
     )
 
 
+def measures(num: dict[str, Column]) -> dict[str, Column]:
+    """The rate and the measures of P1, unrounded, from the workbook's numbers."""
+    discount = num["marketing discount amount"] + num["loyalty discount amount"]
+    calculated = num["item price"] * num["quantity"] - num["net sale"]
+    return {
+        "GST_RATE": num["product cgst rate"] + num["product sgst rate"],
+        "INVOICE_AMT": num["net sale"],
+        "GST_AMT": num["product cgst amount"] + num["product sgst amount"],
+        "TOTAL_AMT": num["gross sale"],
+        "DISCOUNT": discount,
+        "CALC_DISCOUNT": calculated,
+        "DISC_DIFF": discount - calculated,
+    }
+
+
 def _is_double(dtype) -> bool:
     return dtype.typeName() in ("double", "float", "integer", "long", "short", "decimal")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.operators import purchase as P
 from ledgerlens.operators import recon as R
 from ledgerlens.plans import inputs as I
-from ledgerlens.sinks.tables import materialize
+from ledgerlens.sinks.tables import compressed, materialize, remove
 from ledgerlens.sources import testdata as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -590,17 +590,30 @@ def _scratch(spark, name: str) -> str:
     return shared_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
+#: Parts that V1's lines are joined in, one after the other: only a part's shuffle files are on disk at a time.
+_LINE_PARTS = 4
+
+
 def _published(spark, sf, names):
     """A publication of V1 and V2, then the tables as a second caller finds them: stored, as the inputs are the same."""
     out, inputs = _scratch(spark, "published"), [f"{sf}/{n}.parquet" for n in _INPUTS]
 
-    def compute():
-        lines = materialize(I.enriched(spark, sf), "lines")
-        invoices = materialize(R.invoice_rollup(lines, line_col="_line", extra=["_ord", "_nationkey"]), "invoices")
-        made = PB.result_tables(lines, *T.recon_tables(invoices))
-        return {n: made[n] for n in names}
-
-    PB.stored_or_computed(spark, out, inputs, names, compute)
+    def tables(written):
+        stored_lines, stored_invoices = _scratch(spark, "lines"), _scratch(spark, "invoices")
+        for k in range(_LINE_PARTS):
+            compressed(T.purchase_lines(spark, sf, k, _LINE_PARTS)).mode("append").parquet(stored_lines)
+        lines = P.purchase_enrich(T.purchase_columns(spark.read.parquet(stored_lines)))
+        compressed(R.invoice_rollup(lines, line_col="_line", extra=["_ord", "_nationkey"])).parquet(stored_invoices)
+        made = PB.ordered_tables(lines, *T.recon_tables(spark.read.parquet(stored_invoices)))
+        yield from ((n, made[n]) for n in made if n in names)
+        # What is left is made from the published purchases.
+        remove(spark, stored_lines)
+        remove(spark, stored_invoices)
+        if "purchases" in names:
+            made = PB.derived_tables(PB.published_lines(written["purchases"]))
+            yield from ((n, made[n]) for n in made if n in names)
+
+    PB.stored_or_computed(spark, out, inputs, names, lambda: tables)
     return PB.stored(spark, out, inputs, names)
 
 

@@ -67,6 +67,23 @@ def purchase_source(spark: SparkSession, sf_dir: str, coarse: bool = False) -> D
     Extra columns: ``_ord`` (the order key), ``_line`` (the line's place in its
     invoice) and ``_nationkey`` (supplier nation, used by the bank-payment view).
     """
+    li, placed, part_dim, supplier, nation, region = _purchase_inputs(spark, sf_dir, coarse)
+    supp_geo = (
+        supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
+        .join(region, nation.n_regionkey == region.r_regionkey)
+        .select("s_suppkey", "s_nationkey", "n_name", "r_name")
+    )
+    # Orders and customers are joined before the lines, which are then shuffled once for both.
+    df = (
+        li.join(placed, li.l_orderkey == placed.o_orderkey)
+        .join(part_dim, li.l_partkey == part_dim.p_partkey)
+        .join(supp_geo, li.l_suppkey == supp_geo.s_suppkey)
+    )
+    return purchase_columns(df, coarse)
+
+
+def _purchase_inputs(spark: SparkSession, sf_dir: str, coarse: bool) -> tuple[DataFrame, ...]:
+    """What V1 joins: lines, placed orders, products, suppliers, nations, regions."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
@@ -87,18 +104,36 @@ def purchase_source(spark: SparkSession, sf_dir: str, coarse: bool = False) -> D
         .otherwise(F.concat_ws("-", "p_brand", F.col("p_size").cast("string"))).alias("product code"),
         _pick(GST_SLABS, F.col("p_size") % 5).cast("double").alias("slab_rate"),
     )
-    supp_geo = (
-        supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
-        .join(region, nation.n_regionkey == region.r_regionkey)
-        .select("s_suppkey", "s_nationkey", "n_name", "r_name")
-    )
-    # Orders and customers are joined before the lines, which are then shuffled once for both.
     placed = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    return li, placed, part_dim, supplier, nation, region
+
+
+def purchase_lines(spark: SparkSession, sf_dir: str, part: int = 0, parts: int = 1) -> DataFrame:
+    """The joined rows that V1 is computed from (``purchase_columns``), or one of ``parts`` parts of them by order key.
+
+    For a table to be written: what is derived takes no room in it.  The
+    supplier's one number joins first and the orders last, so that each shuffle
+    of the lines carries little and an invoice's lines lie together.
+    """
+    li, placed, part_dim, supplier, nation, region = _purchase_inputs(spark, sf_dir, coarse=False)
+    if parts > 1:
+        # Another hash than the shuffles' own, which deals a part's rows to all their partitions.
+        li, placed = (df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part) for df, key in ((li, "l_orderkey"), (placed, "o_orderkey")))
     df = (
-        li.join(placed, li.l_orderkey == placed.o_orderkey)
+        li.join(supplier, li.l_suppkey == supplier.s_suppkey)
         .join(part_dim, li.l_partkey == part_dim.p_partkey)
-        .join(supp_geo, li.l_suppkey == supp_geo.s_suppkey)
+        .join(placed, li.l_orderkey == placed.o_orderkey)
+        .join(nation, supplier.s_nationkey == nation.n_nationkey)
+        .join(region, nation.n_regionkey == region.r_regionkey)
     )
+    return df.select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "slab_rate", "product name",
+        "product code", "c_mktsegment", "o_orderpriority", "o_orderdate", "s_nationkey", "n_name", "r_name",
+    )
+
+
+def purchase_columns(df: DataFrame, coarse: bool = False) -> DataFrame:
+    """V1's columns (or V1c's) over its joined rows."""
     rate = (
         F.when((F.col("l_tax") == 0.08) & (F.col("l_suppkey") % 10 == 0), F.lit(28.0))
         .otherwise(F.col("slab_rate"))
@@ -120,7 +155,7 @@ def purchase_source(spark: SparkSession, sf_dir: str, coarse: bool = False) -> D
     order_ts = F.col("o_orderdate").cast("timestamp")
     return df.select(
         F.col("l_orderkey").cast("string").alias("bill no"),
-        F.col("s_suppkey").cast("string").alias("store code"),
+        F.col("l_suppkey").cast("string").alias("store code"),
         store_name.alias("store name"),
         F.col("c_mktsegment").alias("ordering channel"),
         source.alias("source"),

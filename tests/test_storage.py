@@ -3,8 +3,10 @@
 import glob
 import io
 import os
+import time
 import zipfile
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,9 +16,11 @@ from ledgerlens.operators import recon as R
 from ledgerlens.operators.observations import ALL_FIELDS, observations_delete, observations_upsert
 from ledgerlens.operators.ranks import ranked_in_groups
 from ledgerlens.plans import inputs as I
+from ledgerlens.plans.queries import QUERIES
+from ledgerlens.session import shared_path
 from ledgerlens.sinks import parts as PT
 from ledgerlens.sinks import published as PB
-from ledgerlens.sinks.tables import materialize
+from ledgerlens.sinks.tables import child_names, materialize
 from ledgerlens.sources import tables as ST
 from ledgerlens.sources import testdata as T
 from ledgerlens.sources import workbook as W
@@ -114,6 +118,77 @@ def test_stored_tables_hold_until_an_input_changes(spark, tmp_dir):
     assert PB.stored(spark, empty, [source], ["purchases"]) is None
 
 
+def _inputs(spark, folder):
+    """V1's tables in small: keys that come twice, keys without a partner, nulls, unrounded money."""
+    rng = random.Random(5)
+    day = lambda: datetime(1995, 1, 1 + rng.randrange(28), 10, 30)
+    lines = [(rng.choice([*range(40), 99, None]), rng.choice([*range(12), 77]), rng.choice([*range(6), None]), k % 5, rng.choice([1.0, 3.0, 7.0]),
+              rng.choice([None, rng.random() * 1e5, 12345.67]), rng.choice([0.0, 0.07, 0.1, None]), rng.choice([0.0, 0.08, None])) for k in range(400)]
+    rows = {
+        "region": [(0, "ASIA"), (1, "EUROPE")], "nation": [(0, "INDIA", 0), (1, "FRANCE", 1), (2, " ", 1)],
+        "supplier": [(k, "s", k % 4, 0.0) for k in range(6)] + [(2, "again", 0, 1.0)],
+        "customer": [(k, "c", 0, 0.0, rng.choice(["BUILDING", "MACHINERY", None])) for k in range(5)],
+        "part": [(k, rng.choice(["red pin", "bolt"]), f"Brand#{k % 3}", "LARGE", k % 7, 1.0) for k in range(12)] + [(3, "twice", "Brand#9", "SMALL", 4, 1.0)],
+        "orders": [(k, k % 6, "O", 1.0, None if k == 7 else day(), "1-URGENT") for k in range(40)] + [(5, 1, "F", 2.0, day(), "5-LOW")],
+        "lineitem": [(o, p, s, n, *rest, "N", "O", day()) for o, p, s, n, *rest in lines],
+    }
+    for name, made in rows.items():
+        spark.createDataFrame(made, T.SCHEMAS[name]).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_lines_joined_in_parts_are_those_of_the_view(spark, tmp_dir):
+    sf = _inputs(spark, tmp_dir)
+    want, whole = _sorted(T.purchase_source(spark, sf)), T.purchase_lines(spark, sf)
+    assert len(want) > 150 and _sorted(T.purchase_columns(whole)) == want
+    parts = [T.purchase_lines(spark, sf, k, 3) for k in range(3)]
+    assert sorted((r for p in parts for r in _sorted(T.purchase_columns(p))), key=str) == want
+    keys = [{r.l_orderkey for r in p.collect()} for p in parts]
+    assert all(keys) and sum(map(len, keys)) == len(set().union(*keys))
+
+
+def test_tables_made_from_the_published_purchases(spark, tmp_dir):
+    lines = I.enriched(spark, _inputs(spark, f"{tmp_dir}/in")).persist()
+    again = PB.published_lines(materialize(PB.purchase_table(lines), "purchases"))
+    assert _sorted(again) == _sorted(lines.select(*again.columns))
+    want = PB.derived_tables(lines)
+    assert set(want) == set(PB.ALL_TABLES) - {"purchases", "blocked_vendors", *PB.BY_INVOICE}
+    for name, table in PB.derived_tables(again).items():
+        assert _sorted(table) == _sorted(want[name]) and (name in ("prod_code_check", "dup_customers") or table.count())
+
+
+def test_a_table_is_published_before_the_next_is_made(spark, tmp_dir):
+    def tables(written):
+        yield "purchases", spark.range(4)
+        assert set(written) == {"purchases"} and os.path.exists(f"{tmp_dir}/v000001/purchases/_SUCCESS")
+        yield "po", written["purchases"].select(F.col("id").cast("string").alias("INVOICE_NO"))
+
+    got = PB.stored_or_computed(spark, tmp_dir, [], ["purchases", "po"], lambda: tables, buckets=2)
+    assert set(got) == {"purchases", "po"} and sorted(r.INVOICE_NO for r in got["po"].collect()) == ["0", "1", "2", "3"]
+    assert PB.stored(spark, tmp_dir, [], ["purchases", "po"])["po"].count() == 4
+
+
+def test_publishing_leaves_no_shuffle_files(spark, tmp_dir):
+    top = os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir")
+    shuffled = lambda: {f for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    rows = spark.range(1000).select((F.col("id") % 300).cast("string").alias("INVOICE_NO"))
+    before = shuffled()
+    PB.publish(spark, {"po": rows, "multi_tax": rows.groupBy("INVOICE_NO").count()}, tmp_dir, [], buckets=2)
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert shuffled() - before == set()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # as it was
+
+
+def test_publishing_leaves_no_tables_between(spark, tmp_dir):
+    tables = lambda: {n for n in child_names(spark, shared_path(spark, "")) if n.startswith(("lines-", "invoices-"))}
+    sf, before = _inputs(spark, tmp_dir), tables()
+    rows = {r.TABLE: r.ROWS for r in QUERIES["published_tables"](spark, sf).collect()}
+    assert tables() == before
+    assert set(rows) == set(PB.ALL_TABLES) and rows["purchases"] == rows["gst_check"] == I.enriched(spark, sf).count()
+
+
 # ---- observations by category
 
 def _observation(i, category, **more):
