@@ -591,7 +591,7 @@ def _scratch(spark, name: str) -> str:
 
 
 #: Parts that V1's lines are joined in, one after the other: only a part's shuffle files are on disk at a time.
-_LINE_PARTS = 4
+_LINE_PARTS = 2
 
 
 def _published(spark, sf, names):
@@ -603,12 +603,13 @@ def _published(spark, sf, names):
         for k in range(_LINE_PARTS):
             compressed(T.purchase_lines(spark, sf, k, _LINE_PARTS)).mode("append").parquet(stored_lines)
         lines = P.purchase_enrich(T.purchase_columns(spark.read.parquet(stored_lines)))
-        compressed(R.invoice_rollup(lines, line_col="_line", extra=["_ord", "_nationkey"])).parquet(stored_invoices)
-        made = PB.ordered_tables(lines, *T.recon_tables(spark.read.parquet(stored_invoices)))
+        rollup = R.invoice_rollup(lines, line_col="_line", extra=["_ord", "_nationkey"])
+        invoices = PB.bucketed(rollup, stored_invoices, PB.bucket_count(spark))
+        made = PB.ordered_tables(lines, *T.recon_tables(invoices))
         yield from ((n, made[n]) for n in made if n in names)
         # What is left is made from the published purchases.
         remove(spark, stored_lines)
-        remove(spark, stored_invoices)
+        PB.drop_bucketed(spark, stored_invoices)
         if "purchases" in names:
             made = PB.derived_tables(PB.published_lines(written["purchases"]))
             yield from ((n, made[n]) for n in made if n in names)

@@ -166,15 +166,16 @@ def compressed(df: DataFrame) -> DataFrameWriter:
 
 
 @contextmanager
-def shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
-    """Within, a query's shuffle files go when it ends, not when the driver happens to collect its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+def set_within(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The session's settings, changed within and as they were after."""
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def export_csv(df: DataFrame, path: str) -> str | None:

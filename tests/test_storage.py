@@ -181,6 +181,21 @@ def test_publishing_leaves_no_shuffle_files(spark, tmp_dir):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # as it was
 
 
+def test_tables_made_from_a_bucketed_one_need_no_shuffle(spark, tmp_dir):
+    rows = spark.range(1000).select((F.col("id") % 300).cast("string").alias("INVOICE_NO"), (F.col("id") % 7).alias("n"))
+    invoices = PB.bucketed(rows.groupBy("INVOICE_NO").agg(F.sum("n").alias("n")), f"{tmp_dir}/invoices", 3)
+    po = invoices.filter("n > 5").select((F.col("n") * 2).alias("AMT"), "INVOICE_NO")
+    with PB.set_within(spark, PB.WHILE_WRITING):
+        plan = po.repartition(3, "INVOICE_NO")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan, plan
+    got = PB.publish(spark, {"po": po}, f"{tmp_dir}/out", [], buckets=3)["po"]
+    assert len(got.inputFiles()) == 3 and _sorted(got) == _sorted(po) and got.count() > 100
+    known = PB._registered(f"{tmp_dir}/invoices")
+    assert spark.catalog.tableExists(known)
+    PB.drop_bucketed(spark, f"{tmp_dir}/invoices")
+    assert not spark.catalog.tableExists(known) and not os.path.exists(f"{tmp_dir}/invoices")
+
+
 def test_publishing_leaves_no_tables_between(spark, tmp_dir):
     tables = lambda: {n for n in child_names(spark, shared_path(spark, "")) if n.startswith(("lines-", "invoices-"))}
     sf, before = _inputs(spark, tmp_dir), tables()
