@@ -172,13 +172,14 @@ def test_publishing_leaves_no_shuffle_files(spark, tmp_dir):
     top = os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir")
     shuffled = lambda: {f for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
     rows = spark.range(1000).select((F.col("id") % 300).cast("string").alias("INVOICE_NO"))
-    before = shuffled()
-    PB.publish(spark, {"po": rows, "multi_tax": rows.groupBy("INVOICE_NO").count()}, tmp_dir, [], buckets=2)
+    before, cleanup = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with PB.set_within(spark, {cleanup: "false"}):  # other tests may have set it
+        PB.publish(spark, {"po": rows, "multi_tax": rows.groupBy("INVOICE_NO").count()}, tmp_dir, [], buckets=2)
+        assert spark.conf.get(cleanup) == "false"  # as it was
     until = time.time() + 20
     while shuffled() - before and time.time() < until:
         time.sleep(0.2)
     assert shuffled() - before == set()
-    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # as it was
 
 
 def test_tables_made_from_a_bucketed_one_need_no_shuffle(spark, tmp_dir):
